@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import op3_exact_dedup, op6_secrets
+from . import op1_flac, op2_toxicity, op3_exact_dedup, op6_secrets, op8_language
 
 QUERIES = {
+    "op1_flac": op1_flac.query,
+    "op2_toxicity": op2_toxicity.query,
     "op3_exact_dedup": op3_exact_dedup.query,
     "op6_secrets": op6_secrets.query,
+    "op8_language": op8_language.query,
 }
 
 ORACLE_SQL = {

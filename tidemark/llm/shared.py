@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,3 +34,22 @@ def cut(frame: DataFrame) -> DataFrame:
     """The frame, written to the shared folder: later reads don't depend on executors that may be lost."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def fold(doc_id, parts: int = 5):
+    """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def fit_sample(rows: DataFrame, label: str, most: int, longest: int) -> pa.Table:
+    """A bounded sample of labelled rows on the driver: (text, label) of about ``most`` rows, evenly from the labels, as chosen by a hash of doc_id.
+
+    Bounds: ``most`` rows at most and none with over ``longest`` characters.  Only the
+    counts of labels and the sampled rows reach the driver."""
+    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(1000).collect()}
+    share = most / max(1, len(counts))
+    draw = (F.xxhash64(F.col("doc_id")).bitwiseAND(0xFFFFFFF)) / float(1 << 28)
+    picked = F.lit(False)
+    for value, n in counts.items():
+        picked = picked | ((F.col(label) == F.lit(value)) & (draw < min(1.0, 0.9 * share / n)))
+    return rows.filter(picked & (F.length("text") <= longest)).select("text", label).limit(most).toArrow()
