@@ -16,6 +16,7 @@ import xxhash
 import zstandard
 
 SLICE_BYTES = 8 << 20
+SLICE_ROWS = 32768
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -38,12 +39,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) of runs of rows with at most ``limit`` bytes of text, one row at least."""
+    """(rows, bytes, offsets) of runs of at most SLICE_ROWS rows with at most ``limit`` bytes of text, one row at least."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(name))
         first = 0
         while first < batch.num_rows:
-            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1)
+            last = min(max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1), first + SLICE_ROWS)
             part = offsets[first : last + 1]
             yield batch.slice(first, last - first), data[part[0] : part[-1]], part - part[0]
             first = last

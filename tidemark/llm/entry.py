@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_flac, op2_toxicity, op3_exact_dedup, op6_secrets, op8_language
+from . import op1_flac, op10_jaccard, op2_toxicity, op3_exact_dedup, op6_secrets, op8_language, op9_byte_bpe
 
 QUERIES = {
     "op1_flac": op1_flac.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup.query,
     "op6_secrets": op6_secrets.query,
     "op8_language": op8_language.query,
+    "op9_byte_bpe": op9_byte_bpe.query,
+    "op10_jaccard": op10_jaccard.query,
 }
 
 ORACLE_SQL = {

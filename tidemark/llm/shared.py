@@ -53,3 +53,36 @@ def fit_sample(rows: DataFrame, label: str, most: int, longest: int) -> pa.Table
     for value, n in counts.items():
         picked = picked | ((F.col(label) == F.lit(value)) & (draw < min(1.0, 0.9 * share / n)))
     return rows.filter(picked & (F.length("text") <= longest)).select("text", label).limit(most).toArrow()
+
+
+SALTS = 16
+
+
+def join_back(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows left join groups, one row for each key, on ``key``; a key that many rows share is dealt to SALTS tasks.
+
+    groups should leave out keys of single rows, as each of its rows is sent SALTS times."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of an undirected graph of links (a, b), by alternating large and small stars.
+
+    Each round joins links with the smallest neighbour of their node; rounds are as many
+    as the logarithm of the longest path, about.  The links between rounds are cut from
+    their lineage."""
+    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    state = None
+    while True:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        edges = cut(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
