@@ -171,3 +171,22 @@ def open_block(sizes: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a block."""
     lengths = unpack_numbers(sizes).astype(np.int64)
     return np.frombuffer(expand(body), np.uint8), np.concatenate([[0], np.cumsum(lengths)])
+
+
+def chunk_ends(inner: np.ndarray, offsets: np.ndarray, window: int, gap: int, most: int) -> np.ndarray:
+    """Ends of chunks, from ascending candidate cuts ``inner``; with all ends of non-empty rows.
+
+    A candidate counts if its window lies in its row and no candidate of the row is within
+    ``gap`` before it; chunks end after ``most`` elements at last."""
+    row = np.searchsorted(offsets, inner, side="left") - 1
+    fits = (inner - window >= offsets[row]) & (inner < offsets[row + 1])
+    inner, row = inner[fits], row[fits]
+    apart = np.ones(len(inner), bool)
+    apart[1:] = (np.diff(inner) > gap) | (row[1:] != row[:-1])
+    ends = np.unique(np.concatenate([inner[apart], offsets[1:]]))
+    ends = ends[ends > 0].astype(np.int64)
+    sizes = np.diff(ends, prepend=0)
+    long = np.flatnonzero(sizes > most)
+    if len(long):
+        ends = np.unique(np.concatenate([ends, *(np.arange(ends[i] - sizes[i] + most, ends[i], most) for i in long)]))
+    return ends

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_flac, op10_jaccard, op2_toxicity, op3_exact_dedup, op4_backoff_lm, op6_secrets, op8_language, op9_byte_bpe
+from . import op1_flac, op10_jaccard, op2_toxicity, op3_exact_dedup, op4_backoff_lm, op5_token_store, op6_secrets, op8_language, op9_byte_bpe
 
 QUERIES = {
     "op1_flac": op1_flac.query,
     "op2_toxicity": op2_toxicity.query,
     "op3_exact_dedup": op3_exact_dedup.query,
     "op4_backoff_lm": op4_backoff_lm.query,
+    "op5_token_store": op5_token_store.query,
     "op6_secrets": op6_secrets.query,
     "op8_language": op8_language.query,
     "op9_byte_bpe": op9_byte_bpe.query,

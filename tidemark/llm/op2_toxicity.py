@@ -83,8 +83,8 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> np.ndarray:
 
 def train(documents: DataFrame, labels: DataFrame, most: int = FIT_ROWS, longest: int = FIT_CHARS) -> np.ndarray:
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter(fold(F.col("doc_id")) != 0)
-    sample = fit_sample(known.filter(fold(F.col("doc_id")) != 0).join(rows, "doc_id"), "toxic", most, longest)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    sample = fit_sample(known.filter(fold(F.col("doc_id")) != 0), "toxic", most, longest, rows)
     return fit(sample.column("text").combine_chunks(), sample.column("toxic").to_numpy())
 
 

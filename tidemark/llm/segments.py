@@ -34,8 +34,8 @@ def wide_space(data: np.ndarray) -> np.ndarray:
     ]
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of the pieces (n + 1), which cover all bytes, and the first piece of each text (texts + 1)."""
+def cuts(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the pieces (n + 1), which cover all bytes, and the first piece of each text (texts + 1).  Texts whose rows are in ``whole`` are one piece."""
     if not len(data):
         return np.zeros(1, np.int64), np.zeros(len(offsets), np.int64)
     kind = _KIND[data]
@@ -49,9 +49,9 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     word_next[:-1] = ~space[1:] & ~last[1:-1]
     cut[1:-1] |= space[:-1] & space[1:] & word_next[1:]
     wide = wide_space(data)
-    if len(wide):
-        for row in np.unique(np.searchsorted(offsets, wide, side="right") - 1):
-            cut[offsets[row] : offsets[row + 1]] = False
+    rows = np.searchsorted(offsets, wide, side="right") - 1
+    for row in np.unique(rows if whole is None else np.concatenate([rows, whole])):
+        cut[offsets[row] : offsets[row + 1]] = False
     cut[offsets] = True
     edges = np.flatnonzero(cut)
     return edges, np.searchsorted(edges, offsets)

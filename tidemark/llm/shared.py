@@ -41,18 +41,22 @@ def fold(doc_id, parts: int = 5):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def fit_sample(rows: DataFrame, label: str, most: int, longest: int) -> pa.Table:
+def fit_sample(rows: DataFrame, label: str, most: int, longest: int, texts: DataFrame | None = None) -> pa.Table:
     """A bounded sample of labelled rows on the driver: (text, label) of about ``most`` rows, evenly from the labels, as chosen by a hash of doc_id.
 
-    Bounds: ``most`` rows at most and none with over ``longest`` characters.  Only the
-    counts of labels and the sampled rows reach the driver."""
+    rows have doc_id, the label and text, unless ``texts`` has those: then the sampled
+    ids, ``most`` at most, are broadcast to it.  Bounds: ``most`` rows and none with over
+    ``longest`` characters.  Only counts of labels and sampled rows reach the driver."""
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(1000).collect()}
     share = most / max(1, len(counts))
     draw = (F.xxhash64(F.col("doc_id")).bitwiseAND(0xFFFFFFF)) / float(1 << 28)
     picked = F.lit(False)
     for value, n in counts.items():
         picked = picked | ((F.col(label) == F.lit(value)) & (draw < min(1.0, 0.9 * share / n)))
-    return rows.filter(picked & (F.length("text") <= longest)).select("text", label).limit(most).toArrow()
+    chosen = rows.filter(picked)
+    if texts is not None:
+        chosen = texts.join(F.broadcast(chosen.select("doc_id", label).limit(most)), "doc_id")
+    return chosen.filter(F.length("text") <= longest).select("text", label).limit(most).toArrow()
 
 
 SALTS = 16
