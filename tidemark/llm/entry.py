@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_flac, op10_jaccard, op2_toxicity, op3_exact_dedup, op4_backoff_lm, op5_token_store, op6_secrets, op8_language, op9_byte_bpe
+from . import op1_flac, op10_jaccard, op2_toxicity, op3_exact_dedup, op4_backoff_lm, op5_token_store, op6_secrets, op7_mixing, op8_language, op9_byte_bpe
 
 QUERIES = {
     "op1_flac": op1_flac.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_backoff_lm": op4_backoff_lm.query,
     "op5_token_store": op5_token_store.query,
     "op6_secrets": op6_secrets.query,
+    "op7_mixing": op7_mixing.query,
     "op8_language": op8_language.query,
     "op9_byte_bpe": op9_byte_bpe.query,
     "op10_jaccard": op10_jaccard.query,
@@ -18,4 +19,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_exact_dedup": op3_exact_dedup.ORACLE,
+    "op7_mixing": op7_mixing.ORACLE,
 }
