@@ -6,13 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.columns import filled, filled_array, fingerprint, level, published_at, quality, url_id
 
 ENTITIES = "struct<tech: array<string>, org: array<string>, loc: array<string>>"
 #: Every alias that producers use, flat or nested.
-ENVELOPE = T._parse_datatype_string(
+ENVELOPE = (
     "message_type string, source_platform string, crawled_at string, data struct<"
     "title: string, publish_date: string, published_at: string, content: string, source_url: string, url: string, job_title: string, company_name: string, location: string, salary: string, level: string, "
     f"description: string, requirement: string, benefit: string, posted_date: string, size: string, field: string, skills: array<string>, technologies: array<string>, entities: {ENTITIES}, "
