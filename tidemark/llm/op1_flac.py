@@ -357,6 +357,8 @@ def header(media: bytes) -> dict | None:
     while at + 4 <= len(media):
         last, kind, size = media[at] >> 7, media[at] & 127, int.from_bytes(media[at + 1 : at + 4], "big")
         body = media[at + 4 : at + 4 + size]
+        if len(body) < size or kind == 0 and size != 34 or kind == 3 and size % 18:
+            return None
         if kind == 0:
             found |= {"samples": int.from_bytes(body[10:18], "big") & ((1 << 36) - 1), "md5": body[18:34]}
         elif kind == 3:

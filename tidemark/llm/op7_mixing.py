@@ -42,25 +42,25 @@ def topic(text: Column, tokens: Column) -> Column:
 
 
 def features(documents: DataFrame) -> DataFrame:
-    """The documents with _source, _lang, _topic and _tokens."""
+    """The documents with _mix_source, _mix_lang, _mix_topic and _mix_tokens, names that no column of theirs has."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = documents.withColumn("_tokens", F.greatest(F.regexp_count(text, F.lit(WORD)), F.lit(1)).cast("long"))
-    return out.withColumns({"_topic": topic(text, F.col("_tokens")), "_source": F.coalesce(F.col("source"), F.lit("(none)")), "_lang": F.coalesce(F.col("lang"), F.lit("(none)"))})
+    out = documents.withColumn("_mix_tokens", F.greatest(F.regexp_count(text, F.lit(WORD)), F.lit(1)).cast("long"))
+    return out.withColumns({"_mix_topic": topic(text, F.col("_mix_tokens")), "_mix_source": F.coalesce(F.col("source"), F.lit("(none)")), "_mix_lang": F.coalesce(F.col("lang"), F.lit("(none)"))})
 
 
 def default_targets(cells: DataFrame, dimension: str) -> DataFrame:
     """name, target: the tempered token shares of a dimension."""
-    sums = cells.groupBy(F.col(f"_{dimension}").alias("name")).agg(F.sum("tokens").cast("double").alias("t"))
+    sums = cells.groupBy(F.col(f"_mix_{dimension}").alias("name")).agg(F.sum("tokens").cast("double").alias("t"))
     return sums.select("name", F.pow("t", F.lit(TEMPER)).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """The cells (_source, _lang, _topic, tokens) with weight: fitted token weights, whose sum is 1."""
+    """The cells (_mix_source, _mix_lang, _mix_topic, tokens) with weight: fitted token weights, whose sum is 1."""
     out = cells
     for d in DIMENSIONS:
         wanted = (targets or {}).get(d)
         wanted = default_targets(cells, d) if wanted is None else wanted
-        out = out.join(wanted.select(F.col("name").alias(f"_{d}"), F.col("target").cast("double").alias(f"target_{d}")), f"_{d}", "left")
+        out = out.join(wanted.select(F.col("name").alias(f"_mix_{d}"), F.col("target").cast("double").alias(f"target_{d}")), f"_mix_{d}", "left")
     out = cut(out)
     if out.count() <= SMALL_CELLS:
         out = out.coalesce(1)
@@ -68,23 +68,23 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     out = out.withColumn("weight", F.when(F.col("target_source").isNull() | F.col("target_lang").isNull() | F.col("target_topic").isNull(), 0.0).otherwise(F.col("tokens").cast("double")))
     # A category's target counts once, however many cells it has.
     for d in DIMENSIONS:
-        first = Window.partitionBy(f"_{d}").orderBy(*(f"_{x}" for x in DIMENSIONS))
+        first = Window.partitionBy(f"_mix_{d}").orderBy(*(f"_mix_{x}" for x in DIMENSIONS))
         out = out.withColumn("once", F.when(F.row_number().over(first) == 1, F.col(f"target_{d}")).otherwise(0.0))
         out = out.withColumn(f"target_{d}", F.col(f"target_{d}") / F.sum("once").over(everything)).drop("once")
     for _ in range(rounds):
         for d in DIMENSIONS:
-            total = F.sum("weight").over(Window.partitionBy(f"_{d}"))
+            total = F.sum("weight").over(Window.partitionBy(f"_mix_{d}"))
             out = out.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"target_{d}") / total).otherwise(0.0))
-    return out.select(*(f"_{d}" for d in DIMENSIONS), "tokens", "weight")
+    return out.select(*(f"_mix_{d}" for d in DIMENSIONS), "tokens", "weight")
 
 
 def probabilities(documents: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """_source, _lang, _topic, weight (wanted tokens per token, 1 on average), probability of each cell."""
-    cells = features(documents).groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
+    """_mix_source, _mix_lang, _mix_topic, _mix_weight (wanted tokens per token, 1 on average), _mix_probability of each cell."""
+    cells = features(documents).groupBy("_mix_source", "_mix_lang", "_mix_topic").agg(F.sum("_mix_tokens").alias("tokens"))
     raked = rake(cut(cells), targets)
     everything = Window.partitionBy(F.lit(0))
     ratio = raked.withColumn("weight", F.col("weight") / F.col("tokens") * F.sum("tokens").over(everything))
-    return cut(ratio.select("_source", "_lang", "_topic", "weight", (F.col("weight") / F.max("weight").over(everything)).alias("probability")))
+    return cut(ratio.select("_mix_source", "_mix_lang", "_mix_topic", F.col("weight").alias("_mix_weight"), (F.col("weight") / F.max("weight").over(everything)).alias("_mix_probability")))
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -94,27 +94,27 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
 
 
 def mixed(documents: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The documents with _source, _lang, _topic, _tokens, weight, probability and selected."""
+    """The documents with _mix_ columns: source, lang, topic, tokens, weight, probability and selected."""
     cells = probabilities(documents, targets)
     rows = features(documents)
     if cells.count() <= SMALL_CELLS:
-        joined = rows.join(F.broadcast(cells), ["_source", "_lang", "_topic"], "left")
+        joined = rows.join(F.broadcast(cells), ["_mix_source", "_mix_lang", "_mix_topic"], "left")
     else:
-        key = F.struct("_source", "_lang", "_topic")
-        joined = join_back(rows.withColumn("_cell", key), cells.select(key.alias("_cell"), "weight", "probability"), "_cell").drop("_cell")
-    return joined.withColumn("selected", draw(F.col("doc_id")) < F.coalesce("probability", F.lit(0.0)))
+        key = F.struct("_mix_source", "_mix_lang", "_mix_topic")
+        joined = join_back(rows.withColumn("_mix_cell", key), cells.select(key.alias("_mix_cell"), "_mix_weight", "_mix_probability"), "_mix_cell").drop("_mix_cell")
+    return joined.withColumn("_mix_selected", draw(F.col("doc_id")) < F.coalesce("_mix_probability", F.lit(0.0)))
 
 
 def sample(documents: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """The documents drawn, with their own columns."""
-    return mixed(documents, targets).filter("selected").select(*documents.columns)
+    return mixed(documents, targets).filter("_mix_selected").select(*documents.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .shared import table
 
     out = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "selected")
+    return out.select("doc_id", F.col("_mix_source").alias("source"), F.col("_mix_lang").alias("lang"), F.col("_mix_topic").alias("topic"), F.col("_mix_tokens").alias("n_tokens"), F.round("_mix_weight", 6).alias("weight"), F.round("_mix_probability", 6).alias("probability"), F.col("_mix_selected").alias("selected"))
 
 
 def _oracle() -> str:
