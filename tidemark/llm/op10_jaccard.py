@@ -212,15 +212,16 @@ def jaccard_groups(documents: DataFrame, words: int = WORDS, share: tuple[int, i
     parts = found.filter("part IS NOT NULL").select("set_id", "n", "part", "shared").dropDuplicates(["set_id", "part"])
     prefix = found.filter("part = 0").select("set_id", "n", F.explode("prefix").alias("x")).select("set_id", "n", "x.key", "x.at").distinct()
 
-    # One set of each shingle against the others.
-    lead = prefix.groupBy("key").agg(F.min(F.struct("set_id", "n", "at")).alias("l"), F.count("*").alias("sets")).filter("sets > 1").select("key", "l.*")
+    # One set of each shingle against the others: the one with the fewest rare shingles of its own before it, the likeliest centre of a group.
+    # (Written out, so that both sides of the join are shuffled for it and a hot shingle's side can be split.)
+    lead = cut(prefix.groupBy("key").agg(F.min(F.struct("at", "set_id", "n")).alias("l"), F.count("*").alias("sets")).filter("sets > 1").select("key", "l.*"))
     stars = prefix.alias("x").join(lead.alias("l"), "key").filter((F.col("x.set_id") != F.col("l.set_id")) & _possible("x", "l", share))
     links = cut(overlaps(stars.select(F.col("x.set_id").alias("a"), F.col("l.set_id").alias("b")).distinct(), parts, share))
     nodes = cut(components(links))
 
     # What still lies in different components.
     named = prefix.join(nodes, prefix["set_id"] == nodes["node"], "left").select("key", "set_id", "n", "at", F.coalesce("component", "set_id").alias("c"))
-    apart = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct("set_id", "c")).alias("l")).filter("c0 < c1").select("key", F.col("l.set_id").alias("lead"), F.col("l.c").alias("lead_c"))
+    apart = cut(named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct("at", "set_id", "c")).alias("l")).filter("c0 < c1").select("key", F.col("l.set_id").alias("lead"), F.col("l.c").alias("lead_c")))
     split = named.join(apart, "key")
     pairs = split.filter("c <> lead_c").alias("x").join(split.alias("y"), "key").filter((F.col("x.c") != F.col("y.c")) & (F.col("y.set_id") != F.col("y.lead")) & _possible("x", "y", share))
     more = overlaps(pairs.select(F.greatest("x.set_id", "y.set_id").alias("a"), F.least("x.set_id", "y.set_id").alias("b")).distinct(), parts, share)

@@ -24,10 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import _M1, binary_column, lower_ascii, text_slices
+from .blocks import _M1, binary_column, chunk_ends, lower_ascii, text_slices
+from .shared import join_back
 
 CHUNK_BITS = 10  # 1 KiB on average
-MIN_GAP, MAX_CHUNK = 64, 16384
+WINDOW, MIN_GAP, MAX_CHUNK = 8, 64, 16384  # bytes
 
 
 def chunk_cuts(data: np.ndarray, offsets: np.ndarray, bits: int = CHUNK_BITS) -> np.ndarray:
@@ -36,23 +37,10 @@ def chunk_cuts(data: np.ndarray, offsets: np.ndarray, bits: int = CHUNK_BITS) ->
     A position is a cut if the hash of the eight bytes before it ends in zeros and none
     of the MIN_GAP positions before is; chunks are cut after MAX_CHUNK bytes at last."""
     inner = np.zeros(0, np.int64)
-    if len(data) > 8:
-        window = np.ndarray((len(data) - 7,), "<u8", buffer=np.ascontiguousarray(data), strides=(1,))
-        inner = np.flatnonzero((window * _M1) >> np.uint64(64 - bits) == 0) + 8
-        row = np.searchsorted(offsets, inner, side="left") - 1
-        inner = inner[(inner - 8 >= offsets[row]) & (inner < offsets[row + 1])]
-        row = np.searchsorted(offsets, inner, side="left") - 1
-        apart = np.ones(len(inner), bool)
-        apart[1:] = (np.diff(inner) > MIN_GAP) | (row[1:] != row[:-1])
-        inner = inner[apart]
-    ends = np.unique(np.concatenate([inner, offsets[1:]]))
-    ends = ends[ends > 0]
-    sizes = np.diff(ends, prepend=0)
-    long = np.flatnonzero(sizes > MAX_CHUNK)
-    if len(long):
-        extra = [np.arange(ends[i] - sizes[i] + MAX_CHUNK, ends[i], MAX_CHUNK) for i in long]
-        ends = np.unique(np.concatenate([ends, *extra]))
-    return ends
+    if len(data) > WINDOW:
+        window = np.ndarray((len(data) - WINDOW + 1,), "<u8", buffer=np.ascontiguousarray(data), strides=(1,))
+        inner = np.flatnonzero((window * _M1) >> np.uint64(64 - bits) == 0) + WINDOW
+    return chunk_ends(inner, offsets, WINDOW, MIN_GAP, MAX_CHUNK)
 
 
 def xxh128(chunk: memoryview) -> bytes:
@@ -123,8 +111,9 @@ def verified_recipes(documents: DataFrame, digest: Callable[[memoryview], bytes]
 def exact_groups(documents: DataFrame, digest: Callable[[memoryview], bytes] = xxh128) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
     listed = verified_recipes(documents, digest)
-    groups = listed.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return listed.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = listed.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    flagged = join_back(listed, groups, "recipe").select("doc_id", F.when(F.col("group_size") > 1, F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "text_sha256")
+    return flagged.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 Files, all Parquet, written by Spark into one folder:
 
-``chunks``     digest, n, body: each distinct chunk of ids once; the digest is the SHA-256
-               of the ids as little-endian unsigned 32-bit integers, the body those ids as
-               compressed byte planes (two bytes an id if all fit, else four).
-``recipes``    part, doc_id, n_tokens, digests, root: a document's chunks in order and the
-               Merkle root of their digests; parts are ranges of doc_id, rows ascend.
+``items``      kind, doc_id, digest, n, body, copies.  Chunks: each distinct run of ids once;
+               the digest is the SHA-256 of the ids as little-endian unsigned 32-bit
+               integers, the body those ids as compressed byte planes (two bytes an id if
+               all fit, else four).  Recipes: a document's chunk digests in order, and the
+               Merkle root over them.
+``recipes``    part, doc_id, n_tokens, digests, root: the recipes in ascending doc_id order;
+               parts are ranges of doc_id.
 ``manifests``  part, documents, tokens, root: the Merkle root of a part's documents.
 
 A stream of ids is cut where a rolling polynomial hash of the last WINDOW ids has leading
@@ -24,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .blocks import binary_column, chunk_ends, lower_ascii, pack_numbers, ranges, text_slices, unpack_numbers
 from .segments import cuts
-from .shared import cut, shared_folder, width
+from .shared import shared_folder, width
 
 END_ID = 2
 WINDOW, CHUNK_BITS, MIN_GAP, MAX_CHUNK = 16, 9, 64, 8192
@@ -43,7 +46,37 @@ CACHE_WORDS = 300_000  # words a worker remembers, at most
 _cache: dict[bytes, bytes] = {}
 
 
-def encode_slice(data: np.ndarray, offsets: np.ndarray, tokenizer) -> tuple[np.ndarray, np.ndarray]:
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones for themselves, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+
+
+class WordEncoder:
+    """Ids of words without white space, by the tokenizer library.
+
+    Words of lower-case Latin-1 letters pass its normaliser and pre-tokeniser unchanged but
+    for the byte letters, so they go to its model directly, if it does so with PROBES."""
+
+    PROBES = ("a", "the", "stthere", "élève", "größe", "ñandú", "zzxqj", "ÿþøå")
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.whole, self.letters = Tokenizer.from_file(path), byte_letters()
+        self.model = self.whole.model
+        self.direct = True
+        self.direct = all(self(p.encode()) == self.whole.encode(p, add_special_tokens=False).ids for p in self.PROBES)
+
+    def __call__(self, word: bytes) -> list[int]:
+        text = word.decode()
+        if self.direct and text.isalpha() and text.islower() and (text.isascii() or max(text) < "\u0100"):
+            return [t.id for t in self.model.tokenize(text if text.isascii() else word.decode("latin-1").translate(self.letters))]
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+
+def encode_slice(data: np.ndarray, offsets: np.ndarray, encoder: WordEncoder) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each with END_ID appended, and the offsets of the texts in them.
 
     The tokenizer lower-cases and splits at white space, letters, digits and signs, so the
@@ -55,15 +88,18 @@ def encode_slice(data: np.ndarray, offsets: np.ndarray, tokenizer) -> tuple[np.n
         low[offsets[row] : offsets[row + 1]] = data[offsets[row] : offsets[row + 1]]
     edges, first = cuts(low, offsets, whole)
     coded = binary_column(low, edges).dictionary_encode()
-    words = [w.strip() for w in coded.dictionary.to_pylist()]
-    new = list({w for w in words if w not in _cache})
-    known = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True)} if new else {}
-    made = [known[w] if w in known else _cache[w] for w in words]
-    if len(_cache) + len(known) > CACHE_WORDS:
-        _cache.clear()
-    if len(known) <= CACHE_WORDS:
-        _cache.update((w, x) for w, x in known.items() if len(w) < 64)
-    counts = np.array([len(x) // 4 for x in made], np.int64)
+    made = []
+    for word in coded.dictionary.to_pylist():
+        word = word.strip()
+        ids = _cache.get(word)
+        if ids is None:
+            ids = array("I", encoder(word)).tobytes()
+            if len(_cache) >= CACHE_WORDS:
+                _cache.clear()
+            if len(word) < 64:
+                _cache[word] = ids
+        made.append(ids)
+    counts = np.fromiter(map(len, made), np.int64, len(made)) // 4
     table, begin = np.frombuffer(b"".join(made), "<u4"), np.cumsum(counts) - counts
     codes = coded.indices.to_numpy(zero_copy_only=False)
     upto = np.concatenate([[0], np.cumsum(counts[codes])])[first]
@@ -100,32 +136,31 @@ def unpack_ids(body: bytes) -> np.ndarray:
     return unpack_numbers(body[1:], body[0]).astype("<u4")
 
 
-def _chunked(documents: DataFrame, tokenizer_path: str, recipes: bool) -> DataFrame:
-    """Chunks or recipes of the documents' ids; both come from the same cuts."""
+CHUNK, RECIPE = "chunk", "recipe"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+def items(documents: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Chunks (digest, n, body: ids) and recipes (doc_id, digest: Merkle root, n, body: the chunks' digests in order), by kind."""
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder(tokenizer_path)
         for rows, data, offsets in text_slices(batches, limit=4 << 20):
-            ids, upto = encode_slice(data, offsets, tokenizer)
+            ids, upto = encode_slice(data, offsets, encoder)
             ends = id_cuts(ids, upto)
             edges = [0, *ends.tolist()]
             view = memoryview(ids.astype("<u4").tobytes())
             digests = [hashlib.sha256(view[4 * a : 4 * b]).digest() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            if recipes:
-                at = np.searchsorted(ends, upto, side="right").tolist()
-                lists = [digests[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(upto), pa.int64()), pa.array(lists, pa.list_(pa.binary())), pa.array([merkle(x) for x in lists], pa.binary())], ["doc_id", "n_tokens", "digests", "root"])
-            else:
-                own = {d: i for i, d in enumerate(digests)}
-                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([edges[i + 1] - edges[i] for i in own.values()], pa.int64()), pa.array([pack_ids(ids[edges[i] : edges[i + 1]]) for i in own.values()], pa.binary())], ["digest", "n", "body"])
+            own = {d: i for i, d in enumerate(digests)}
+            at = np.searchsorted(ends, upto, side="right").tolist()
+            lists = [digests[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            parts = (
+                (CHUNK, pa.nulls(len(own), pa.int64()), list(own), [edges[i + 1] - edges[i] for i in own.values()], [pack_ids(ids[edges[i] : edges[i + 1]]) for i in own.values()]),
+                (RECIPE, rows.column("doc_id"), [merkle(x) for x in lists], np.diff(upto), [b"".join(x) for x in lists]),
+            )
+            for kind, doc_ids, digest, n, body in parts:
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(digest), pa.string()), doc_ids, pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(body, pa.binary())], ["kind", "doc_id", "digest", "n", "body"])
 
-    schema = "doc_id long, n_tokens long, digests array<binary>, root binary" if recipes else "digest binary, n long, body binary"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind string, doc_id long, digest binary, n long, body binary")
 
 
 def write_store(documents: DataFrame, folder: str, tokenizer_path: str | None = None) -> None:
@@ -134,19 +169,29 @@ def write_store(documents: DataFrame, folder: str, tokenizer_path: str | None =
         import public_tokenizers as P
 
         tokenizer_path = P.path("word_bpe_49k.json")
-    n = width(documents.sparkSession)
-    distinct = _chunked(documents, tokenizer_path, False).groupBy("digest", "n", "body").agg(F.lit(1).alias("one")).drop("one")
-    distinct.sortWithinPartitions("digest").write.parquet(f"{folder}/chunks")
-    listed = cut(_chunked(documents, tokenizer_path, True))
-    ordered = listed.repartitionByRange(n, "doc_id", "root").withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id", "root")
+    spark = documents.sparkSession
+    distinct = items(documents, tokenizer_path).groupBy("kind", "doc_id", "digest", "n", "body").agg(F.count("*").alias("copies"))
+    distinct.write.partitionBy("kind").parquet(f"{folder}/items")
+    listed = stored_items(spark, folder, RECIPE).select("doc_id", F.col("digest").alias("root"), F.col("n").alias("n_tokens"), F.col("body").alias("digests"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    ordered = listed.repartitionByRange(width(spark), "doc_id", "root", "copy").withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id", "root", "copy")
     ordered.select("part", "doc_id", "n_tokens", "digests", "root").write.parquet(f"{folder}/recipes")
 
     def manifest(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("root", "ascending")])
         return pa.table({"part": table.column("part").slice(0, 1), "documents": [table.num_rows], "tokens": [sum(table.column("n_tokens").to_pylist())], "root": [merkle(table.column("root").to_pylist())]})
 
-    stored = documents.sparkSession.read.parquet(f"{folder}/recipes")
-    stored.select("part", "doc_id", "n_tokens", "root").groupBy("part").applyInArrow(manifest, "part int, documents long, tokens long, root binary").write.parquet(f"{folder}/manifests")
+    spark.read.parquet(f"{folder}/recipes").select("part", "doc_id", "n_tokens", "root").groupBy("part").applyInArrow(manifest, "part int, documents long, tokens long, root binary").write.parquet(f"{folder}/manifests")
+
+
+def stored_items(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    schema = "doc_id long, digest binary, n long, body binary, copies long, kind string"
+    return spark.read.schema(schema).parquet(f"{folder}/items").filter(F.col("kind") == kind)
+
+
+def digest_list(body) -> object:
+    """The digests, 32 bytes each, that a recipe joins."""
+    n = (F.length(body) / 32).cast("int")
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(body, (i - 1) * 32 + 1, F.lit(32)))
 
 
 # Checksums of joined texts: crc(ab) = shift(crc(a), length of b) ^ crc(b); a shift by 2^j bytes is linear over bits.
@@ -191,11 +236,11 @@ def verify(spark: SparkSession, folder: str) -> DataFrame:
             bodies = [unpack_ids(b).tobytes() for b in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([hashlib.sha256(b).digest() for b in bodies], pa.binary()), pa.array([len(b) // 4 for b in bodies], pa.int64()), pa.array([zlib.crc32(b) for b in bodies], pa.int64())], ["digest", "found", "size", "crc"])
 
-    chunks = spark.read.parquet(f"{folder}/chunks").select("digest", "body").mapInArrow(check, "digest binary, found binary, size long, crc long")
+    chunks = stored_items(spark, folder, CHUNK).select("digest", "body").mapInArrow(check, "digest binary, found binary, size long, crc long")
     recipes = spark.read.parquet(f"{folder}/recipes")
     row = Window.partitionBy("part").orderBy("doc_id", "root")
     numbered = recipes.withColumn("nth", F.row_number().over(row)).withColumn("inside", F.sum("n_tokens").over(row.rowsBetween(Window.unboundedPreceding, -1)))
-    places = numbered.select("part", "nth", F.posexplode("digests").alias("at", "digest"))
+    places = numbered.select("part", "nth", F.posexplode(digest_list(F.col("digests"))).alias("at", "digest"))
     found = places.join(chunks, "digest", "left").groupBy("part", "nth").agg(F.array_sort(F.collect_list(F.struct("at", "found", "size", "crc"))).alias("pieces"))
     totals = spark.read.parquet(f"{folder}/manifests").select("part", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     whole = numbered.select("part", "nth", "doc_id", "n_tokens", "root", F.coalesce("inside", F.lit(0)).alias("inside")).join(found, ["part", "nth"]).join(totals, "part").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "root", "pieces")
@@ -223,8 +268,8 @@ def verify(spark: SparkSession, folder: str) -> DataFrame:
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """part, nth (in the part), doc_id, ids: the documents' ids, put together from chunks."""
     row = Window.partitionBy("part").orderBy("doc_id", "root")
-    places = spark.read.parquet(f"{folder}/recipes").withColumn("nth", F.row_number().over(row)).select("part", "nth", "doc_id", F.posexplode("digests").alias("at", "digest"))
-    found = places.join(spark.read.parquet(f"{folder}/chunks"), "digest").groupBy("part", "nth", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "body"))), lambda x: x["body"]).alias("bodies"))
+    places = spark.read.parquet(f"{folder}/recipes").withColumn("nth", F.row_number().over(row)).select("part", "nth", "doc_id", F.posexplode(digest_list(F.col("digests"))).alias("at", "digest"))
+    found = places.join(stored_items(spark, folder, CHUNK).select("digest", "body"), "digest").groupBy("part", "nth", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "body"))), lambda x: x["body"]).alias("bodies"))
 
     def glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
