@@ -58,7 +58,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def fit(texts: pa.Array, languages: list[str]) -> Model:
     names = sorted(set(languages))
     if not names:
-        return Model([], np.zeros((1, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(0)
     y = np.array([names.index(x) for x in languages])
     data, offsets = text_bytes(texts)
