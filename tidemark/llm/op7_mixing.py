@@ -62,7 +62,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
         wanted = default_targets(cells, d) if wanted is None else wanted
         out = out.join(wanted.select(F.col("name").alias(f"_mix_{d}"), F.col("target").cast("double").alias(f"target_{d}")), f"_mix_{d}", "left")
     out = cut(out)
-    if out.count() <= SMALL_CELLS:
+    small = out.count() <= SMALL_CELLS
+    if small:
         out = out.coalesce(1)
     everything = Window.partitionBy(F.lit(0))
     out = out.withColumn("weight", F.when(F.col("target_source").isNull() | F.col("target_lang").isNull() | F.col("target_topic").isNull(), 0.0).otherwise(F.col("tokens").cast("double")))
@@ -75,6 +76,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
         for d in DIMENSIONS:
             total = F.sum("weight").over(Window.partitionBy(f"_mix_{d}"))
             out = out.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"target_{d}") / total).otherwise(0.0))
+        if not small:  # each window shuffles: a plan of all rounds would be planned anew after every one
+            out = cut(out)
     return out.select(*(f"_mix_{d}" for d in DIMENSIONS), "tokens", "weight")
 
 
