@@ -16,6 +16,10 @@ from tidemark.llm import op2_toxicity, op3_exact_dedup, op7_mixing, op9_byte_bpe
 from tidemark.llm.shared import shared_folder, table
 
 
+#: Near copies have this share of their five-word shingles in common.  (The op10 query's own contract is 3 words and 90 / 100.)
+NEAR_WORDS, NEAR_SHARE = 5, (80, 100)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the model learns from the labels of those that came in."""
     return op2_toxicity.remove_toxic(docs, table(spark, sf_dir, "labels"))
@@ -28,7 +32,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by their shingles the one with the smallest id stays."""
-    return op10_jaccard.keep_one(docs)
+    return op10_jaccard.keep_one(docs, NEAR_WORDS, NEAR_SHARE)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

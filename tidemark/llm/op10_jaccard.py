@@ -232,9 +232,9 @@ def jaccard_groups(documents: DataFrame, words: int = WORDS, share: tuple[int, i
     return join_back(placed, groups, "c").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
     """The document with the smallest id of each component, with all its columns."""
-    kept = jaccard_groups(documents).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    kept = jaccard_groups(documents, words, share).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return documents.join(kept, documents["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
 
 
