@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,11 +105,11 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, weight:
     return rank
 
 
-def connected(edges: DataFrame, most: int = 50) -> DataFrame:
-    """id, component (the smallest id reachable), by labels that take the smallest neighbour's and jump."""
+def connected(edges: DataFrame, most: int | None = 50) -> DataFrame:
+    """id, component (the smallest id reachable), by labels that take the smallest neighbour's and jump; ``most`` None goes on until no label changes."""
     both = cut(symmetric(edges))
     label = both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("component"))
-    for _ in range(most):
+    for _ in itertools.count() if most is None else range(most):
         near = both.join(label, both["dst"] == label["id"]).groupBy("src").agg(F.min("component").alias("m"))
         step = label.join(near, label["id"] == near["src"], "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("c"))
         jump = step.select(F.col("id").alias("j"), F.col("c").alias("jc"))

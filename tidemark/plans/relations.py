@@ -295,6 +295,12 @@ def components(spark, d):
     return graph.connected(edges(spark, d).filter(F.col("src").isin("c1", "c2", "c4")))
 
 
+@query("o133_all_components")
+def all_components(spark, d):
+    """Components of the whole graph; ``o133_components`` is bound to the three customers of its SQL."""
+    return graph.connected(edges(spark, d), most=None)
+
+
 @query("o134_node2vec")
 def node2vec(spark, d):
     return graph.node2vec(small_edges(spark, d).filter("shared >= 4"))
