@@ -2,7 +2,9 @@
 
 import collections
 import datetime as dt
+import re
 
+from tidemark.functions.vocabulary import TECH_TERMS
 from tidemark.plans import registry
 
 
@@ -35,3 +37,16 @@ def test_components_of_all_customers_and_suppliers(spark, tmp_path):
     got = [tuple(r) for r in registry.QUERIES["o133_all_components"](spark, str(tmp_path)).select("id", "component").collect()]
     assert len(got) == len(want) and dict(got) == want
     assert len(collections.Counter(want.values())) == 6
+
+
+def terms_brute(text):
+    keys = "|".join(re.escape(k) for k in sorted(TECH_TERMS, key=len, reverse=True))
+    return sorted({TECH_TERMS[k] for k in re.findall(rf"(?<!\w)(?:{keys})(?!\w)", (text or "").lower())})
+
+
+def test_entities_of_every_text(spark, tmp_path):
+    texts = ["Python and JavaScript, not Javanese", "C++ or C# or c", "no technology", None, "", "học máy với Spring Boot", "Node.js, node.js; NODE.JS", "MySQL SQL", "sparkling", "é-python é python3 (Rust)"]
+    write(spark, tmp_path, "benchmark", list(enumerate(texts)), "item_id long, text string")
+    got = {r["item_id"]: (r["found"], r["n"]) for r in registry.QUERIES["o042_all_entities"](spark, str(tmp_path)).collect()}
+    assert got == {i: (",".join(terms_brute(t)), len(terms_brute(t))) for i, t in enumerate(texts)}
+    assert got[0] == ("JavaScript,Python", 2) and got[3] == ("", 0)

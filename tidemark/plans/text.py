@@ -173,6 +173,13 @@ def entities(spark, d):
     return t.filter("n = 0")
 
 
+@query("o042_all_entities")
+def all_entities(spark, d):
+    """The terms of every text and their number; ``o042_query_entities`` is bound to the texts without any of its SQL."""
+    found = S.table(spark, d, "benchmark").select("item_id", C.terms(F.col("text"), TECH_TERMS).alias("f"))
+    return found.select("item_id", F.array_join("f", ",").alias("found"), F.size("f").alias("n"))
+
+
 @query("o185_threshold_sweep", "WITH s AS (SELECT doc_id, least(n_chars / 3000.0, 1.0) AS score, quality AS label FROM documents JOIN labels USING (doc_id)), l AS (SELECT i / 10.0 AS lim FROM range(0, 11) t(i)), g AS (SELECT lim, CAST(sum(CASE WHEN score >= lim AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN score >= lim AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN score < lim AND label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn, CAST(sum(CASE WHEN score < lim AND label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM s, l GROUP BY 1) SELECT round(CAST(lim AS DOUBLE), 1) AS \"limit\", tp, fp, tn, fn, round((tp + tn) / CAST(tp + fp + tn + fn AS DOUBLE), 4) AS accuracy, CASE WHEN tp + fp = 0 THEN 0.0 ELSE round(tp / CAST(tp + fp AS DOUBLE), 4) END AS precision, CASE WHEN tp + fn = 0 THEN 0.0 ELSE round(tp / CAST(tp + fn AS DOUBLE), 4) END AS recall, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE round(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 4) END AS f1 FROM g")
 def sweep(spark, d):
     rows = S.table(spark, d, "documents").join(S.table(spark, d, "labels"), "doc_id").select(F.least(F.col("n_chars") / 3000.0, F.lit(1.0)).alias("score"), F.col("quality").alias("label"))
