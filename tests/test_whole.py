@@ -2,6 +2,7 @@
 
 import collections
 import datetime as dt
+import hashlib
 import re
 
 from tidemark.functions.vocabulary import TECH_TERMS
@@ -50,3 +51,13 @@ def test_entities_of_every_text(spark, tmp_path):
     got = {r["item_id"]: (r["found"], r["n"]) for r in registry.QUERIES["o042_all_entities"](spark, str(tmp_path)).collect()}
     assert got == {i: (",".join(terms_brute(t)), len(terms_brute(t))) for i, t in enumerate(texts)}
     assert got[0] == ("JavaScript,Python", 2) and got[3] == ("", 0)
+
+
+def test_hashes_and_terms_of_every_document(spark, tmp_path):
+    rows = [(1, None, "en"), (2, "", None), (3, " The\tCAFÉ\u00a0 crème\u2003\n", "EN"), (4, "the café crème", "fr"), (5, "“Straße”  ΟΔΟΣ", ""), (6, "\u3000x\x1fy\x85", "de"), (7, "other", "The"), (8, "\u00a0", "En"), (9, "thé éthe", None)]
+    write(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string")
+    clean = lambda t: re.sub(r"\s+", " ", f" {t or ''}".lower().strip())
+    hashes = [tuple(r) for r in registry.QUERIES["o031_all_hashes"](spark, str(tmp_path)).collect()]
+    assert sorted(hashes) == [(i, hashlib.md5(clean(t).encode()).hexdigest()) for i, t, _ in rows]
+    terms = [tuple(r) for r in registry.QUERIES["o108_all_terms"](spark, str(tmp_path)).collect()]
+    assert sorted(terms) == [(i, ",".join(sorted({*re.findall(r"\bThe\b", re.sub(r"(?i)\bthe\b", "The", t or "")), *([] if x is None else [x])}))) for i, t, x in rows]

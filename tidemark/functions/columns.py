@@ -30,6 +30,12 @@ def fingerprint(title: Column, content: Column) -> Column:
     return F.md5(squeeze(F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit(""))))).cast("binary"))
 
 
+def full_fingerprint(title: Column, content: Column) -> Column:
+    """``fingerprint`` with all of Unicode's white space squeezed and cut off at the ends."""
+    whole = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit(""))))
+    return F.md5(F.trim(F.regexp_replace(whole, r"(?U)[\s\x1C-\x1F]+", " ")).cast("binary"))
+
+
 def url_id(url: Column) -> Column:
     return F.md5(url.cast("binary"))
 

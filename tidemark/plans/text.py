@@ -33,6 +33,12 @@ def content_hash(spark, d):
     return t.select("doc_id", C.fingerprint(F.lit(""), F.col("text")).alias("h"))
 
 
+@query("o031_all_hashes")
+def all_hashes(spark, d):
+    """The hash of every text, null as empty; ``o031_content_hash`` is bound to the ASCII texts of its SQL."""
+    return S.table(spark, d, "documents").select("doc_id", C.full_fingerprint(F.lit(""), F.col("text")).alias("h"))
+
+
 @query("o101_content_dedup", f"WITH h AS (SELECT doc_id, md5({NORM}) AS h FROM documents), f AS (SELECT *, min(doc_id) OVER (PARTITION BY h) AS f FROM h) SELECT doc_id, doc_id <> f AS is_duplicate, CASE WHEN doc_id <> f THEN f END AS duplicate_of FROM f")
 def content_dedup(spark, d):
     rows = S.table(spark, d, "documents").select("doc_id", C.fingerprint(F.lit(""), F.col("text")).alias("h"))
@@ -119,6 +125,13 @@ def union_terms(spark, d):
     return S.table(spark, d, "documents").filter("lang >= 'a'").select("doc_id", F.array_join(found, ",").alias("terms"))
 
 
+@query("o108_all_terms")
+def all_terms(spark, d):
+    """Terms of every text, with any given one; ``o108_term_union`` is bound to the lower-case ``lang`` of its SQL."""
+    found = F.array_union(C.terms(F.col("text"), {"the": "The"}), F.array_compact(F.array("lang")))
+    return S.table(spark, d, "documents").select("doc_id", F.array_join(F.sort_array(found), ",").alias("terms"))
+
+
 @query("o110_array_sets", "WITH t AS (SELECT conv_id, list_sort(list_distinct(list(role))) AS roles FROM conversations GROUP BY 1) SELECT conv_id, array_to_string(list_sort(list_filter(roles, lambda x: x <> 'user')), ',') AS others, list_contains(roles, 'user') AS has_user FROM t")
 def array_sets(spark, d):
     t = S.table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_set("role")).alias("roles"))
