@@ -2,7 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
+from tidemark.llm import op2_toxicity, op3_exact_dedup, op10_jaccard
+from tidemark.llm.blocks import text_bytes
 
 
 def near_copies():
@@ -19,3 +24,45 @@ def near_copies():
 def test_near_dedup_links_copies_with_a_passage_added_or_some_words_changed(spark):
     docs = spark.createDataFrame(near_copies(), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 4, 5]
+
+
+#: Ids that are null, or repeated with other texts; the last row repeats one wholly.
+AWKWARD = [(None, "green river under cold stone light"), (None, "a quite different text without any id"), (None, "you grumblefink of all"), (7, "seven walks in one house today"), (7, "another seven sits by the window"), (7, "you grumblefink again"), (3, "seven walks in one house today"), (None, None), (8, ""), (8, "ÄÖ Zwei Wörter und noch einige mehr"), (8, "ÄÖ zwei wörter und noch einige mehr"), (7, "another seven sits by the window")]
+
+
+def awkward(spark):
+    return spark.createDataFrame(AWKWARD, "doc_id long, text string").repartition(3)
+
+
+def rows(frame):
+    return sorted(((r["doc_id"], r["text"]) for r in frame.collect()), key=repr)
+
+
+def test_exact_dedup_keeps_one_row_of_each_text(spark):
+    got = rows(op3_exact_dedup.deduplicate(awkward(spark)))
+    eight = [r for r in got if (r[1] or "").startswith("ÄÖ")]
+    assert len(eight) == 1 and eight[0] in AWKWARD
+    assert [r for r in got if r not in eight] == sorted([*AWKWARD[:6], (8, "")], key=repr)
+
+
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    got = rows(op10_jaccard.keep_one(awkward(spark), 5, (80, 100)))
+    eight = [r for r in got if (r[1] or "").startswith("ÄÖ")]
+    assert len(eight) == 1 and eight[0] in AWKWARD
+    assert [r for r in got if r not in eight] == sorted([*AWKWARD[:3], AWKWARD[4], AWKWARD[5], *AWKWARD[6:9]], key=repr)
+
+
+def test_toxic_rows_go_without_others_of_their_id(spark, monkeypatch):
+    def toxic_word(texts, toxic):
+        weights = np.zeros((1 << op2_toxicity.BITS) + 2)
+        weights[-1] = op2_toxicity.BIAS
+        ids, *_ = op2_toxicity._features(*text_bytes(pa.array(["grumblefink"])))
+        weights[ids[ids < 1 << op2_toxicity.BITS]] = 5.0
+        return weights
+
+    monkeypatch.setattr(op2_toxicity, "fit", toxic_word)
+    labels = spark.createDataFrame([(7, 1), (3, 0)], "doc_id long, toxic int")
+    docs = awkward(spark)
+    out = op2_toxicity.remove_toxic(docs, labels)
+    assert out.columns == docs.columns
+    assert rows(out) == sorted((r for r in AWKWARD if "grumblefink" not in (r[1] or "")), key=repr)

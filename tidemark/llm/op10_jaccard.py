@@ -22,10 +22,13 @@ Defined cases: null and empty texts have no set, n_shingles 0, and are their own
 component (their doc_id); with fewer words than a shingle has, the whole sequence is one;
 rows that repeat a doc_id are documents of their own with that id; a null doc_id counts
 as a document, but never as the smallest id unless a component has no other.
+``keep_one`` keeps one row of each component, so of rows with one id and different texts
+all that lie in different components can stay.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +51,7 @@ from .blocks import (
     unpack_sorted,
     word_spans,
 )
-from .shared import components, cut, join_back, width
+from .shared import components, cut, join_back, join_rows, text_digest, width
 
 WORDS, SHARE = 3, (90, 100)  # Jaccard of 90 / 100 at least
 VERTICAL = 4
@@ -140,18 +143,19 @@ def count_holders(parts: DataFrame) -> DataFrame:
 
 
 def candidates(blocks: DataFrame, counts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """Rows of two kinds.  Without ``part``: a document (doc_id, set_id, n).  With it: a vertical fragment of a set that may link (set_id, n, shared), the first one with the set's prefix."""
-    names = ["doc_id", "set_id", "n", "part", "prefix", "shared"]
+    """Rows of two kinds.  Without ``part``: a document (doc_id, set_id, n, digest of its text).  With it: a vertical fragment of a set that may link (set_id, n, shared), the first one with the set's prefix."""
+    names = ["doc_id", "set_id", "n", "part", "prefix", "shared", "digest"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[] for _ in names]
         right = right.sort_by("frag")
         holders = np.concatenate([unpack_numbers(x, 4) for x in right.column("holders").to_pylist()] or [np.zeros(0, np.int64)]).astype(np.int64)
         for b in left.to_pylist():
-            value, begin, ids = shingle_sets(*open_block(b["sizes"], b["body"]), words)
+            data, offsets = open_block(b["sizes"], b["body"])
+            value, begin, ids = shingle_sets(data, offsets, words)
             size, signed = np.diff(begin), ids.view(np.int64)
             for i, doc in enumerate(b["doc_ids"]):
-                for column, x in zip(out, (doc, int(signed[i]) if size[i] else None, int(size[i]), None, None, None), strict=True):
+                for column, x in zip(out, (doc, int(signed[i]) if size[i] else None, int(size[i]), None, None, None, hashlib.md5(data[offsets[i] : offsets[i + 1]]).digest()), strict=True):
                     column.append(x)
             docs = _distinct(ids, begin)
             if not len(docs):
@@ -168,12 +172,12 @@ def candidates(blocks: DataFrame, counts: DataFrame, words: int, share: tuple[in
                 prefix = [{"key": int(k), "at": int(a)} for k, a in zip(v[order].view(np.int64), range(single[i], long[i]), strict=True)]
                 edges = fragment_bounds(own, VERTICAL)
                 for p in range(VERTICAL):
-                    for column, x in zip(out, (None, int(signed[i]), int(size[i]), p, None if p else prefix, pack_sorted(own[edges[p] : edges[p + 1]])), strict=True):
+                    for column, x in zip(out, (None, int(signed[i]), int(size[i]), p, None if p else prefix, pack_sorted(own[edges[p] : edges[p + 1]]), None), strict=True):
                         column.append(x)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())])), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())])), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
-    schema = "doc_id long, set_id long, n long, part int, prefix array<struct<key: long, at: int>>, shared binary"
+    schema = "doc_id long, set_id long, n long, part int, prefix array<struct<key: long, at: int>>, shared binary, digest binary"
     return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run, schema)
 
 
@@ -203,12 +207,12 @@ def _possible(x: str, y: str, share: tuple[int, int]):
     return (rest * (share[0] + share[1]) >= (n + m) * share[0]) & (F.least(n, m) * share[1] >= F.greatest(n, m) * share[0])
 
 
-def jaccard_groups(documents: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def placed_documents(documents: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """doc_id, digest of the text, n_shingles, c of every document: its component, null without a set."""
     n = width(documents.sparkSession)
     blocks = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack_blocks, BLOCK_SCHEMA).repartition(n, "block")
     found = cut(candidates(blocks, count_holders(fragments(blocks, words, n)), words, share))
-    docs = found.filter("part IS NULL").select("doc_id", "set_id", "n")
+    docs = found.filter("part IS NULL").select("doc_id", "set_id", "n", "digest")
     parts = found.filter("part IS NOT NULL").select("set_id", "n", "part", "shared").dropDuplicates(["set_id", "part"])
     prefix = found.filter("part = 0").select("set_id", "n", F.explode("prefix").alias("x")).select("set_id", "n", "x.key", "x.at").distinct()
 
@@ -227,15 +231,22 @@ def jaccard_groups(documents: DataFrame, words: int = WORDS, share: tuple[int, i
     more = overlaps(pairs.select(F.greatest("x.set_id", "y.set_id").alias("a"), F.least("x.set_id", "y.set_id").alias("b")).distinct(), parts, share)
     nodes = cut(components(links.union(more)))
 
-    placed = docs.join(nodes, docs["set_id"] == nodes["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "set_id").alias("c"))
+    return docs.join(nodes, docs["set_id"] == nodes["node"], "left").select("doc_id", "digest", F.col("n").alias("n_shingles"), F.coalesce("component", "set_id").alias("c"))
+
+
+def jaccard_groups(documents: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    placed = placed_documents(documents, words, share)
     groups = placed.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").select("c", "first")
     return join_back(placed, groups, "c").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
 
 
 def keep_one(documents: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
     """The document with the smallest id of each component, with all its columns."""
-    kept = jaccard_groups(documents, words, share).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    alone = lambda name: F.when(F.col("c").isNull(), F.col(name)).alias(f"own_{name}")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("x")
+    kept = placed_documents(documents, words, share).groupBy("c", alone("doc_id"), alone("digest")).agg(first).select("x.doc_id", "x.digest")
+    return join_rows(documents, kept, text_digest(F.col("text")), "left_semi").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -9,13 +9,15 @@ The fit uses a bounded sample: FIT_ROWS labelled rows of at most FIT_CHARS chara
 the folds that are learned from.  Every document is scored, over its whole text.
 
 Defined cases: null and empty texts score 0; texts without labels are scored alike; equal
-texts have equal scores; labels that are null, or of documents that don't exist, aren't
+texts have equal scores; rows that repeat a doc_id, or have none, stay or go by their own
+text; labels that are null, or of documents that don't exist, aren't
 used; of repeated labels of a document one counts (toxic wins); without any label, or with
 one class only, all scores are the class's share (0 without any).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .blocks import text_bytes, text_slices
 from .grams import gram_ids, sentences, sums
-from .shared import fit_sample, fold
+from .shared import fit_sample, fold, join_rows, text_digest
 
 FIT_ROWS, FIT_CHARS = 3000, 6000
 SIZES, BITS = (4, 5, 6), 18
@@ -88,8 +90,8 @@ def train(documents: DataFrame, labels: DataFrame, most: int = FIT_ROWS, longest
     return fit(sample.column("text").combine_chunks(), sample.column("toxic").to_numpy())
 
 
-def score(documents: DataFrame, weights: np.ndarray, limit: float = LIMIT) -> DataFrame:
-    """doc_id, score, toxic_sentences (start and end in code points, score, text) of each document."""
+def score(documents: DataFrame, weights: np.ndarray, limit: float = LIMIT, mark: bool = False) -> DataFrame:
+    """doc_id, score, toxic_sentences (start and end in code points, score, text) of each document; with ``mark`` the digest of toxic texts too."""
     held = weights.astype(np.float32)
     kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("text", pa.string())])
 
@@ -109,15 +111,19 @@ def score(documents: DataFrame, weights: np.ndarray, limit: float = LIMIT) -> Da
                         part, before = raw[a:b].decode(), len(raw[:a].decode())
                         own.append({"start": before, "end": before + len(part), "score": float(p[s]), "text": part})
                 found.append(own)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.clip(whole, 0.0, 1.0)), pa.array(found, pa.list_(kind))], ["doc_id", "score", "toxic_sentences"])
+            columns = [rows.column("doc_id"), pa.array(np.clip(whole, 0.0, 1.0)), pa.array(found, pa.list_(kind))]
+            if mark:
+                digests = [hashlib.md5(data[offsets[i] : offsets[i + 1]].tobytes()).digest() if whole[i] >= limit else None for i in range(rows.num_rows)]
+                columns.append(pa.array(digests, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "toxic_sentences", "digest"][: len(columns)])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, toxic_sentences array<struct<start: long, end: long, score: double, text: string>>")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, toxic_sentences array<struct<start: long, end: long, score: double, text: string>>" + ", digest binary" * mark)
 
 
 def remove_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic, with all their columns."""
-    bad = score(documents, train(documents, labels)).filter(F.col("score") >= LIMIT).select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    bad = score(documents, train(documents, labels), mark=True).filter(F.col("score") >= LIMIT).select("doc_id", "digest")
+    return join_rows(documents, bad, text_digest(F.col("text")), "left_anti").drop("_digest")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -8,14 +8,16 @@ cuts and so equal recipes; equal recipes spell the same bytes.
 
 Defined cases: a null text is an empty one, with an empty recipe; equal texts differ at
 most in the case of A-Z; rows that repeat a doc_id with an equal text are one document
-(each such row has the same flags; ``deduplicate`` keeps one of them); a null doc_id
-never wins over another and a group of nulls only keeps one row; other columns and
-their names don't matter; an empty table gives no rows.
+(each such row has the same flags; ``deduplicate`` keeps one of them), and with another
+text documents of their own; a null doc_id never wins over another and a group of nulls
+only keeps one row; so ``deduplicate`` keeps one row of each different text; other
+columns and their names don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import _M1, binary_column, chunk_ends, lower_ascii, text_slices
-from .shared import join_back
+from .shared import join_back, join_rows
 
 CHUNK_BITS = 10  # 1 KiB on average
 WINDOW, MIN_GAP, MAX_CHUNK = 8, 64, 16384  # bytes
@@ -118,9 +120,10 @@ def exact_groups(documents: DataFrame, digest: Callable[[memoryview], bytes] = x
 
 def deduplicate(documents: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    kept = exact_groups(documents).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = documents.join(kept, documents["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    kept = exact_groups(documents).filter("kept").select("doc_id", F.unhex("text_sha256").alias("digest"))
+    lower = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    out = join_rows(documents, kept, F.unhex(F.sha2(lower.cast("binary"), 256)), "left_semi")
+    return out.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -59,6 +59,20 @@ def fit_sample(rows: DataFrame, label: str, most: int, longest: int, texts: Data
     return chosen.filter(F.length("text") <= longest).select("text", label).limit(most).toArrow()
 
 
+def text_digest(text):
+    """MD5 of a text, null as empty: 16 bytes."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def join_rows(documents: DataFrame, pairs: DataFrame, digest, how: str) -> DataFrame:
+    """documents, with ``digest`` as _digest, semi- or anti-joined with pairs (doc_id, digest); a null id equals a null id.
+
+    An id alone doesn't tell rows apart, as it can be null or repeated with another text."""
+    named = pairs.select(F.col("doc_id").alias("_pair_id"), F.col("digest").alias("_pair_digest")).distinct()
+    marked = documents.withColumn("_digest", digest)
+    return marked.join(named, marked["doc_id"].eqNullSafe(named["_pair_id"]) & (marked["_digest"] == named["_pair_digest"]), how)
+
+
 SALTS = 16
 
 
