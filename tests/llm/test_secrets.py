@@ -1,0 +1,41 @@
+"""Random strings of one case, and random strings after a path."""
+
+import random
+import string
+
+import pytest
+
+from tidemark.llm import op6_secrets
+
+PATH = "documents/archive/download/internal/reports/configuration/international/"
+TOKEN = "zX9qLw2Rt7Pf4Kd8Vb3Nm6"
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    import public_tokenizers as P
+
+    return op6_secrets.load_encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+
+def values(text, encoding):
+    return [text[a:b] for a, _, b in op6_secrets.random_runs(text, [], encoding)]
+
+
+@pytest.mark.parametrize("letters,least", [(string.ascii_lowercase, 190), (string.ascii_uppercase, 195)])
+def test_random_letters_of_one_case(encoding, letters, least):
+    rng = random.Random(3)
+    keys = ["".join(rng.choice(letters) for _ in range(20)) for _ in range(200)]
+    assert sum(values(f"the key {k} is here", encoding) == [k] for k in keys) >= least
+    assert values("qzxkvjwpbnmtrgdfhlcs", encoding) == ["qzxkvjwpbnmtrgdfhlcs"]
+
+
+@pytest.mark.parametrize("token", [TOKEN, "zX9q-Lw2Rt7_Pf4Kd8Vb3Nm6", "qzxkvjwpbnmtrgdfhlcs", "zX9q-12-a-Lw2Rt7_Pf4Kd8Vb"])
+def test_random_strings_after_and_before_a_path(encoding, token):
+    assert values(f"see {PATH}{token} there", encoding) == [token]
+    assert values(f"see {PATH}{token}/{PATH}", encoding) == [token]
+
+
+@pytest.mark.parametrize("text", ["some_long_snake_case_name", "MAX_CHARS_PER_TOKEN_LIMIT", "INTERNATIONALISATION", "internationalisation", "a/b/c/d/e/f/g/h/i/j/k/l", "2026-01-01/2026-12-31", f"{PATH}123e4567-e89b-12d3-a456-426614174000", f"{PATH}2026/01/01/index", "someLongCamelCaseNameOfThings", "=" * 300, "a" * 60000])
+def test_words_paths_and_known_forms_stay(encoding, text):
+    assert values(text, encoding) == []

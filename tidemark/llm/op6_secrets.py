@@ -5,7 +5,12 @@ more.  A byte-pair vocabulary learned from ordinary text covers words with long
 while random strings fall apart, so a run with few characters per token is reported as
 kind ``random``.  Known harmless forms are left out before: digests (all hexadecimal, of
 the usual lengths), UUIDs, plain numbers, and identifiers (words, or words joined by
-``_``, ``-`` or camel case, in which no part mixes letters with digits).
+``_``, ``-`` or camel case, in which no part mixes letters with digits), if all parts of
+an identifier are words for the vocabulary too.
+
+In a run that passes as a whole, the parts between ``+/_=-`` are tested as well, since a
+long path of words would hide a random string.  Parts that are no words are joined with
+their neighbours of that kind, and stretches of CANDIDATE_LENGTH or more are tested.
 
 Spans are in code points, the end exclusive.  Base spans always stay; a run that a base
 span overlaps is not reported again.
@@ -40,6 +45,9 @@ _HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _NUMBER = re.compile(r"[0-9+/_=-]+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_PIECE = re.compile(rf"(?<![A-Za-z0-9]){_UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
+WORD, EITHER, STRANGE = range(3)
+SHORT = 3  # letters of a part that says nothing alone
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -52,18 +60,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def harmless(run: str) -> bool:
-    """Known digests and identifiers."""
+def known_form(run: str) -> bool:
+    """Numbers, UUIDs and digests."""
     if _NUMBER.fullmatch(run) or _UUID.fullmatch(run):
         return True
-    if _HEXADECIMAL.fullmatch(run) and len(run) in DIGEST_LENGTHS:
-        return True
+    return bool(_HEXADECIMAL.fullmatch(run)) and len(run) in DIGEST_LENGTHS
+
+
+def identifier(run: str) -> bool:
+    """Whether a run is spelled like words."""
     parts = [p for p in re.split(r"[+/_=-]+", run) if p]
     if all(p.isalpha() for p in parts) and all(len(x) >= 2 for p in parts for x in _PART.findall(p)[:-1]):
         return all(p.islower() or p.isupper() or len(_PART.findall(p)) <= max(2, len(p) // 4) for p in parts)
     return False
 
 
+def harmless(run: str) -> bool:
+    """Forms of known digests and identifiers."""
+    return known_form(run) or identifier(run)
+
+
 def load_encoding(path: str, pattern: str):
     import tiktoken
 
@@ -72,14 +88,49 @@ def load_encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def scattered(run: str, encoding, limit: float) -> bool:
+    """Whether the vocabulary needs many tokens for a run."""
+    return len(run) < limit * len(encoding.encode_ordinary(run))
+
+
+def part_kind(part: str, encoding, limit: float) -> int:
+    """Whether a part between separators is a word for the vocabulary, which knows capitals less well, or can be either."""
+    if part.isdigit():
+        return EITHER
+    if known_form(part):
+        return WORD
+    plain = part.lower() if part.isupper() else part
+    if len(encoding.encode_ordinary(plain)) == 1:
+        return EITHER if len(part) <= SHORT else WORD
+    return STRANGE if scattered(plain, encoding, limit) else WORD
+
+
+def random_parts(run: str, pieces: list[tuple[int, int, int]], encoding, limit: float) -> list[tuple[int, int]]:
+    """(start, end) of random stretches of a run: from a strange part to a strange part with no word between."""
+    found, stretch = [], None
+    for a, b, kind in [*pieces, (0, 0, WORD)]:
+        if kind == STRANGE:
+            stretch = (stretch[0] if stretch else a, b)
+        elif kind == WORD and stretch:
+            own = run[stretch[0] : stretch[1]]
+            if len(own) >= CANDIDATE_LENGTH and not known_form(own) and scattered(own, encoding, limit):
+                found.append(stretch)
+            stretch = None
+    return found
+
+
 def random_runs(text: str, taken: list[tuple[int, int, int]], encoding, limit: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
     found = []
     for m in RUN.finditer(text):
         run = m[0]
-        if any(a < m.end() and m.start() < b for a, _, b in taken) or harmless(run):
+        if any(a < m.end() and m.start() < b for a, _, b in taken) or known_form(run):
             continue
-        if len(run) < limit * len(encoding.encode_ordinary(run)):
+        pieces = [(p.start(), p.end(), part_kind(p[0], encoding, limit)) for p in _PIECE.finditer(run)]
+        words = all(kind != STRANGE for _, _, kind in pieces)
+        if scattered(run, encoding, limit) and not (words and identifier(run)):
             found.append((m.start(), 3, m.end()))
+        elif not words:
+            found += [(m.start() + a, 3, m.start() + b) for a, b in random_parts(run, pieces, encoding, limit)]
     return found
 
 
