@@ -17,6 +17,7 @@ import zstandard
 
 SLICE_BYTES = 8 << 20
 SLICE_ROWS = 32768
+WIDE_COLUMN = 1 << 31  # bytes from which a column's offsets need 64 bits
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -109,8 +110,9 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def binary_column(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """A binary column whose values are consecutive parts of ``data``, without a copy of the values."""
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    """A binary column whose values are consecutive parts of ``data``, without a copy of the values; with 64-bit offsets where 32 bits can't hold them."""
+    kind, offset = (pa.binary(), np.int32) if len(data) < WIDE_COLUMN else (pa.large_binary(), np.int64)
+    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(offsets.astype(offset)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def squeeze(raw: bytes, level: int = 1) -> bytes:
@@ -152,7 +154,7 @@ BLOCK_SCHEMA = "block long, doc_ids array<long>, sizes binary, body binary"
 
 
 def pack_blocks(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) rows to BLOCK_SCHEMA.  The block's number follows from its rows and its partition, so a repeated task makes the same blocks."""
+    """(doc_id, text) rows to BLOCK_SCHEMA.  The block's number follows from its rows and its partition, so a task that is run again makes the same blocks if it gets its rows in the same order (``shared.settled``)."""
     from pyspark import TaskContext
 
     task = TaskContext.get()

@@ -14,6 +14,7 @@ _PLAIN[128:] = np.arange(128, 256)
 #: Runs of these end a sentence.
 _STOP = np.zeros(256, bool)
 _STOP[[0x0A, 0x21, 0x2E, 0x3F]] = True
+WINDOW = 4 << 20  # bytes; not less than the slices of the operators that use gram_sums
 
 
 def gram_ids(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], bits: int) -> np.ndarray:
@@ -40,6 +41,28 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Sums of values[edges[i]:edges[i + 1]]."""
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return total[edges[1:]] - total[edges[:-1]]
+    """Sums of values[edges[i]:edges[i + 1]]; each depends on its own values only, so equal runs have equal sums wherever they stand."""
+    out = np.zeros(len(edges) - 1)
+    some = edges[1:] > edges[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(values[: edges[-1]], edges[:-1][some], dtype=np.float64)
+    return out
+
+
+def gram_sums(columns: list[np.ndarray], data: np.ndarray, offsets: np.ndarray, edges: np.ndarray, sizes: tuple[int, ...], bits: int, window: int = WINDOW) -> np.ndarray:
+    """For each column of bucket weights, the sums over the n-grams that begin in data[edges[i]:edges[i + 1]]; a row for each column.
+
+    A single text that is longer than ``window`` is worked through in windows counted from
+    its begin, so memory doesn't grow with it; several texts together are one window."""
+    step = window if len(offsets) == 2 else max(1, len(data))
+    weights = [np.append(c, 0).astype(c.dtype) for c in columns]
+    out = np.zeros((len(columns), len(edges) - 1))
+    for a in range(0, len(data), step):
+        b = min(a + step, len(data))
+        upto = min(b + max(sizes), len(data))
+        ids = gram_ids(data[a:upto], np.clip(offsets, a, upto) - a, sizes, bits)[:, : b - a]
+        first, last = np.searchsorted(edges, a, side="right") - 1, np.searchsorted(edges, b, side="left")
+        own = np.clip(edges[first : last + 1], a, b) - a
+        for total, weight in zip(out, weights, strict=True):
+            total[first:last] += sums(weight[ids].sum(axis=0), own)
+    return out

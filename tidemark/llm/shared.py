@@ -1,8 +1,9 @@
-"""Helpers that read the session: tables, widths and the shared folder for cut lineage."""
+"""Helpers that read the session: tables, widths, the shared folder for cut lineage; and joins that hot keys can't hold up."""
 
 from __future__ import annotations
 
 import tempfile
+import warnings
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,22 +15,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def width(spark: SparkSession) -> int:
-    """Number of shuffle partitions; fragments of a global order are as many."""
+    """Number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text whose distinct elements one fragment of a global order gets, on average.
+FRAGMENT_BYTES = 32 << 20
+
+
+def fragment_count(documents: DataFrame) -> int:
+    """Fragments of a global order over the documents' elements: as many as keep a fragment's part of the corpus to FRAGMENT_BYTES, and one for each shuffle partition at least."""
+    size = documents.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+    return max(width(documents.sparkSession), -(-size // FRAGMENT_BYTES))
+
+
+def settled(documents: DataFrame) -> DataFrame:
+    """doc_id, text in an order within partitions that a repeated task finds again, also after a shuffle."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).sortWithinPartitions("doc_id", "text")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share.  Only a session without one, as in tests, gets a temporary folder."""
+    """The folder that all executors share.  Only a local session without one, as in tests, gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
         current = context._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="tidemark-")
+        if current.isDefined():
+            folder = current.get()
+        elif context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="tidemark-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return folder
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared file system that this library wrote."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The frame, written to the shared folder: later reads don't depend on executors that may be lost."""
     shared_folder(frame.sparkSession)
@@ -42,21 +69,23 @@ def fold(doc_id, parts: int = 5):
 
 
 def fit_sample(rows: DataFrame, label: str, most: int, longest: int, texts: DataFrame | None = None) -> pa.Table:
-    """A bounded sample of labelled rows on the driver: (text, label) of about ``most`` rows, evenly from the labels, as chosen by a hash of doc_id.
+    """A bounded sample of labelled rows on the driver: (text, label) of about ``most`` rows, evenly from the labels, as chosen by a hash of doc_id; in an order of its own.
 
     rows have doc_id, the label and text, unless ``texts`` has those: then the sampled
-    ids, ``most`` at most, are broadcast to it.  Bounds: ``most`` rows and none with over
-    ``longest`` characters.  Only counts of labels and sampled rows reach the driver."""
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(1000).collect()}
-    share = most / max(1, len(counts))
+    ids, ``most`` at most, are broadcast to it.  Bounds: ``most`` rows, so ``most`` labels,
+    the most frequent ones; and none with over ``longest`` characters (a warning says if
+    that leaves nothing)."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), label).limit(most)
+    labels = counts.count()
+    rates = counts.select(label, F.least(F.lit(1.0), F.lit(0.9 * most / max(1, labels)) / F.col("_n")).alias("_rate"))
     draw = (F.xxhash64(F.col("doc_id")).bitwiseAND(0xFFFFFFF)) / float(1 << 28)
-    picked = F.lit(False)
-    for value, n in counts.items():
-        picked = picked | ((F.col(label) == F.lit(value)) & (draw < min(1.0, 0.9 * share / n)))
-    chosen = rows.filter(picked)
+    chosen = rows.join(F.broadcast(rates), label).filter(draw < F.col("_rate"))
     if texts is not None:
         chosen = texts.join(F.broadcast(chosen.select("doc_id", label).limit(most)), "doc_id")
-    return chosen.filter(F.length("text") <= longest).select("text", label).limit(most).toArrow()
+    sample = chosen.filter(F.length("text") <= longest).select("text", label).limit(most).toArrow()
+    if labels and not sample.num_rows:
+        warnings.warn(f"no labelled text in the sample has at most {longest} characters: nothing is learned", stacklevel=2)
+    return sample.sort_by([("text", "ascending"), (label, "ascending")])
 
 
 def text_digest(text):
@@ -64,25 +93,43 @@ def text_digest(text):
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def join_rows(documents: DataFrame, pairs: DataFrame, digest, how: str) -> DataFrame:
-    """documents, with ``digest`` as _digest, semi- or anti-joined with pairs (doc_id, digest); a null id equals a null id.
-
-    An id alone doesn't tell rows apart, as it can be null or repeated with another text."""
-    named = pairs.select(F.col("doc_id").alias("_pair_id"), F.col("digest").alias("_pair_digest")).distinct()
-    marked = documents.withColumn("_digest", digest)
-    return marked.join(named, marked["doc_id"].eqNullSafe(named["_pair_id"]) & (marked["_digest"] == named["_pair_digest"]), how)
-
-
-SALTS = 16
-
-
-def join_back(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """rows left join groups, one row for each key, on ``key``; a key that many rows share is dealt to SALTS tasks.
-
-    groups should leave out keys of single rows, as each of its rows is sent SALTS times."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+#: Rows of groups that may be broadcast, and rows of a group from which it counts as hot.
+BROADCAST_ROWS, HOT_ROWS = 500_000, 1_000_000
+SALTS = 1024
+
+
+def join_back(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str = "doc_id") -> DataFrame:
+    """rows left join groups, a cut frame of one row for each key, on ``key``; ``size`` is the number of rows of a group.
+
+    Up to BROADCAST_ROWS groups are broadcast, so rows don't move.  Of more, those of over
+    HOT_ROWS rows are: their number is bounded by all rows over HOT_ROWS.  Rows of hot
+    groups are then dealt to SALTS tasks, and no other group has more than HOT_ROWS."""
+    if groups.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), key, "left")
+    own = [c for c in groups.columns if c != key]
+    hot = groups.filter(F.col(size) > HOT_ROWS).select(key, F.struct(*own).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    marked = marked.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(SALTS))).cast("int"))
+    rest = groups.select(key, F.lit(0).alias("_salt"), F.struct(*own).alias("_own"))
+    found = F.coalesce("_hot", "_own")
+    return marked.join(rest, [key, "_salt"], "left").select(*rows.columns, *(found[c].alias(c) for c in own))
+
+
+def keep_chosen(documents: DataFrame, digest, choice: DataFrame) -> DataFrame:
+    """documents less the rows that ``choice`` drops, with all their columns, whatever their names.
+
+    choice has a row for each digest of a text that isn't alone: ``digest``; ``stays``,
+    whether a row with this text stays; ``keep_id``, the doc_id that stays (null: the row
+    without one); ``rows`` with this text; ``ties``, rows with this text and the id that
+    stays, of which one does.  Texts move only if there are too many digests to broadcast."""
+    choice = cut(choice)
+    marked = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
+    placed = join_back(marked, choice, "digest", "rows")
+    kept = placed.filter(F.col("rows").isNull() | (F.col("stays") & F.col("doc_id").eqNullSafe(F.col("keep_id"))))
+    if choice.filter("stays AND ties > 1").isEmpty():
+        return kept.select("row.*")
+    repeated = kept.filter("ties > 1").dropDuplicates(["digest"]).select("row.*")
+    return kept.filter("ties IS NULL OR ties = 1").select("row.*").union(repeated)
 
 
 def components(links: DataFrame) -> DataFrame:
