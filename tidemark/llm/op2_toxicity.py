@@ -10,14 +10,15 @@ the folds that are learned from.  Every document is scored, over its whole text.
 
 Defined cases: null and empty texts score 0; texts without labels are scored alike; equal
 texts have equal scores; rows that repeat a doc_id, or have none, stay or go by their own
-text; labels that are null, or of documents that don't exist, aren't
-used; of repeated labels of a document one counts (toxic wins); without any label, or with
-one class only, all scores are the class's share (0 without any).
+text; a very long text is scored in windows of bounded size; labels that are null, or of
+documents that don't exist, aren't used; of repeated labels of a document one counts (toxic
+wins); without any label all scores are next to 0, and with one class only those of texts
+that aren't empty are next to that class (0 or 1); an empty table gives no rows; other
+columns don't matter, whatever their names, and ``remove_toxic`` keeps them.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import text_bytes, text_slices
-from .grams import gram_ids, sentences, sums
-from .shared import fit_sample, fold, join_rows, text_digest
+from .grams import gram_ids, gram_sums, sentences, sums
+from .shared import fit_sample, fold
 
 FIT_ROWS, FIT_CHARS = 3000, 6000
 SIZES, BITS = (4, 5, 6), 18
 EPOCHS, BATCHES, STEP, SPARSE, BIAS = 24, 8, 0.5, 1e-4, -9.0
 LIMIT = 0.5
+SLICE = 2 << 20  # bytes of text scored at once
 
 
 def _features(data: np.ndarray, offsets: np.ndarray):
@@ -90,40 +92,45 @@ def train(documents: DataFrame, labels: DataFrame, most: int = FIT_ROWS, longest
     return fit(sample.column("text").combine_chunks(), sample.column("toxic").to_numpy())
 
 
-def score(documents: DataFrame, weights: np.ndarray, limit: float = LIMIT, mark: bool = False) -> DataFrame:
-    """doc_id, score, toxic_sentences (start and end in code points, score, text) of each document; with ``mark`` the digest of toxic texts too."""
+def sentence_scores(weights: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of the documents; edges of the sentences, the first sentence of each document, and the sentences' scores."""
+    edges, first = sentences(data, offsets)
+    z = weights[-1] + gram_sums([weights[:-2]], data, offsets, edges, SIZES, BITS)[0]
+    return np.clip(-np.expm1(-sums(_clean(z), first)), 0.0, 1.0), edges, first, 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def score(documents: DataFrame, weights: np.ndarray, limit: float = LIMIT) -> DataFrame:
+    """doc_id, score, toxic_sentences (start and end in code points, score, text) of each document."""
     held = weights.astype(np.float32)
     kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_slices(batches, limit=2 << 20):
-            ids, edges, first = _features(data, offsets)
-            z = _logits(held, ids, edges)
-            whole = -np.expm1(-sums(_clean(z), first))
-            p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+        for rows, data, offsets in text_slices(batches, limit=SLICE):
+            whole, edges, first, p = sentence_scores(held, data, offsets)
             found = []
             for i in range(rows.num_rows):
                 own = []
                 if whole[i] >= limit:
-                    raw = data[offsets[i] : offsets[i + 1]].tobytes()
+                    raw, done, before = data[offsets[i] : offsets[i + 1]].tobytes(), 0, 0
                     for s in np.flatnonzero(p[first[i] : first[i + 1]] >= limit / 2) + first[i]:
                         a, b = int(edges[s] - offsets[i]), int(edges[s + 1] - offsets[i])
-                        part, before = raw[a:b].decode(), len(raw[:a].decode())
+                        part, before, done = raw[a:b].decode(), before + len(raw[done:a].decode()), a
                         own.append({"start": before, "end": before + len(part), "score": float(p[s]), "text": part})
                 found.append(own)
-            columns = [rows.column("doc_id"), pa.array(np.clip(whole, 0.0, 1.0)), pa.array(found, pa.list_(kind))]
-            if mark:
-                digests = [hashlib.md5(data[offsets[i] : offsets[i + 1]].tobytes()).digest() if whole[i] >= limit else None for i in range(rows.num_rows)]
-                columns.append(pa.array(digests, pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "toxic_sentences", "digest"][: len(columns)])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(whole), pa.array(found, pa.list_(kind))], ["doc_id", "score", "toxic_sentences"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, toxic_sentences array<struct<start: long, end: long, score: double, text: string>>" + ", digest binary" * mark)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, toxic_sentences array<struct<start: long, end: long, score: double, text: string>>")
 
 
 def remove_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't predicted toxic, with all their columns."""
-    bad = score(documents, train(documents, labels), mark=True).filter(F.col("score") >= LIMIT).select("doc_id", "digest")
-    return join_rows(documents, bad, text_digest(F.col("text")), "left_anti").drop("_digest")
+    """The documents that aren't predicted toxic, with all their columns: a row is judged where it is read, so none moves."""
+    held = train(documents, labels).astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in text_slices(batches, limit=SLICE):
+            yield rows.filter(pa.array(sentence_scores(held, data, offsets)[0] < LIMIT))
+
+    return documents.mapInArrow(run, documents.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
