@@ -1,17 +1,20 @@
 """Exact duplicates by content-defined chunk recipes.
 
-Texts are cut where a hash of the last eight bytes has a given form.  The distinct
-chunks meet once, grouped by identifier *and* content, which verifies that an
-identifier stands for one content; after that only the ordered lists of identifiers
-(recipes) are compared, so a long document moves once at most.  Equal texts have equal
-cuts and so equal recipes; equal recipes spell the same bytes.
+Texts are cut where a hash of the last eight bytes has a given form.  All chunks meet once,
+grouped by identifier *and* content: that deduplicates them, and verifies that each
+identifier stands for one content in the whole corpus (an identifier with two contents
+gets the content's rank appended).  After that only the ordered lists of verified
+identifiers (recipes) are compared, so the bytes of a document move once.  Equal texts have
+equal cuts and so equal recipes; equal recipes of verified identifiers spell the same
+bytes.
 
 Defined cases: a null text is an empty one, with an empty recipe; equal texts differ at
-most in the case of A-Z; rows that repeat a doc_id with an equal text are one document
-(each such row has the same flags; ``deduplicate`` keeps one of them), and with another
-text documents of their own; a null doc_id never wins over another and a group of nulls
-only keeps one row; so ``deduplicate`` keeps one row of each different text; other
-columns and their names don't matter; an empty table gives no rows.
+most in the case of A-Z; a very long text is many chunks like any other; rows that repeat a
+doc_id with an equal text are one document (each such row has the same flags;
+``deduplicate`` keeps one of them, any), and with another text documents of their own; a
+null doc_id never wins over another and a group of nulls only keeps one row; so
+``deduplicate`` keeps one row of each different text; other columns and their names don't
+matter, and ``deduplicate`` keeps them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import _M1, binary_column, chunk_ends, lower_ascii, text_slices
-from .shared import join_back, join_rows
+from .shared import cut, join_back, keep_chosen
 
 CHUNK_BITS = 10  # 1 KiB on average
 WINDOW, MIN_GAP, MAX_CHUNK = 8, 64, 16384  # bytes
@@ -114,16 +117,17 @@ def exact_groups(documents: DataFrame, digest: Callable[[memoryview], bytes] = x
     """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
     listed = verified_recipes(documents, digest)
     groups = listed.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    flagged = join_back(listed, groups, "recipe").select("doc_id", F.when(F.col("group_size") > 1, F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "text_sha256")
+    flagged = join_back(listed, cut(groups), "recipe", "group_size").select("doc_id", F.when(F.col("group_size") > 1, F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "text_sha256")
     return flagged.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    kept = exact_groups(documents).filter("kept").select("doc_id", F.unhex("text_sha256").alias("digest"))
+    listed = verified_recipes(documents).groupBy("recipe", "text_sha256", "doc_id").agg(F.count("*").alias("n"))
+    groups = listed.groupBy("recipe", "text_sha256").agg(F.max(F.struct("doc_id", "n")).alias("last"), F.sum("n").alias("rows")).filter("rows > 1")
+    choice = groups.select(F.col("text_sha256").alias("digest"), F.lit(True).alias("stays"), F.col("last.doc_id").alias("keep_id"), "rows", F.col("last.n").alias("ties"))
     lower = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    out = join_rows(documents, kept, F.unhex(F.sha2(lower.cast("binary"), 256)), "left_semi")
-    return out.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    return keep_chosen(documents, F.sha2(lower.cast("binary"), 256), choice)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
