@@ -7,11 +7,13 @@ part of the sample that isn't trained on, calibrates the probabilities, and the
 sets the rejection limit: the probability that all but KEEP of its right answers reach.
 
 The fit uses a bounded sample: FIT_ROWS rows of at most FIT_CHARS characters from the
-folds that are learned from.  Every text is classified as a whole.
+folds that are learned from, so FIT_ROWS languages at most.  Every text is classified as a whole.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; equal texts
-have equal results; rows without lang are classified but not learned from; with no
-language to learn all texts are ``und``.
+have equal results, as do rows that repeat a doc_id or have none; a very long text is read
+in windows of bounded size; rows without lang are classified but not learned from; with no
+language to learn all texts are ``und``; of equally likely languages the first by name is
+taken; an empty table gives no rows; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import text_bytes, text_slices
-from .grams import gram_ids
+from .grams import gram_ids, gram_sums
 from .shared import fit_sample, fold
 
 FIT_ROWS, FIT_CHARS = 3000, 6000
@@ -110,19 +112,15 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (calibrated probability), rejected (score below the model's limit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.concatenate([model.logits, np.zeros((1, len(model.languages)), np.float32)])
+        columns = [np.ones(len(model.logits), np.float32), *np.ascontiguousarray(model.logits.T)]
         letters = np.zeros(256, bool)
         letters[65:91] = letters[97:123] = True
         for rows, data, offsets in text_slices(batches, limit=1 << 20):
-            ids, counts = _flat(data, offsets)
-            total = np.zeros((len(data) + 1, len(model.languages)))
-            for row in ids:
-                total[1:] += table[row]
-            total = np.cumsum(total, axis=0)
-            z = (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(counts, 1)[:, None] + model.bias
-            plain = np.concatenate([[0], np.cumsum(letters[data])])
-            sure = plain[offsets[1:]] > plain[offsets[:-1]]
-            known = np.array([bool(s) or has_letter(data[a:b].tobytes()) for s, a, b in zip(sure, offsets[:-1], offsets[1:], strict=True)]) & bool(model.languages)
+            counts, *totals = gram_sums(columns, data, offsets, offsets, SIZES, BITS)
+            z = np.array(totals).T.reshape(rows.num_rows, -1) / np.maximum(counts, 1)[:, None] + model.bias
+            plain = np.flatnonzero(letters[data])
+            sure = np.searchsorted(plain, offsets[1:]) > np.searchsorted(plain, offsets[:-1])
+            known = np.array([bool(s) or has_letter(data[a:b].tobytes()) for s, a, b in zip(sure, offsets[:-1], offsets[1:], strict=True)], bool) & bool(model.languages)
             if model.languages:
                 p = softmax(z / model.temperature)
                 best, sc = p.argmax(axis=1), p.max(axis=1)
