@@ -7,8 +7,13 @@
 3. The ids go back to the blocks, whose documents are put together by position.
 4. Decoding joins the ids with the table of token bytes.
 
+Fragments of the pieces are as many as the input's size asks for, so a task's share of them
+doesn't grow with the corpus.
+
 Defined cases: null and empty texts have no ids; strings that look like special tokens are
-ordinary text; equal texts have equal ids; repeated rows and null doc_ids are kept.
+ordinary text; equal texts have equal ids; repeated rows and null doc_ids are kept; a very
+long text is a block of its own, and a very long piece a word like any other; an empty
+table gives no rows; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BLOCK_SCHEMA, binary_column, expand, open_block, pack_blocks, pack_numbers, ranges, span_hashes, squeeze, text_bytes, unpack_numbers
 from .segments import cuts
-from .shared import width
+from .shared import fragment_count, settled
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -98,8 +103,8 @@ def encode_words(parts: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 def encode(documents: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, ids of every document."""
     ranks_path, pattern = _paths(ranks_path, pattern)
-    n = width(documents.sparkSession)
-    blocks = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack_blocks, BLOCK_SCHEMA).repartition(n, "block")
+    n = fragment_count(documents)
+    blocks = settled(documents).mapInArrow(pack_blocks, BLOCK_SCHEMA).repartition(n, "block")
     encoded = encode_words(distinct_words(blocks, n), ranks_path, pattern)
 
     def join_ids(left: pa.Table, right: pa.Table) -> pa.Table:
