@@ -113,6 +113,44 @@ def test_jaccard_of_chained_near_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in jaccard_brute(rows)})
 
 
+def test_sets_that_share_an_id_are_told_apart(spark):
+    """Ids of three bits: every id stands for several sets."""
+    got = sorted((tuple(r) for r in op10_jaccard.jaccard_groups(fixture.documents(spark), 3, (90, 100), bits=3).collect()), key=repr)
+    assert got == jaccard_brute(fixture.texts())
+
+
+def test_small_sets_make_no_pairs(spark):
+    """Six words of a small vocabulary: sets of four shingles link with equal ones only."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("abcdefghijklmn") for _ in range(6))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n = op10_jaccard.fragment_count(docs)
+    blocks = op10_jaccard.settled(docs).mapInArrow(op10_jaccard.pack_blocks, op10_jaccard.BLOCK_SCHEMA).repartition(n, "block")
+    found = op10_jaccard.candidates(blocks, op10_jaccard.count_holders(op10_jaccard.fragments(blocks, 3, n)), 3, (90, 100))
+    assert found.filter("part IS NOT NULL").count() == 0
+    assert sorted((tuple(r) for r in op10_jaccard.jaccard_groups(docs).collect()), key=repr) == jaccard_brute(rows)
+
+
+def test_groups_beyond_a_broadcast(spark, monkeypatch):
+    """Hot groups are broadcast and their rows dealt out, the others joined by a shuffle."""
+    from tidemark.llm import shared
+
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    docs = fixture.documents(spark)
+    assert sorted((tuple(r) for r in op10_jaccard.jaccard_groups(docs).collect()), key=repr) == jaccard_brute(fixture.texts())
+    assert sorted((tuple(r) for r in op3_exact_dedup.exact_groups(docs).collect()), key=repr) == exact_brute()
+    kept = [r["doc_id"] for r in op3_exact_dedup.deduplicate(docs).collect()]
+    assert sorted(map(str, kept)) == sorted(str(i) for i in {k for _, k, *_ in exact_brute()})
+
+
+def test_equal_sets_only(spark):
+    got = sorted((tuple(r) for r in op10_jaccard.jaccard_groups(fixture.documents(spark), 3, (1, 1)).collect()), key=repr)
+    assert got == jaccard_brute(fixture.texts(), 3, (1, 1))
+
+
 def test_jaccard_of_nothing(spark):
     assert op10_jaccard.jaccard_groups(fixture.empty(spark)).count() == 0
 
@@ -144,13 +182,38 @@ def lm_brute(rows, order, prior):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("order,prior", [(2, 512.0), (3, 2.0)])
-def test_language_model(spark, order, prior):
+@pytest.mark.parametrize("order,prior,few", [(1, 2.0, 16), (2, 512.0, 0), (2, 512.0, 16), (3, 2.0, 3), (4, 3.0, 0), (5, 1.5, 99)])
+def test_language_model(spark, monkeypatch, order, prior, few):
+    monkeypatch.setattr(op4_backoff_lm, "FEW", few)  # for the reading below; workers keep their own
+    check_reading(order, prior)
     got = op4_backoff_lm.score(fixture.documents(spark), order, prior).collect()
     assert sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in got), key=repr) == lm_brute(fixture.texts(), order, prior)
     assert op4_backoff_lm.score(fixture.empty(spark)).count() == 0
 
 
+def check_reading(order, prior):
+    """One block, read with FEW as it is; arcs lead from the state that is carried, failure arcs to its suffix."""
+    import numpy as np
+
+    raw = [t.encode() for _, t in fixture.texts()]
+    g = op4_backoff_lm.grams(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]), order)
+    counts = op4_backoff_lm.own_counts(g, op4_backoff_lm.in_training([i for i, _ in fixture.texts()]))
+    words = counts[(g.keys & op4_backoff_lm.ORDER_BITS) == 1]
+    machine = op4_backoff_lm.Automaton(g, counts, int(words.sum()), int((words > 0).sum()), prior)
+    got = [(i, round(s, 5)) for (i, _), s in zip(fixture.texts(), machine.read(g), strict=True)]
+    assert sorted(got, key=repr) == sorted(((r[0], r[-1]) for r in lm_brute(fixture.texts(), order, prior)), key=repr)
+    states = np.flatnonzero(machine.length > 0)
+    assert (machine.length[machine.suffix[states]] < machine.length[states]).all() and machine.length.max() <= max(order, 1)
+    assert (machine.length[machine.target] < max(order, 1)).all()
+
+
+def test_orders_that_keys_cannot_hold_are_refused(spark):
+    import numpy as np
+
+    with pytest.raises(ValueError):
+        op4_backoff_lm.grams(np.zeros(0, np.uint8), np.zeros(1, np.int64), 8)
+
+
 def test_model_beats_base_on_held_out_documents(spark):
     rows = entry.QUERIES["op4_backoff_lm"](spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert rows[0] > rows[1]
@@ -236,11 +299,11 @@ def test_language_of_awkward_documents(spark):
 
 def test_raking_meets_marginals(spark):
     rows = [(s, la, t, 100 + 37 * i * j + 11 * k) for i, s in enumerate("abc") for j, la in enumerate(("en", "fr")) for k, t in enumerate(("x", "y"))]
-    cells = spark.createDataFrame(rows, "_source string, _lang string, _topic string, tokens long")
+    cells = spark.createDataFrame(rows, "_mix_source string, _mix_lang string, _mix_topic string, tokens long")
     targets = {"source": [("a", 0.5), ("b", 0.3), ("c", 0.2)], "lang": [("en", 0.6), ("fr", 0.4)], "topic": [("x", 0.7), ("y", 0.3)]}
     out = op7_mixing.rake(cells, {k: spark.createDataFrame(v, "name string, target double") for k, v in targets.items()})
     for d, wanted in targets.items():
-        sums = {r[0]: r[1] for r in out.groupBy(f"_{d}").agg(F.sum("weight")).collect()}
+        sums = {r[0]: r[1] for r in out.groupBy(f"_mix_{d}").agg(F.sum("weight")).collect()}
         assert all(sums[n] == pytest.approx(w, abs=1e-6) for n, w in wanted)
 
 
@@ -271,7 +334,7 @@ def test_pipeline_against_its_stages_in_brute_force(spark):
     kept = {i: t for i, t in kept.items() if i not in toxic}
     last = {fixture.lower(t): i for i, t in sorted(kept.items())}
     kept = {i: t for i, t in kept.items() if last[fixture.lower(t)] == i}
-    near = {i for i, _, c in jaccard_brute(sorted(kept.items())) if i == c}
+    near = {i for i, _, c in jaccard_brute(sorted(kept.items()), corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_SHARE) if i == c}
     rest = docs.filter(F.col("doc_id").isin(list(near)))
     drawn = {r["doc_id"] for r in op7_mixing.sample(rest).collect()}
     got = corpus_pipeline.run(spark, SMALL).collect()
