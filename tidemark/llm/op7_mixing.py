@@ -2,92 +2,129 @@
 
 Documents are counted into cells (source, language, topic) with their tokens.  Raking
 scales the cells' token weights, in turn for each of the three, until their sums are the
-target weights; the weight of a cell over its tokens says how often its documents are
-wanted.  Probabilities are those ratios over the largest one, so that the expected tokens
-of the sample have the target shares; a document is drawn if a hash of its id is below.
+target weights to within TOLERANCE; the weight of a cell over its tokens says how often its
+documents are wanted.  Probabilities are those ratios over the largest one, so that the
+expected tokens of the sample have the target shares; a document is drawn if a hash of its
+id is below.  Targets that no weights of the cells can meet are met as nearly as the rounds
+came: a warning gives the residual after MOST_ROUNDS, or when rounds don't halve it.
+
+The topic of a document is a column that the caller names; without one it is a rough form
+of the text (``form``).
 
 Only cells are raked, and their number grows with the categories, not with documents.  Up
 to SMALL_CELLS of them they are raked in one task and broadcast to the documents; beyond,
-raking shuffles and the join is salted.
-
-Defined cases: null sources and languages are categories of their own, ``(none)``; a text
-without words weighs one token; targets of categories without documents are dropped and
-the rest scaled up; categories without a target get none and are never drawn; repeated
-doc_ids are drawn together; an empty table gives no rows.
+each step adds up and joins categories, and hot ones are dealt out.
+
+Defined cases: null sources, languages and topics are categories of their own, ``(none)``;
+a null, empty or blank text weighs one token; a very long one is counted whole, in one pass;
+targets of categories without documents are dropped and the rest scaled up; categories
+without a target get none and are never drawn; rows that repeat a doc_id are drawn
+together, as are those without one; an empty table gives no rows; other columns don't
+matter, whatever their names, and ``sample`` keeps them.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, join_back
 
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS = 12
+ROUNDS, MOST_ROUNDS = 12, 60  # between two looks at the residual, and in all
+TOLERANCE = 1e-6  # of the sum of all weights, 1
 TEMPER = 0.9  # default targets: token shares to this power
 SMALL_CELLS = 50_000
 SEED = "mix-1"
 
-# White space of the word contract; marks of topics.  No pattern begins with a run, whose search in a long word without the rest would take the square of its length.
+# White space of the word contract; marks of forms.  No pattern begins with a run, whose search in a long word without the rest would take the square of its length.
 WORD = r"[^\x20\x09-\x0D]+"
-LICENCE = r"(?i)licen[sc]e|copyright"
-CONTACT = r"[A-Za-z0-9._-]@[A-Za-z0-9-]+\.[a-z]|\([0-9]{3}\) [0-9]{3}-[0-9]{4}"
+LICENCE = ("license", "licence", "copyright")
+MAIL, PHONE = r"[A-Za-z0-9._-]@[A-Za-z0-9-]+\.[a-z]", r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}"
 
 
-def topic(text: Column, tokens: Column) -> Column:
-    """A rough topic of a text: licence, table, contact, note or prose."""
+def form(text: Column, tokens: Column) -> Column:
+    """A rough form of a text: licence, table, contact, note or prose.  The patterns are looked for only where their rarest sign is."""
+    low = F.lower(text)
+    licence = low.contains(LICENCE[0]) | low.contains(LICENCE[1]) | low.contains(LICENCE[2])
     bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
-    return F.when(F.regexp_like(text, F.lit(LICENCE)), "licence").when(bars * 20 > tokens, "table").when(F.regexp_like(text, F.lit(CONTACT)), "contact").when(tokens < 100, "note").otherwise("prose")
+    contact = (text.contains("@") & F.regexp_like(text, F.lit(MAIL))) | (text.contains("(") & F.regexp_like(text, F.lit(PHONE)))
+    return F.when(licence, "licence").when(bars * 20 > tokens, "table").when(contact, "contact").when(tokens < 100, "note").otherwise("prose")
 
 
-def features(documents: DataFrame) -> DataFrame:
-    """The documents with _mix_source, _mix_lang, _mix_topic and _mix_tokens, names that no column of theirs has."""
+def features(documents: DataFrame, topic: str | None = None) -> DataFrame:
+    """row (the document's own columns), doc_id, source, lang, topic, tokens of every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = documents.withColumn("_mix_tokens", F.greatest(F.regexp_count(text, F.lit(WORD)), F.lit(1)).cast("long"))
-    return out.withColumns({"_mix_topic": topic(text, F.col("_mix_tokens")), "_mix_source": F.coalesce(F.col("source"), F.lit("(none)")), "_mix_lang": F.coalesce(F.col("lang"), F.lit("(none)"))})
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(c if c in DIMENSIONS else "topic")
+    words = F.greatest(F.regexp_count(text, F.lit(WORD)), F.lit(1)).cast("long").alias("tokens")
+    out = documents.select(F.struct("*").alias("row"), "doc_id", name("source"), name("lang"), words, text.alias("text") if topic is None else name(topic))
+    return out if topic else out.withColumn("topic", form(F.col("text"), F.col("tokens"))).drop("text")
 
 
 def default_targets(cells: DataFrame, dimension: str) -> DataFrame:
     """name, target: the tempered token shares of a dimension."""
-    sums = cells.groupBy(F.col(f"_mix_{dimension}").alias("name")).agg(F.sum("tokens").cast("double").alias("t"))
+    sums = cells.groupBy(F.col(dimension).alias("name")).agg(F.sum("tokens").cast("double").alias("t"))
     return sums.select("name", F.pow("t", F.lit(TEMPER)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """The cells (_mix_source, _mix_lang, _mix_topic, tokens) with weight: fitted token weights, whose sum is 1."""
-    out = cells
+def with_targets(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """cells with target_source, target_lang, target_topic: shares of 1 among the categories that occur; null without a target."""
     for d in DIMENSIONS:
-        wanted = (targets or {}).get(d)
-        wanted = default_targets(cells, d) if wanted is None else wanted
-        out = out.join(wanted.select(F.col("name").alias(f"_mix_{d}"), F.col("target").cast("double").alias(f"target_{d}")), f"_mix_{d}", "left")
-    out = cut(out)
-    small = out.count() <= SMALL_CELLS
-    if small:
-        out = out.coalesce(1)
-    everything = Window.partitionBy(F.lit(0))
-    out = out.withColumn("weight", F.when(F.col("target_source").isNull() | F.col("target_lang").isNull() | F.col("target_topic").isNull(), 0.0).otherwise(F.col("tokens").cast("double")))
-    # A category's target counts once, however many cells it has.
-    for d in DIMENSIONS:
-        first = Window.partitionBy(f"_mix_{d}").orderBy(*(f"_mix_{x}" for x in DIMENSIONS))
-        out = out.withColumn("once", F.when(F.row_number().over(first) == 1, F.col(f"target_{d}")).otherwise(0.0))
-        out = out.withColumn(f"target_{d}", F.col(f"target_{d}") / F.sum("once").over(everything)).drop("once")
-    for _ in range(rounds):
-        for d in DIMENSIONS:
-            total = F.sum("weight").over(Window.partitionBy(f"_mix_{d}"))
-            out = out.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"target_{d}") / total).otherwise(0.0))
-        if not small:  # each window shuffles: a plan of all rounds would be planned anew after every one
-            out = cut(out)
-    return out.select(*(f"_mix_{d}" for d in DIMENSIONS), "tokens", "weight")
+        wanted = targets[d] if d in targets else default_targets(cells, d)
+        there = cells.groupBy(F.col(d).alias("name")).agg(F.count("*").alias("n"))
+        wanted = cut(there.join(wanted.select("name", F.col("target").cast("double").alias("target")), "name").select(F.col("name").alias(d), "target", "n"))
+        total = wanted.agg(F.sum("target")).first()[0] or 1.0
+        cells = join_back(cells, wanted.select(d, (F.col("target") / total).alias(f"target_{d}"), "n"), d, "n", DIMENSIONS).drop("n")
+    return cells
 
 
-def probabilities(documents: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """_mix_source, _mix_lang, _mix_topic, _mix_weight (wanted tokens per token, 1 on average), _mix_probability of each cell."""
-    cells = features(documents).groupBy("_mix_source", "_mix_lang", "_mix_topic").agg(F.sum("_mix_tokens").alias("tokens"))
-    raked = rake(cut(cells), targets)
-    everything = Window.partitionBy(F.lit(0))
-    ratio = raked.withColumn("weight", F.col("weight") / F.col("tokens") * F.sum("tokens").over(everything))
-    return cut(ratio.select("_mix_source", "_mix_lang", "_mix_topic", F.col("weight").alias("_mix_weight"), (F.col("weight") / F.max("weight").over(everything)).alias("_mix_probability")))
+def scaled(cells: DataFrame, d: str) -> DataFrame:
+    """The cells with weights scaled to a dimension's targets, where all cells needn't fit into one task."""
+    sums = cut(cells.groupBy(d).agg(F.sum("weight").alias("total"), F.count("*").alias("n")))
+    joined = join_back(cells, sums, d, "n", DIMENSIONS)
+    return cut(joined.withColumn("weight", F.when(F.col("total") > 0, F.col("weight") * F.col(f"target_{d}") / F.col("total")).otherwise(0.0)).drop("total", "n"))
+
+
+def residual(cells: DataFrame) -> float:
+    """How far the sum of a category's weights is from its target, at most."""
+    parts = [cells.filter(F.col(f"target_{d}").isNotNull()).groupBy(d).agg((F.sum("weight") - F.max(f"target_{d}")).alias("off")).agg(F.max(F.abs("off"))).first()[0] for d in DIMENSIONS]
+    return max((p for p in parts if p is not None), default=0.0)
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """The cells (source, lang, topic, tokens) with weight: fitted token weights, whose sum is 1."""
+    out = cut(with_targets(cells, targets or {}))
+    small = out.count() <= SMALL_CELLS
+    wanted = F.col("target_source").isNotNull() & F.col("target_lang").isNotNull() & F.col("target_topic").isNotNull()
+    out = out.withColumn("weight", F.when(wanted, F.col("tokens").cast("double")).otherwise(0.0))
+    out = out.coalesce(1) if small else out
+    done, before = 0, float("inf")
+    while True:
+        for _ in range(rounds):
+            for d in DIMENSIONS:
+                total = F.sum("weight").over(Window.partitionBy(d))
+                out = out.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"target_{d}") / total).otherwise(0.0)) if small else scaled(out, d)
+        out, done = cut(out), done + rounds
+        off = residual(out)
+        if off <= TOLERANCE:
+            break
+        if done >= MOST_ROUNDS or off > before / 2:
+            warnings.warn(f"after {done} rounds a category is still {off:.2g} from its target", stacklevel=2)
+            break
+        before = off
+    return out.select(*DIMENSIONS, "tokens", "weight")
+
+
+def probabilities(rows: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """source, lang, topic, documents, weight (wanted tokens per token, 1 on average), probability of each cell of ``features``."""
+    cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")))
+    raked = rake(cells.drop("documents"), targets).withColumn("ratio", F.col("weight") / F.col("tokens"))
+    most = raked.agg(F.max("ratio").alias("ratio"), F.sum("tokens").alias("tokens")).first()
+    tokens, ratio = most["tokens"] or 0, most["ratio"] or 1.0
+    whole = raked.select(*DIMENSIONS, (F.col("ratio") * F.lit(tokens)).alias("weight"), (F.col("ratio") / F.lit(ratio)).alias("probability"))
+    return cut(cells.select(*DIMENSIONS, "documents").join(whole, list(DIMENSIONS)))
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -96,28 +133,24 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def mixed(documents: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The documents with _mix_ columns: source, lang, topic, tokens, weight, probability and selected."""
-    cells = probabilities(documents, targets)
-    rows = features(documents)
-    if cells.count() <= SMALL_CELLS:
-        joined = rows.join(F.broadcast(cells), ["_mix_source", "_mix_lang", "_mix_topic"], "left")
-    else:
-        key = F.struct("_mix_source", "_mix_lang", "_mix_topic")
-        joined = join_back(rows.withColumn("_mix_cell", key), cells.select(key.alias("_mix_cell"), "_mix_weight", "_mix_probability"), "_mix_cell").drop("_mix_cell")
-    return joined.withColumn("_mix_selected", draw(F.col("doc_id")) < F.coalesce("_mix_probability", F.lit(0.0)))
+def mixed(rows: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The rows of ``features`` with weight, probability and selected."""
+    key = F.struct(*DIMENSIONS)
+    cells = probabilities(rows, targets).select(key.alias("cell"), "documents", "weight", "probability")
+    joined = join_back(rows.withColumn("cell", key), cut(cells), "cell", "documents").drop("cell", "documents")
+    return joined.withColumn("selected", draw(F.col("doc_id")) < F.coalesce("probability", F.lit(0.0)))
 
 
-def sample(documents: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+def sample(documents: DataFrame, targets: dict[str, DataFrame] | None = None, topic: str | None = None) -> DataFrame:
     """The documents drawn, with their own columns."""
-    return mixed(documents, targets).filter("_mix_selected").select(*documents.columns)
+    return mixed(features(documents, topic), targets).filter("selected").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .shared import table
 
-    out = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return out.select("doc_id", F.col("_mix_source").alias("source"), F.col("_mix_lang").alias("lang"), F.col("_mix_topic").alias("topic"), F.col("_mix_tokens").alias("n_tokens"), F.round("_mix_weight", 6).alias("weight"), F.round("_mix_probability", 6).alias("probability"), F.col("_mix_selected").alias("selected"))
+    rows = cut(features(table(spark, sf_dir, "documents")).drop("row"))  # short rows: the texts are read once
+    return mixed(rows).select("doc_id", "source", "lang", "topic", F.col("tokens").alias("n_tokens"), F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "selected")
 
 
 def _oracle() -> str:
@@ -131,9 +164,9 @@ def _oracle() -> str:
 WITH x AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang FROM documents),
 n AS (SELECT *, greatest(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 1) AS n_tokens FROM x),
 d AS (SELECT doc_id, source, lang, n_tokens, CASE
-    WHEN regexp_matches(text, '{LICENCE}') THEN 'licence'
+    WHEN regexp_matches(text, '(?i){'|'.join(LICENCE)}') THEN 'licence'
     WHEN (length(text) - length(replace(text, '|', ''))) * 20 > n_tokens THEN 'table'
-    WHEN regexp_matches(text, '{CONTACT}') THEN 'contact'
+    WHEN regexp_matches(text, '{MAIL}|{PHONE}') THEN 'contact'
     WHEN n_tokens < 100 THEN 'note' ELSE 'prose' END AS topic FROM n),
 cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL),
 {targets},

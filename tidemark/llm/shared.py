@@ -98,7 +98,7 @@ BROADCAST_ROWS, HOT_ROWS = 500_000, 1_000_000
 SALTS = 1024
 
 
-def join_back(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str = "doc_id") -> DataFrame:
+def join_back(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str | tuple[str, ...] = "doc_id") -> DataFrame:
     """rows left join groups, a cut frame of one row for each key, on ``key``; ``size`` is the number of rows of a group.
 
     Up to BROADCAST_ROWS groups are broadcast, so rows don't move.  Of more, those of over
@@ -109,7 +109,7 @@ def join_back(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: s
     own = [c for c in groups.columns if c != key]
     hot = groups.filter(F.col(size) > HOT_ROWS).select(key, F.struct(*own).alias("_hot"))
     marked = rows.join(F.broadcast(hot), key, "left")
-    marked = marked.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(SALTS))).cast("int"))
+    marked = marked.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*([spread] if isinstance(spread, str) else spread)), F.lit(SALTS))).cast("int"))
     rest = groups.select(key, F.lit(0).alias("_salt"), F.struct(*own).alias("_own"))
     found = F.coalesce("_hot", "_own")
     return marked.join(rest, [key, "_salt"], "left").select(*rows.columns, *(found[c].alias(c) for c in own))
