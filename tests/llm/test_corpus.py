@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import SMALL, assert_same, duck
 from tests.llm import fixture
-from tidemark.llm import entry, op2_toxicity, op3_exact_dedup, op4_backoff_lm, op6_secrets, op7_mixing, op8_language, op10_jaccard
+from tidemark.llm import entry, op2_toxicity, op3_exact_dedup, op4_backoff_lm, op6_secrets, op7_mixing, op8_language, op10_jaccard, shared
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -135,8 +135,6 @@ def test_small_sets_make_no_pairs(spark):
 
 def test_groups_beyond_a_broadcast(spark, monkeypatch):
     """Hot groups are broadcast and their rows dealt out, the others joined by a shuffle."""
-    from tidemark.llm import shared
-
     monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(shared, "HOT_ROWS", 3)
     docs = fixture.documents(spark)
@@ -299,23 +297,52 @@ def test_language_of_awkward_documents(spark):
 
 def test_raking_meets_marginals(spark):
     rows = [(s, la, t, 100 + 37 * i * j + 11 * k) for i, s in enumerate("abc") for j, la in enumerate(("en", "fr")) for k, t in enumerate(("x", "y"))]
-    cells = spark.createDataFrame(rows, "_mix_source string, _mix_lang string, _mix_topic string, tokens long")
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
     targets = {"source": [("a", 0.5), ("b", 0.3), ("c", 0.2)], "lang": [("en", 0.6), ("fr", 0.4)], "topic": [("x", 0.7), ("y", 0.3)]}
     out = op7_mixing.rake(cells, {k: spark.createDataFrame(v, "name string, target double") for k, v in targets.items()})
     for d, wanted in targets.items():
-        sums = {r[0]: r[1] for r in out.groupBy(f"_mix_{d}").agg(F.sum("weight")).collect()}
+        sums = {r[0]: r[1] for r in out.groupBy(d).agg(F.sum("weight")).collect()}
         assert all(sums[n] == pytest.approx(w, abs=1e-6) for n, w in wanted)
 
 
+def test_raking_that_cannot_meet_its_targets_says_so(spark):
+    cells = spark.createDataFrame([("a", "en", "x", 10), ("b", "fr", "x", 10)], "source string, lang string, topic string, tokens long")
+    targets = {"source": [("a", 0.5), ("b", 0.5)], "lang": [("en", 0.9), ("fr", 0.1)]}
+    with pytest.warns(UserWarning, match="from its target"):
+        op7_mixing.rake(cells, {k: spark.createDataFrame(v, "name string, target double") for k, v in targets.items()}, rounds=2)
+
+
 def test_mixing_of_awkward_documents(spark, monkeypatch):
+    monkeypatch.setattr(op7_mixing, "TOLERANCE", 1.0)  # one look: these few cells can't meet all targets
     docs = fixture.documents(spark)
-    rows = op7_mixing.mixed(docs).collect()
-    assert len(rows) == len(fixture.rows()) and all(0 < r["_mix_probability"] <= 1 for r in rows)
-    assert op7_mixing.sample(fixture.documents(spark)).columns == fixture.documents(spark).columns
-    assert op7_mixing.mixed(fixture.empty(spark)).count() == 0
-    monkeypatch.setattr(op7_mixing, "SMALL_CELLS", 1)  # the way beyond the size of a broadcast
-    key = lambda r: repr((r["doc_id"], r["text"], round(r["_mix_probability"], 9), r["_mix_selected"]))
-    assert sorted(map(key, op7_mixing.mixed(docs).collect())) == sorted(map(key, rows))
+    clashing = docs.withColumns({c: F.lit(777) for c in ("row", "tokens", "topic", "probability", "cell", "documents", "_mix_tokens", "_hot", "target_source")})
+    mix = lambda d: op7_mixing.mixed(op7_mixing.features(d)).collect()
+    rows = mix(clashing)
+    assert len(rows) == len(fixture.rows()) and all(0 < r["probability"] <= 1 for r in rows)
+    kept = op7_mixing.sample(clashing)
+    assert kept.columns == clashing.columns and all(r["_mix_tokens"] == r["topic"] == r["documents"] == 777 for r in kept.collect())
+    assert mix(fixture.empty(spark)) == []
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared, "HOT_ROWS", 2)
+    assert sorted((r["doc_id"] or -1, r["tokens"], r["selected"]) for r in mix(docs)) == sorted((r["doc_id"] or -1, r["tokens"], r["selected"]) for r in rows)
+
+
+def test_raking_beyond_one_task(spark, monkeypatch):
+    monkeypatch.setattr(op7_mixing, "TOLERANCE", 1.0)
+    cells = spark.createDataFrame([(s, la, t, 10 * i + 7 * j + k + 1) for i, s in enumerate("abc") for j, la in enumerate(("en", "fr")) for k, t in enumerate("xy")], "source string, lang string, topic string, tokens long")
+    weights = lambda: {tuple(r)[:3]: r["weight"] for r in op7_mixing.rake(cells, rounds=1).collect()}
+    near = weights()
+    monkeypatch.setattr(op7_mixing, "SMALL_CELLS", 1)
+    assert weights() == pytest.approx(near)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared, "HOT_ROWS", 2)
+    assert weights() == pytest.approx(near)
+
+
+def test_mixing_by_a_topic_column(spark):
+    docs = spark.createDataFrame([(i, "some text", "en", "s", "news" if i % 2 else None) for i in range(40)], "doc_id long, text string, lang string, source string, subject string")
+    targets = {"topic": spark.createDataFrame([("news", 1.0)], "name string, target double")}
+    assert {r["subject"] for r in op7_mixing.sample(docs, targets, "subject").collect()} == {"news"}
 
 
 def test_mixing_drops_categories_without_a_target(spark):
