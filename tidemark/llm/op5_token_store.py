@@ -15,10 +15,16 @@ A stream of ids is cut where a rolling polynomial hash of the last WINDOW ids ha
 zeros, so equal passages give equal chunks wherever they stand.  ``verify`` reads the files
 back: every chunk is hashed again where it lies, a document's root is built again from what
 was read, and the checksum of its ids is combined from those of its chunks, so that no
-chunk moves.  ``read_ids`` puts the ids themselves together.
-
-Defined cases: a null or empty text has the end id only; equal doc_ids are ordered by
-their roots; null doc_ids come first; an empty table gives empty files.
+chunk moves.  Then the Merkle root and the numbers of each part are built again from its
+documents' roots and compared with the manifest, so a lost, added or changed recipe is
+noticed too: all documents of its part are not ``verified``.  ``verify_parts`` says which
+parts differ, also those that are lost wholly.  ``read_ids`` puts the ids themselves
+together.
+
+Defined cases: a null or empty text has the end id only; a very long one is cut into chunks
+like any other; equal doc_ids are ordered by their roots; null doc_ids come first; repeated
+rows are documents of their own, stored once; an empty table gives empty files; other
+columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,10 +42,11 @@ from pyspark.sql import functions as F
 
 from .blocks import binary_column, chunk_ends, lower_ascii, pack_numbers, ranges, text_slices, unpack_numbers
 from .segments import cuts
-from .shared import shared_folder, width
+from .shared import cut, shared_folder, width
 
 END_ID = 2
 WINDOW, CHUNK_BITS, MIN_GAP, MAX_CHUNK = 16, 9, 64, 8192
+PART_DOCUMENTS = 250_000  # of a manifest, about
 BASE = 0x9E3779B97F4A7C15
 CACHE_WORDS = 300_000  # words a worker remembers, at most
 
@@ -139,6 +146,11 @@ def unpack_ids(body: bytes) -> np.ndarray:
 CHUNK, RECIPE = "chunk", "recipe"
 
 
+def in_part():
+    """A part's documents in their order."""
+    return Window.partitionBy("part").orderBy("doc_id", "root")
+
+
 def items(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     """Chunks (digest, n, body: ids) and recipes (doc_id, digest: Merkle root, n, body: the chunks' digests in order), by kind."""
 
@@ -173,14 +185,22 @@ def write_store(documents: DataFrame, folder: str, tokenizer_path: str | None =
     distinct = items(documents, tokenizer_path).groupBy("kind", "doc_id", "digest", "n", "body").agg(F.count("*").alias("copies"))
     distinct.write.partitionBy("kind").parquet(f"{folder}/items")
     listed = stored_items(spark, folder, RECIPE).select("doc_id", F.col("digest").alias("root"), F.col("n").alias("n_tokens"), F.col("body").alias("digests"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
-    ordered = listed.repartitionByRange(width(spark), "doc_id", "root", "copy").withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id", "root", "copy")
+    rows = stored_items(spark, folder, RECIPE).agg(F.sum("copies")).first()[0] or 0
+    ordered = listed.repartitionByRange(max(width(spark), -(-rows // PART_DOCUMENTS)), "doc_id", "root", "copy").withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id", "root", "copy")
     ordered.select("part", "doc_id", "n_tokens", "digests", "root").write.parquet(f"{folder}/recipes")
 
+    numbered = spark.read.parquet(f"{folder}/recipes").select("part", F.row_number().over(in_part()).alias("nth"), "n_tokens", "root")
+    part_manifests(numbered).write.parquet(f"{folder}/manifests")
+
+
+def part_manifests(numbered: DataFrame) -> DataFrame:
+    """part, documents, tokens, root of each part's documents (part, nth, n_tokens, root); a part has about PART_DOCUMENTS."""
+
     def manifest(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("root", "ascending")])
+        table = table.sort_by("nth")
         return pa.table({"part": table.column("part").slice(0, 1), "documents": [table.num_rows], "tokens": [sum(table.column("n_tokens").to_pylist())], "root": [merkle(table.column("root").to_pylist())]})
 
-    spark.read.parquet(f"{folder}/recipes").select("part", "doc_id", "n_tokens", "root").groupBy("part").applyInArrow(manifest, "part int, documents long, tokens long, root binary").write.parquet(f"{folder}/manifests")
+    return numbered.select("part", "nth", "n_tokens", "root").groupBy("part").applyInArrow(manifest, "part int, documents long, tokens long, root binary")
 
 
 def stored_items(spark: SparkSession, folder: str, kind: str) -> DataFrame:
@@ -228,8 +248,8 @@ def join_crc(first: np.ndarray, second: np.ndarray, length: np.ndarray) -> np.nd
     return out ^ second
 
 
-def verify(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, verified: what the store's files hold."""
+def verified_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """part, nth, doc_id, start, n_tokens, ids_crc32, root (built from the chunks read), fine (whether it is the recipe's), cut from its lineage."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,16 +258,17 @@ def verify(spark: SparkSession, folder: str) -> DataFrame:
 
     chunks = stored_items(spark, folder, CHUNK).select("digest", "body").mapInArrow(check, "digest binary, found binary, size long, crc long")
     recipes = spark.read.parquet(f"{folder}/recipes")
-    row = Window.partitionBy("part").orderBy("doc_id", "root")
-    numbered = recipes.withColumn("nth", F.row_number().over(row)).withColumn("inside", F.sum("n_tokens").over(row.rowsBetween(Window.unboundedPreceding, -1)))
+    numbered = recipes.withColumn("nth", F.row_number().over(in_part())).withColumn("inside", F.sum("n_tokens").over(in_part().rowsBetween(Window.unboundedPreceding, -1)))
     places = numbered.select("part", "nth", F.posexplode(digest_list(F.col("digests"))).alias("at", "digest"))
     found = places.join(chunks, "digest", "left").groupBy("part", "nth").agg(F.array_sort(F.collect_list(F.struct("at", "found", "size", "crc"))).alias("pieces"))
     totals = spark.read.parquet(f"{folder}/manifests").select("part", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    whole = numbered.select("part", "nth", "doc_id", "n_tokens", "root", F.coalesce("inside", F.lit(0)).alias("inside")).join(found, ["part", "nth"]).join(totals, "part").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "root", "pieces")
+    whole = numbered.select("part", "nth", "doc_id", "n_tokens", "root", F.coalesce("inside", F.lit(0)).alias("inside")).join(found, ["part", "nth"], "left").join(totals, "part", "left")
+    whole = whole.select("part", "nth", "doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "root", F.coalesce("pieces", F.array().cast("array<struct<at: int, found: binary, size: bigint, crc: bigint>>")).alias("pieces"))
+    names = ["part", "nth", "doc_id", "start", "n_tokens", "ids_crc32", "root", "fine"]
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, sizes = batch.column("pieces"), None
+            lists = batch.column("pieces")
             flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
             of = lambda name, kind: flat.field(name).fill_null(0).to_numpy(zero_copy_only=False).astype(kind)
             size, crc, begin = of("size", np.int64), of("crc", np.uint64), np.cumsum(sizes) - sizes
@@ -260,15 +281,33 @@ def verify(spark: SparkSession, folder: str) -> DataFrame:
                 tokens[on] += size[own]
             roots = [merkle([d or b"" for d in digests[a : a + n]]) for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
             fine = [r == s and t == n for r, s, t, n in zip(roots, batch.column("root").to_pylist(), tokens.tolist(), batch.column("n_tokens").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(tokens, pa.int64()), pa.array(total.astype(np.int64)), pa.array(fine)], ["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:4]), pa.array(tokens, pa.int64()), pa.array(total.astype(np.int64)), pa.array(roots, pa.binary()), pa.array(fine)], names)
 
-    return whole.mapInArrow(combine, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
+    return cut(whole.mapInArrow(combine, "part int, nth int, doc_id long, start long, n_tokens long, ids_crc32 long, root binary, fine boolean"))
+
+
+def compared_parts(spark: SparkSession, folder: str, documents: DataFrame) -> DataFrame:
+    """part, intact: whether the part's documents have the root and the numbers that its manifest names."""
+    said = spark.read.parquet(f"{folder}/manifests").select("part", F.struct("documents", "tokens", "root").alias("said"))
+    found = part_manifests(documents).select("part", F.struct("documents", "tokens", "root").alias("found"))
+    return said.join(found, "part", "full").select("part", F.coalesce(F.col("said") == F.col("found"), F.lit(False)).alias("intact"))
+
+
+def verify_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """part, intact of every part that the manifests or the recipes name."""
+    return compared_parts(spark, folder, verified_documents(spark, folder))
+
+
+def verify(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, verified: what the store's files hold."""
+    documents = verified_documents(spark, folder)
+    judged = documents.join(compared_parts(spark, folder, documents), "part", "left")
+    return judged.select("doc_id", "start", "n_tokens", "ids_crc32", (F.col("fine") & F.coalesce("intact", F.lit(False))).alias("verified"))
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """part, nth (in the part), doc_id, ids: the documents' ids, put together from chunks."""
-    row = Window.partitionBy("part").orderBy("doc_id", "root")
-    places = spark.read.parquet(f"{folder}/recipes").withColumn("nth", F.row_number().over(row)).select("part", "nth", "doc_id", F.posexplode(digest_list(F.col("digests"))).alias("at", "digest"))
+    places = spark.read.parquet(f"{folder}/recipes").withColumn("nth", F.row_number().over(in_part())).select("part", "nth", "doc_id", F.posexplode(digest_list(F.col("digests"))).alias("at", "digest"))
     found = places.join(stored_items(spark, folder, CHUNK).select("digest", "body"), "digest").groupBy("part", "nth", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "body"))), lambda x: x["body"]).alias("bodies"))
 
     def glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
