@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import fixture
 from tidemark.llm import op1_flac, op5_token_store, op9_byte_bpe
@@ -140,3 +141,25 @@ def test_token_store_notices_a_changed_chunk(spark, tmp_path):
     for name in ("recipes", "manifests"):
         spark.read.parquet(f"{folder}/{name}").write.parquet(str(tmp_path / f"broken/{name}"))
     assert {r["verified"] for r in op5_token_store.verify(spark, str(tmp_path / "broken")).filter("doc_id = 10").collect()} == {False}
+
+
+def test_token_store_notices_changed_manifests_and_lost_recipes(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    op5_token_store.write_store(fixture.documents(spark), folder)
+    assert {r["intact"] for r in op5_token_store.verify_parts(spark, folder).collect()} == {True}
+
+    def broken(name, manifests, recipes):
+        spark.read.parquet(f"{folder}/items").write.partitionBy("kind").parquet(str(tmp_path / name / "items"))
+        manifests.write.parquet(str(tmp_path / name / "manifests"))
+        recipes.write.parquet(str(tmp_path / name / "recipes"))
+        return op5_token_store.verify(spark, str(tmp_path / name)).collect(), op5_token_store.verify_parts(spark, str(tmp_path / name)).collect()
+
+    manifests, recipes = spark.read.parquet(f"{folder}/manifests"), spark.read.parquet(f"{folder}/recipes")
+    rows, _ = broken("roots", manifests.withColumn("root", F.lit(b"x" * 32)), recipes)
+    assert len(rows) == len(fixture.rows()) and not any(r["verified"] for r in rows)
+    part = recipes.filter("doc_id = 20").first()["part"]
+    own = {r["doc_id"] for r in recipes.filter(F.col("part") == part).collect()}
+    rows, parts = broken("lost", manifests, recipes.filter("doc_id IS NULL OR doc_id <> 20"))
+    assert all(r["verified"] == (r["doc_id"] not in own) for r in rows) and {r["part"] for r in parts if not r["intact"]} == {part}
+    rows, parts = broken("part", manifests, recipes.filter(F.col("part") != part))
+    assert all(r["verified"] for r in rows) and {r["part"] for r in parts if not r["intact"]} == {part}
