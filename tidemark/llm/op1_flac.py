@@ -1,17 +1,24 @@
 """Media columns: FLAC streams with 192-sample frames, eight bits, one channel.
 
 ``encode_media`` stores the bytes of a text as samples (byte minus 128), padded with
-blanks to whole frames.  ``decode_media`` reads the stored bytes: it finds frames by sync
-code, number and header checksum, decodes Rice residuals and linear predictors, and
-verifies frame checksums, the stream's length and its MD5.  ``pcm_blocks`` writes PCM
-blocks with their sample offsets; ``seek`` decodes from the seek table's nearest point.
+blanks to whole frames.  ``open_streams`` reads the stored bytes: it finds frames by sync
+code, number and header checksum, decodes Rice residuals and linear predictors, verifies
+frame checksums, the stream's length, its MD5 and its seek table, and gives PCM blocks with
+their sample offsets; the last block is decoded once more from the seek table's nearest
+point and must be the same.  ``pcm_blocks`` writes those blocks as rows, ``decode_media``
+computes its columns from them, and ``seek`` reads any range.
 
 All frames of a slice are coded in step: one numpy operation handles the same position
-of thousands of frames, so no Python loop runs over samples of single documents.
+of thousands of frames, so no Python loop runs over samples of single documents.  Streams
+of other encoders (other block sizes, channels, sample sizes) are decoded frame by frame
+in ``flac_streams``; their PCM is interleaved, signed and little-endian.
 
 Defined cases: a null or empty text is one frame of blanks; equal texts give equal
-streams; a very long text is coded in groups of frames of bounded size; a broken stream
-gives ``intact`` false (bad checksum, wrong MD5, frames missing) and no samples.
+streams, also of rows that repeat a doc_id or have none; a very long text is coded in groups
+of frames of bounded size; a broken stream gives ``state`` ``broken`` (bad checksum, wrong
+MD5, frames missing, wrong seek point) and no samples, one that uses what the format
+reserves ``unsupported``; a null stream is broken; an empty table gives no rows; other
+columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +27,14 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import flac_streams
 from .blocks import text_slices
 
 # Fixed values of the format (RFC 9639).
@@ -39,6 +48,7 @@ LPC_ORDER, PRECISION = 4, 9
 PARTITIONS = 4  # of a frame's residuals
 SEEK_FRAMES = 32
 GROUP = 16384  # frames coded at once
+BLOCK_FRAMES = 64  # of a PCM block
 
 
 def _table(poly: int, bits: int) -> np.ndarray:
@@ -350,7 +360,7 @@ def decode_frames(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def header(media: bytes) -> dict | None:
-    """Length in samples, MD5, seek points and the place of the first frame."""
+    """Length in samples, form of the samples, MD5, seek points and the place of the first frame."""
     if media[:4] != MAGIC:
         return None
     at, found = 4, {"seek": []}
@@ -360,7 +370,8 @@ def header(media: bytes) -> dict | None:
         if len(body) < size or kind == 0 and size != 34 or kind == 3 and size % 18:
             return None
         if kind == 0:
-            found |= {"samples": int.from_bytes(body[10:18], "big") & ((1 << 36) - 1), "md5": body[18:34]}
+            form = int.from_bytes(body[10:18], "big")
+            found |= {"samples": form & ((1 << 36) - 1), "bits": (form >> 36 & 31) + 1, "channels": (form >> 41 & 7) + 1, "rate": form >> 44, "block": struct.unpack(">HH", body[:4]), "md5": body[18:34]}
         elif kind == 3:
             found["seek"] = [struct.unpack(">QQH", body[i : i + 18]) for i in range(0, size, 18)]
         at += 4 + size
@@ -387,34 +398,76 @@ def walk(media: np.ndarray, first: int, frames: int) -> np.ndarray:
     return np.array(starts)
 
 
-def decode_streams(medias: list[bytes]) -> list[bytes | None]:
-    """Payloads; None for a broken stream."""
-    out: list[bytes | None] = [None] * len(medias)
+def own_form(h: dict) -> bool:
+    """Whether a stream has the form of ``encode_media``."""
+    return h["block"] == (FRAME, FRAME) and h["bits"] == 8 and h["channels"] == 1 and h["samples"] > 0 and h["samples"] % FRAME == 0
+
+
+class Opened(NamedTuple):
+    state: str  # intact, broken or unsupported
+    blocks: list[tuple[int, bytes]]  # sample offset and PCM of each block
+    channels: int
+    bits: int
+
+
+BROKEN, UNSUPPORTED = Opened("broken", [], 0, 0), Opened("unsupported", [], 0, 0)
+
+
+def open_streams(medias: list[bytes], frames: int = BLOCK_FRAMES) -> list[Opened]:
+    """PCM blocks of ``frames`` frames of each stream, verified and sought."""
+    out = [BROKEN] * len(medias)
     heads, starts, owner, base = [header(m) for m in medias], [], [], 0
     for i, (m, h) in enumerate(zip(medias, heads, strict=True)):
-        if h:
-            a, frames = np.frombuffer(m, np.uint8), h["samples"] // FRAME
-            own = frame_starts(a, h["frames"], frames)
-            own = walk(a, h["frames"], frames) if own is None else own
-            if len(own) == frames:
+        if h and not own_form(h):
+            out[i] = open_other(m, h, frames * FRAME)
+        elif h:
+            a, n = np.frombuffer(m, np.uint8), h["samples"] // FRAME
+            own = frame_starts(a, h["frames"], n)
+            own = walk(a, h["frames"], n) if own is None else own
+            points = np.array([(first // FRAME, place) for first, place, _ in h["seek"]], np.int64).reshape(-1, 2)
+            if len(own) == n and (points[:, 0] < n).all() and (own[points[:, 0]] == h["frames"] + points[:, 1]).all():
                 starts.append(own + base)
-                owner.append((i, frames))
+                owner.append((i, n))
         base += len(m)
     if not owner:
         return out
     data, at = np.frombuffer(b"".join(medias), np.uint8), np.concatenate(starts)
     parts = [decode_frames(data, at[i : i + GROUP]) for i in range(0, len(at), GROUP)]
     x, number, fine = (np.concatenate([p[j] for p in parts]) for j in (0, 1, 3))
-    frame = 0
-    for i, frames in owner:
-        own = slice(frame, frame + frames)
-        frame += frames
+    # The frame at the last seek point of each stream, decoded from the place that the table names.
+    begin = np.cumsum([0] + [n for _, n in owner])
+    last = [max((p[:2] for p in heads[i]["seek"]), default=(0, 0)) for i, _ in owner]
+    offsets = np.cumsum([0] + [len(m) for m in medias])
+    sought, _, _, good = decode_frames(data, np.array([offsets[i] + heads[i]["frames"] + place for (i, _), (_, place) in zip(owner, last, strict=True)]))
+    good &= (sought == x[begin[:-1] + np.array([first // FRAME for first, _ in last])]).all(axis=1)
+    for (i, n), frame, found in zip(owner, begin, good, strict=False):
+        own = slice(frame, frame + n)
         samples = x[own].tobytes()
-        if fine[own].all() and (number[own] == np.arange(frames)).all() and hashlib.md5(samples).digest() == heads[i]["md5"]:
-            out[i] = (x[own].view(np.uint8) ^ 128).tobytes()
+        if found and fine[own].all() and (number[own] == np.arange(n)).all() and hashlib.md5(samples).digest() == heads[i]["md5"]:
+            pcm, step = (x[own].view(np.uint8) ^ 128).tobytes(), frames * FRAME
+            out[i] = Opened("intact", [(a, pcm[a : a + step]) for a in range(0, len(pcm), step)], 1, 8)
     return out
 
 
+def open_other(media: bytes, h: dict, step: int) -> Opened:
+    """The same of a stream of another form; blocks have ``step`` samples."""
+    try:
+        pcm = flac_streams.decode(media, h)
+    except flac_streams.Unsupported:
+        return UNSUPPORTED
+    except flac_streams.Broken:
+        return BROKEN
+    if not {p[:2] for p in h["seek"] if p[0] != (1 << 64) - 1} <= set(pcm.places):  # all ones: a point that is kept free
+        return BROKEN
+    blocks = [(a, flac_streams.pcm_bytes(pcm.samples[a : a + step], pcm.bits)) for a in range(0, len(pcm.samples), step)]
+    return Opened("intact", blocks, h["channels"], pcm.bits)
+
+
+def decode_streams(medias: list[bytes]) -> list[bytes | None]:
+    """Payloads; None for a stream that isn't intact."""
+    return [b"".join(pcm for _, pcm in s.blocks) if s.state == "intact" else None for s in open_streams(medias)]
+
+
 def seek(media: bytes, sample: int, count: int) -> bytes:
     """``count`` payload bytes from ``sample`` on, decoded from the nearest seek point before."""
     h = header(media)
@@ -454,42 +507,54 @@ def _slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.
         yield rows, [raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def pcm_blocks(media: DataFrame, frames: int = 64) -> DataFrame:
-    """doc_id, sample_offset, samples, pcm (payload bytes), intact: blocks of ``frames`` frames of each stream; a broken stream gives one row, not intact, without samples."""
+def pcm_blocks(media: DataFrame, frames: int = BLOCK_FRAMES) -> DataFrame:
+    """doc_id, sample_offset, samples, pcm, channels, bits, state: blocks of ``frames`` frames of each stream; one that isn't intact gives one row without samples."""
+    names = ["doc_id", "sample_offset", "samples", "pcm", "channels", "bits", "state"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = frames * FRAME
         for rows, medias in _slices(batches, 2 << 20):
-            ids, place, pcm = [], [], []
-            for doc, body in zip(rows.column("doc_id").to_pylist(), decode_streams(medias), strict=True):
-                for at in range(0, len(body) if body else 1, step):
-                    ids.append(doc), place.append(at), pcm.append(body[at : at + step] if body else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(place, pa.int64()), pa.array([len(p or b"") for p in pcm], pa.int64()), pa.array(pcm, pa.binary()), pa.array([p is not None for p in pcm])], ["doc_id", "sample_offset", "samples", "pcm", "intact"])
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, sample_offset long, samples long, pcm binary, intact boolean")
-
-
-def feature(samples: bytes) -> str:
-    """Sum, energy, sign changes and peak of the signed samples."""
-    x = (np.frombuffer(samples, np.uint8) ^ 128).view(np.int8).astype(np.int64)
-    return f"sum={x.sum()};energy={(x * x).sum()};turns={np.count_nonzero((x[1:] < 0) != (x[:-1] < 0))};peak={np.abs(x).max()}"
+            out: list[list] = [[] for _ in names]
+            for doc, s in zip(rows.column("doc_id").to_pylist(), open_streams(medias, frames), strict=True):
+                for at, pcm in s.blocks or [(0, None)]:
+                    n = len(pcm or b"") // (s.channels * ((s.bits + 7) // 8) or 1)
+                    for column, value in zip(out, (doc, at, n, pcm, s.channels, s.bits, s.state), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+
+    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, "doc_id long, sample_offset long, samples long, pcm binary, channels int, bits int, state string")
+
+
+def measured(blocks: list[tuple[int, bytes]]) -> tuple[int, str, int, str]:
+    """Length, SHA-256, checksum of the last 16 bytes, and feature (sum, energy, sign changes and peak of the signed samples) of PCM blocks, one after another."""
+    whole, size, total, energy, turns, peak, before = hashlib.sha256(), 0, 0, 0, 0, 0, None
+    for at, pcm in blocks:
+        if at != size:
+            raise ValueError(f"a block begins at sample {at}, not {size}")
+        whole.update(pcm)
+        x = (np.frombuffer(pcm, np.uint8) ^ 128).view(np.int8).astype(np.int64)
+        negative = x < 0
+        turns += np.count_nonzero(negative[1:] != negative[:-1]) + int(before is not None and before != negative[0])
+        total, energy, peak, before, size = total + int(x.sum()), energy + int((x * x).sum()), max(peak, int(np.abs(x).max())), negative[-1], size + len(pcm)
+    return size, whole.hexdigest(), zlib.crc32(blocks[-1][1][-16:]), f"sum={total};energy={energy};turns={turns};peak={peak}"
 
 
 def decode_media(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and what the stored streams hold: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, intact."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "intact"]
+    """doc_id, n_bytes and what the stored streams of ``encode_media`` hold: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_blocks, state; all from PCM blocks."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks", "state"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, medias in _slices(batches, 2 << 20):
-            bodies = decode_streams(medias)
-            of = lambda f, kind: pa.array([None if b is None else f(b) for b in bodies], kind)
+            streams = open_streams(medias)
+            size, whole, tail, feature = zip(*(measured(s.blocks) if s.state == "intact" and s.bits == 8 else (None,) * 4 for s in streams), strict=True)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), rows.column("n_bytes"), of(len, pa.int64()), of(lambda b: hashlib.sha256(b).hexdigest(), pa.string()), of(lambda b: zlib.crc32(b[-16:]), pa.int64()),
-                 pa.array([len(m) for m in medias], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in medias], pa.string()), of(feature, pa.string()), pa.array([b is not None for b in bodies])],
+                [rows.column("doc_id"), rows.column("n_bytes"), pa.array(size, pa.int64()), pa.array(whole, pa.string()), pa.array(tail, pa.int64()),
+                 pa.array([len(m) for m in medias], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in medias], pa.string()), pa.array(feature, pa.string()),
+                 pa.array([len(s.blocks) for s in streams], pa.int64()), pa.array([s.state for s in streams])],
                 names,
             )
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, intact boolean")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long, state string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
