@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import fixture
-from tidemark.llm import op1_flac, op5_token_store, op9_byte_bpe
+from tidemark.llm import flac_streams, op1_flac, op5_token_store, op9_byte_bpe
 from tidemark.llm.segments import cuts
 
 
@@ -52,11 +52,11 @@ def test_flac_long_numbers():
 
 def test_media_columns(spark):
     media = op1_flac.encode_media(fixture.documents(spark))
-    got = sorted((r["doc_id"] or -1, r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["intact"]) for r in op1_flac.decode_media(media).collect())
+    got = sorted((r["doc_id"] or -1, r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["state"]) for r in op1_flac.decode_media(media).collect())
     want = []
     for i, t in fixture.texts():
         p = op1_flac.payload(t.encode())
-        want.append((i or -1, len(t.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), True))
+        want.append((i or -1, len(t.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), "intact"))
     assert got == sorted(want)
     blocks = op1_flac.pcm_blocks(media.filter("doc_id = 50"), 64).orderBy("sample_offset").collect()
     assert b"".join(bytes(b["pcm"]) for b in blocks) == op1_flac.payload(dict(fixture.texts())[50].encode())
@@ -64,6 +64,68 @@ def test_media_columns(spark):
     assert op1_flac.decode_media(op1_flac.encode_media(fixture.empty(spark))).count() == 0
 
 
+def feature_brute(p):
+    x = [b - 128 for b in p]
+    return f"sum={sum(x)};energy={sum(v * v for v in x)};turns={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))};peak={max(map(abs, x))}"
+
+
+def test_media_columns_come_from_the_blocks(spark):
+    media = op1_flac.encode_media(fixture.documents(spark)).cache()
+    streams = {(r["doc_id"], r["n_bytes"]): bytes(r["media"]) for r in media.collect()}
+    texts = {(i, len(t.encode())): op1_flac.payload(t.encode()) for i, t in fixture.texts()}
+    for r in op1_flac.decode_media(media).collect():
+        p, m = texts[r["doc_id"], r["n_bytes"]], streams[r["doc_id"], r["n_bytes"]]
+        assert (r["feature"], r["n_blocks"]) == (feature_brute(p), -(-len(p) // (64 * 192)))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(m), hashlib.sha256(m).hexdigest())
+        samples = flac_streams.decode(m, op1_flac.header(m)).samples  # another decoder, frame by frame
+        assert (samples[:, 0] + 128).astype(np.uint8).tobytes() == p
+    for r in op1_flac.pcm_blocks(media.filter("doc_id IN (50, 51)")).collect():
+        m = next(m for (i, _), m in streams.items() if i == r["doc_id"])
+        assert op1_flac.seek(m, r["sample_offset"], r["samples"]) == bytes(r["pcm"])
+
+
+# The first and the third example stream of RFC 9639's appendix D.
+STEREO = "664c6143800000221000100000000f00000f0ac442f0000000013e84b41807dc690307586a3dad1a2e0ffff869180000bf0358fd03128baa9a"
+PREDICTED = "664c6143800000221000100000001f00001f07d0007000000018f8f9e396f5cbcfc6dc807f9977906b32fff868020017e944004f6f313d1047d227cb6d090831452bdc28222280 57a3".replace(" ", "")
+
+
+def test_streams_of_other_encoders(spark):
+    opened = op1_flac.open_streams([bytes.fromhex(STEREO), bytes.fromhex(PREDICTED)])
+    assert [s.state for s in opened] == ["intact", "intact"]
+    assert (opened[0].channels, opened[0].bits, np.frombuffer(opened[0].blocks[0][1], "<i2").tolist()) == (2, 16, [25588, 10416])
+    assert (opened[1].channels, opened[1].bits, len(opened[1].blocks[0][1])) == (1, 8, 24)
+    bad = bytearray.fromhex(STEREO)
+    bad[-4] ^= 1
+    reserved = bytearray.fromhex(STEREO)
+    reserved[45] |= 0x0F  # the sample rate code that is never valid
+    assert [s.state for s in op1_flac.open_streams([bytes(bad), bytes(reserved)])] == ["broken", "unsupported"]
+    rows = op1_flac.pcm_blocks(spark.createDataFrame([(1, bytes.fromhex(STEREO)), (2, bytes(bad)), (3, None)], "doc_id long, media binary")).collect()
+    assert {(r["doc_id"], r["samples"], r["channels"], r["state"]) for r in rows} == {(1, 1, 2, "intact"), (2, 0, 0, "broken"), (3, 0, 0, "broken")}
+
+
+def residual_bits(*fields):
+    """Bytes of (value, width) fields."""
+    text = "".join(f"{v & ((1 << n) - 1):0{n}b}" for v, n in fields if n)
+    return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+
+
+def test_escaped_and_wide_rice_partitions():
+    wide = residual_bits((1, 2), (1, 4), (31, 5), (6, 5), (-17, 6), (20, 6), (0, 5), (1, 1), (0, 1), (1, 1))
+    assert flac_streams.residuals(flac_streams.Reader(wide, 0), 4, 0) == [-17, 20, 0, -1]
+    plain = residual_bits((0, 2), (0, 4), (15, 4), (0, 5))
+    assert flac_streams.residuals(flac_streams.Reader(plain, 0), 3, 1) == [0, 0]
+    with pytest.raises(flac_streams.Unsupported):
+        flac_streams.residuals(flac_streams.Reader(residual_bits((2, 2), (0, 4)), 0), 4, 0)
+
+
+def test_a_wrong_seek_point_is_noticed():
+    good = op1_flac.encode_streams([payloads()[6]])[0]
+    bad = bytearray(good)
+    at = 4 + 4 + 34 + 4 + 18 + 15  # the second point's place
+    bad[at] ^= 1
+    assert [s.state for s in op1_flac.open_streams([good, bytes(bad)])] == ["intact", "broken"]
+
+
 def tiktoken_encoding():
     import public_tokenizers as P
     import tiktoken
