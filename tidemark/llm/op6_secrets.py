@@ -15,8 +15,11 @@ their neighbours of that kind, and stretches of CANDIDATE_LENGTH or more are tes
 Spans are in code points, the end exclusive.  Base spans always stay; a run that a base
 span overlaps is not reported again.
 
-Defined cases: a null or empty text has no spans and empty digests of spans; equal texts
-have equal results; repeated rows and other columns don't matter.
+Defined cases: a null or empty text has no spans, and the digest of an empty text; a very
+long text is read whole, in time that grows with its length; spans that start together come
+in the order of their kinds; equal texts have equal results, also of rows that repeat a
+doc_id or have none; an empty table gives no rows; other columns don't matter, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -120,10 +123,13 @@ def random_parts(run: str, pieces: list[tuple[int, int, int]], encoding, limit:
 
 
 def random_runs(text: str, taken: list[tuple[int, int, int]], encoding, limit: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
-    found = []
+    """(start, kind's place in KINDS, end) of random strings; ``taken`` are the base spans, in order."""
+    found, seen, covered = [], 0, 0
     for m in RUN.finditer(text):
         run = m[0]
-        if any(a < m.end() and m.start() < b for a, _, b in taken) or known_form(run):
+        while seen < len(taken) and taken[seen][0] < m.end():
+            covered, seen = max(covered, taken[seen][2]), seen + 1
+        if covered > m.start() or known_form(run):
             continue
         pieces = [(p.start(), p.end(), part_kind(p[0], encoding, limit)) for p in _PIECE.finditer(run)]
         words = all(kind != STRANGE for _, _, kind in pieces)
