@@ -368,3 +368,141 @@ def test_pipeline_against_its_stages_in_brute_force(spark):
     assert {r["doc_id"] for r in got} == drawn and len(got) == len(drawn)
     assert all(r["n_tokens"] == len(r["ids"]) for r in got)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "encoding"]
+
+
+M64, MIX = (1 << 64) - 1, 0xFF51AFD7ED558CCD
+
+
+def grams_brute(text, sizes, bits):
+    """(position, bucket) of the n-grams of a text, in plain numbers."""
+    plain = bytes(b + 32 if 65 <= b < 91 else b for b in text.encode())
+    plain = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else 32 for b in plain)
+    out = []
+    for size in sizes:
+        for at in range(len(plain) - size + 1):
+            if plain[at] == 32 and plain[at + size - 1] == 32:
+                continue
+            x = int.from_bytes(plain[at : at + size], "little") * MIX & M64
+            out.append((at, ((x ^ (x >> 31) ^ size) * MIX & M64) >> (64 - bits)))
+    return out
+
+
+def sentences_brute(text):
+    """Buckets of each sentence; a sentence ends after a run of its stops."""
+    raw = text.encode()
+    edges = [0, *(i + 1 for i in range(len(raw) - 1) if raw[i] in b"\n!.?" and raw[i + 1] not in b"\n!.?"), len(raw)] if raw else [0]
+    grams = grams_brute(text, op2_toxicity.SIZES, op2_toxicity.BITS)
+    return [[b for at, b in grams if x <= at < y] for x, y in zip(edges, edges[1:])]
+
+
+def toxic_score_brute(weights, text):
+    clean = sum(math.log1p(math.exp(weights[-1] + sum(weights[b] for b in s))) for s in sentences_brute(text))
+    return -math.expm1(-clean)
+
+
+def toxic_texts():
+    import random
+
+    rng = random.Random(4)
+    words = ["the", "house", "of", "green", "river", "walks", "under"]
+    return [(". ".join(" ".join(rng.choice(words) for _ in range(4)) + (" grumblefink" if k == i % 3 and i % 2 else "") for k in range(3)) + "!", i % 2) for i in range(14)]
+
+
+def test_toxicity_against_plain_loops(spark):
+    """Noisy-or, its gradient and the proximal steps, term by term."""
+    import numpy as np
+    import pyarrow as pa
+
+    o, rows = op2_toxicity, toxic_texts()
+    got = o.fit(pa.array([t for t, _ in rows]), np.array([y for _, y in rows]))
+    weight, square = collections.defaultdict(float), collections.defaultdict(lambda: 1e-8)
+    bags = [sentences_brute(t) for t, _ in rows]
+    for _ in range(o.EPOCHS):
+        for part in np.array_split(np.random.default_rng(0).permutation(len(rows)), o.BATCHES):
+            slope = collections.defaultdict(float)
+            for i in part:
+                z = [o.BIAS + sum(weight[b] for b in s) for s in bags[i]]
+                whole = 1 - math.prod(1 - 1 / (1 + math.exp(-v)) for v in z)
+                pull = (1 - whole) / max(whole, 1e-9) if rows[i][1] else -1.0
+                for v, s in zip(z, bags[i]):
+                    for b in s:
+                        slope[b] += pull / (1 + math.exp(-v)) / len(part)
+            for b, g in slope.items():
+                square[b] += g * g
+            for b in set(weight) | set(slope):
+                rate = o.STEP / math.sqrt(square[b])
+                w = weight[b] + rate * slope[b]
+                weight[b] = math.copysign(max(abs(w) - rate * o.SPARSE, 0), w)
+    assert {b for b in weight if abs(weight[b]) > 1e-9} == set(np.flatnonzero(np.abs(got[:-2]) > 1e-9).tolist())
+    assert all(got[b] == pytest.approx(w, rel=1e-6, abs=1e-9) for b, w in weight.items())
+    texts = [(i, t) for i, (t, _) in enumerate(rows)] + [(98, ""), (99, "grumblefink\n\nÉtude... the GRUMBLEFINK? x")]
+    scored = {r["doc_id"]: r["score"] for r in o.score(spark.createDataFrame(texts, "doc_id long, text string"), got).collect()}
+    assert all(scored[i] == pytest.approx(toxic_score_brute(got, t), rel=1e-3, abs=1e-9) for i, t in texts)
+
+
+def test_equal_texts_have_equal_scores_wherever_they_stand(spark):
+    text = "A green river; walks under. the grumblefink house of the Étude! " * 40
+    docs = spark.createDataFrame([(i, text if i % 3 == 0 else f"{text[: 7 * i]} {i}") for i in range(60)], "doc_id long, text string").coalesce(1)
+    import numpy as np
+
+    weights = np.random.default_rng(1).normal(0, 0.1, (1 << op2_toxicity.BITS) + 2)
+    assert len({r["score"] for r in op2_toxicity.score(docs, weights).collect() if r["doc_id"] % 3 == 0}) == 1
+    model = op8_language.Model(["a", "b", "c"], np.random.default_rng(2).normal(0, 1, (1 << op8_language.BITS, 3)).astype(np.float32), np.zeros(3), 1.0, 0.0)
+    assert len({(r["lang_pred"], r["score"]) for r in op8_language.identify(docs, model).collect() if r["doc_id"] % 3 == 0}) == 1
+
+
+def test_language_against_plain_loops(spark):
+    """Averages of embeddings, softmax and the steps of gradient descent, text by text; then scores of whole texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    o = op8_language
+    rows = [(t, lang) for i in range(8) for t, lang in ((f"der Fluss und das Haus {i}", "de"), (f"the river and the house {i}", "en"))]
+    got = o.fit(pa.array([t for t, _ in rows]), [lang for _, lang in rows])
+    rng = np.random.default_rng(0)
+    embedding = rng.normal(0, 0.1, (1 << o.BITS, o.WIDE))
+    layer, bias = rng.normal(0, 0.1, (o.WIDE, 2)), np.zeros(2)
+    order = rng.permutation(len(rows))
+    learn = order[len(rows) // 5 :]
+    bags = [[b for _, b in grams_brute(t, o.SIZES, o.BITS)] for t, _ in rows]
+    for epoch in range(o.EPOCHS):
+        rng.shuffle(learn)
+        step = o.STEP * (1 - epoch / o.EPOCHS)
+        for at in range(0, len(learn), o.BATCH):
+            batch, old, old_layer = learn[at : at + o.BATCH], embedding.copy(), layer.copy()
+            for i in batch:
+                x = sum(old[b] for b in bags[i]) / len(bags[i])
+                e = np.exp(x @ old_layer + bias)
+                slope = (e / e.sum() - np.array([rows[i][1] == "de", rows[i][1] == "en"])) / len(batch)
+                layer -= step * np.outer(x, slope)
+                for b in bags[i]:
+                    embedding[b] -= step * 10 * (old_layer @ slope) / len(bags[i])
+                if i == batch[0]:
+                    moved = np.zeros(2)
+                moved += slope
+            bias -= step * moved
+    assert got.languages == ["de", "en"] and np.allclose(got.bias, bias) and np.allclose(got.logits, embedding @ layer, atol=1e-5)
+    texts = ["the Haus", "x" * 70, "über the river", "12 e"]
+    found = {r["doc_id"]: r for r in o.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), got).collect()}
+    for i, t in enumerate(texts):
+        bag = [b for _, b in grams_brute(t, o.SIZES, o.BITS)]
+        z = (sum(got.logits[b].astype(float) for b in bag) / max(1, len(bag)) + got.bias) / got.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert found[i]["lang_pred"] == got.languages[int(p.argmax())] and found[i]["score"] == pytest.approx(p.max(), abs=1e-5)
+
+
+def test_more_languages_than_any_list_of_them(spark):
+    rows = [(i, f"word{i} " * 3, f"l{i}") for i in range(1200)]
+    assert len(op8_language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages) > 900
+
+
+def test_secrets_of_no_rows_and_clashing_columns(spark):
+    docs = fixture.documents(spark).withColumns({c: F.lit(1) for c in ("secrets", "spans", "kind", "n_hex")})
+    assert op6_secrets.find_secrets(docs).columns == ["doc_id", "secrets"] and op6_secrets.find_secrets(docs).count() == len(fixture.rows())
+    assert op6_secrets.find_secrets(fixture.empty(spark)).count() == 0
+
+
+def test_texts_that_are_all_too_long_are_told(spark):
+    docs = spark.createDataFrame([(i, "word " * 2000, "en") for i in range(9)], "doc_id long, text string, lang string")
+    with pytest.warns(UserWarning, match="nothing is learned"):
+        assert op8_language.train(docs).languages == []
