@@ -103,6 +103,29 @@ def month_index(day: Column) -> Column:
     return F.year(day) * 12 + F.month(day)
 
 
+def period(name: Column, as_of: Column, days: int = 90) -> Column:
+    """struct(first, last) of ``yyyy-Qn``, ``yyyy-mm`` or ``yyyy``; of null or an empty name the days up to as_of."""
+    part = lambda pattern, i: F.regexp_extract(name, pattern, i)
+    quarter, month = r"^(\d{4})-Q([1-4])$", r"^(\d{4})-(\d{2})$"
+    begin = F.when(name.rlike(quarter), F.make_date(part(quarter, 1).try_cast("int"), part(quarter, 2).try_cast("int") * 3 - 2, F.lit(1)))
+    begin = begin.when(name.rlike(month), F.try_to_date(F.concat(name, F.lit("-01")), "yyyy-MM-dd")).when(name.rlike(r"^\d{4}$"), F.try_to_date(F.concat(name, F.lit("-01-01")), "yyyy-MM-dd"))
+    months = F.when(name.rlike(quarter), 3).when(name.rlike(month), 1).otherwise(12)
+    none = F.coalesce(name, F.lit("")) == ""
+    return F.struct(F.when(none, F.date_sub(as_of, days)).otherwise(begin).alias("first"), F.when(none, as_of).otherwise(F.date_sub(F.add_months(begin, months), 1)).alias("last"))
+
+
+def locations(text: Column) -> Column:
+    """Sorted places that a text names, by their names and short names."""
+    return terms(text, {p.lower(): p for p in V.PLACES} | V.PLACE_ALIASES)
+
+
+def hashed_words(text: Column, size: int) -> Column:
+    """A vector of word counts by buckets of the words' md5."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+    at = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int"), F.lit(size)))
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)))
+
+
 def growth(now: Column, before: Column) -> Column:
     """Percent, two places; 0 without a value before."""
     return F.when(F.coalesce(before, F.lit(0)) == 0, 0.0).otherwise(F.round((now - before) / F.nullif(before, F.lit(0)) * 100.0, 2))

@@ -117,12 +117,12 @@ def connected(edges: DataFrame, most: int | None = 50) -> DataFrame:
         done = step.filter("old <> component").isEmpty()
         label = step.select("id", "component")
         if done:
-            break
-    return label
+            return label
+    raise RuntimeError(f"labels still change after {most} rounds")
 
 
 def communities(edges: DataFrame, weight: str, rounds: int = 10) -> DataFrame:
-    """id, community, by weighted label propagation: each round a node takes the heaviest label around, ties to the smaller one."""
+    """id, community, by weighted label propagation, not by modularity: each round a node takes the heaviest label around, ties to the smaller one."""
     arcs = edges.select("src", "dst", F.col(weight).alias("w"))
     arcs = cut(arcs.union(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")))
     label = arcs.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))

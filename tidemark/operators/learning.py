@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,7 +165,3 @@ def select_trial(trials: DataFrame, most_clusters: int, most_noise: float, most_
     fine = trials.filter((F.col("clusters") <= most_clusters) & (F.col("noise") <= most_noise) & (F.col("split") <= most_split))
     floor = fine.agg(F.least(F.lit(least_clusters), F.max("clusters")).alias("floor"))
     return fine.join(F.broadcast(floor), fine["clusters"] >= floor["floor"]).drop("floor").orderBy(F.desc("metric"), "split", "noise", F.desc("clusters"), "seconds", "trial").limit(1)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

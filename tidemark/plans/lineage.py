@@ -1,15 +1,33 @@
-"""Cutting lineage of iterative plans."""
+"""Cutting lineage of iterative plans, and folders for what a query writes and reads back."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a local session without one, as in tests, gets a temporary folder."""
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+    if not current.isDefined():
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared file system."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """The frame, written to the folder of spark.checkpoint.dir; only a session without one, as in tests, gets a temporary folder."""
-    context = frame.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    """The frame, written to the shared folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def write_raw(messages: DataFrame, folder: str) -> None:
-    """gzip JSON by content type, source and day of crawled_at."""
+    """gzip JSON by content type, source and day of crawled_at; a folder's messages are brought together first, so that they make few files."""
     day = F.to_date(F.substring("crawled_at", 1, 10))
     parts = {"content_type": F.col("message_type"), "source": F.col("source_platform"), "year": F.year(day), "month": F.month(day), "day": F.dayofmonth(day)}
-    messages.withColumns(parts).write.mode("append").partitionBy(*parts).option("compression", "gzip").json(folder)
+    messages.withColumns(parts).repartition(*parts).write.mode("append").partitionBy(*parts).option("compression", "gzip").json(folder)
 
 
 def write_snapshot(frames: dict[str, DataFrame], root: str, tag: str) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import filled, filled_array, fingerprint, level, published_at, quality, url_id
+from tidemark.operators.curation import newest_top
 
 ENTITIES = "struct<tech: array<string>, org: array<string>, loc: array<string>>"
 #: Every alias that producers use, flat or nested.
@@ -75,3 +76,66 @@ def run_available(rows: DataFrame, write: Callable[[DataFrame, int], None], chec
     """Everything there is, in micro-batches handed to ``write`` with their numbers; a restart goes on from the checkpoint."""
     query = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
+
+
+def file_stream(frame: DataFrame, folder: str, files: int = 1, per_batch: int | None = None) -> DataFrame:
+    """The frame's rows, written to a folder, as a stream; ``per_batch`` files make a batch."""
+    frame.repartition(files).write.parquet(folder)
+    reader = frame.sparkSession.readStream.schema(frame.schema)
+    return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(folder)
+
+
+def collected(rows: DataFrame, folder: str) -> DataFrame:
+    """What an append stream gives for all rows there are, written and read back."""
+    rows.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
+def appended(rows: DataFrame, folder: str) -> DataFrame:
+    """The same through micro-batches, each written under its number, so that a batch that is run again replaces what it wrote."""
+    run_available(rows, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), f"{folder}/state")
+    return rows.sparkSession.read.parquet(f"{folder}/out")
+
+
+def only_new(rows: DataFrame, key: str, folder: str) -> DataFrame:
+    """key, batch: keys when they first occur.  A batch leaves out keys of the batches before it, and one that is run again replaces its own."""
+    spark = rows.sparkSession
+    known = spark.createDataFrame([], f"{key} {dict(rows.dtypes)[key]}, batch long")
+
+    def write(batch: DataFrame, n: int) -> None:
+        before = known if n == 0 else spark.read.schema(known.schema).parquet(*(f"{folder}/seen/{i}" for i in range(n)))
+        batch.select(key).distinct().join(before, key, "left_anti").withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{folder}/seen/{n}")
+
+    run_available(rows, write, f"{folder}/state")
+    return spark.read.schema(known.schema).option("recursiveFileLookup", True).parquet(f"{folder}/seen")
+
+
+def canonical_stream(rows: DataFrame, column: str, aliases: Callable[[], DataFrame], folder: str) -> DataFrame:
+    """rows with names through an alias table (alias, canonical) that every micro-batch reads anew."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        known = aliases()
+        named = batch.join(F.broadcast(known), F.lower(F.trim(column)) == known["alias"], "left").withColumn(column, F.coalesce("canonical", column)).drop("alias", "canonical")
+        named.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+
+    run_available(rows, write, f"{folder}/state")
+    return rows.sparkSession.read.parquet(f"{folder}/out").drop("batch")
+
+
+def pushed_top(rows: DataFrame, key: str, n: int, folder: str) -> DataFrame:
+    """key, total, place: the snapshot of the n most frequent keys, written anew after each batch; the last one."""
+    spark, last = rows.sparkSession, [0]
+
+    def write(batch: DataFrame, number: int) -> None:
+        newest_top(batch.select(F.col(key).alias("key"), F.col("count").alias("total")), n).write.mode("overwrite").parquet(f"{folder}/snapshot/{number}")
+        last[0] = number
+
+    run_available(rows.groupBy(key).count(), write, f"{folder}/state", "complete")
+    return spark.read.parquet(f"{folder}/snapshot/{last[0]}")
+
+
+def met_within(left: DataFrame, right: DataFrame, key: str, at: str, within: str, late: str = "10 minutes") -> DataFrame:
+    """key, left's and right's time of pairs in which right comes up to ``within`` after left; both may be streams, whose state is dropped by watermarks."""
+    a = left.withWatermark(at, late).select(F.col(key).alias("a_key"), F.col(at).alias("a_at"))
+    b = right.withWatermark(at, late).select(F.col(key).alias("b_key"), F.col(at).alias("b_at"))
+    return a.join(b, F.expr(f"a_key = b_key AND b_at >= a_at AND b_at <= a_at + INTERVAL {within}")).select(F.col("a_key").alias(key), "a_at", "b_at")
