@@ -22,8 +22,17 @@ NAMES = [*((p.lower(), p) for p in PLACES), *PLACE_ALIASES.items()]
 PLACE_ROWS = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(NAMES))
 
 
-@query("o039_locations", rf"""WITH p(i, k, v) AS (VALUES {PLACE_ROWS}), t AS (SELECT doc_id, ' ' || lower(coalesce(text, '') || ' (' || upper(k) || '), ' || k || 'x') || ' ' AS t FROM documents JOIN p ON doc_id % {len(NAMES)} = i)
-SELECT doc_id, string_agg(DISTINCT v, ',' ORDER BY v) AS places FROM t JOIN p ON regexp_matches(t, '[^\p{{L}}\p{{N}}_]' || replace(k, '.', '\.') || '[^\p{{L}}\p{{N}}_]') GROUP BY 1""")
+def wrapped(text: str, word: str) -> str:
+    """SQL: the text with its words in angle brackets, so that a term with no word beside it is contained in brackets."""
+    return rf"regexp_replace({text}, '({word}+)', '<\1>', 'g')"
+
+
+TERM = r"[\p{L}\p{N}_]"
+
+
+@query("o039_locations", f"""WITH p(i, k, v) AS (VALUES {PLACE_ROWS}), w AS (SELECT v, {wrapped("k", TERM)} AS k FROM p),
+t AS (SELECT doc_id, {wrapped("lower(coalesce(text, '') || ' (' || upper(k) || '), ' || k || 'x')", TERM)} AS t FROM documents JOIN p ON doc_id % {len(NAMES)} = i)
+SELECT doc_id, string_agg(DISTINCT v, ',' ORDER BY v) AS places FROM t JOIN w ON contains(t, k) GROUP BY 1""")
 def locations(spark, d):
     """Places in documents to whose texts one was added, once as a word and once with a letter after it."""
     known = spark.createDataFrame([(i, k) for i, (k, _) in enumerate(NAMES)], "i int, k string")
@@ -32,8 +41,11 @@ def locations(spark, d):
     return docs.select("doc_id", F.array_join(C.locations(text), ",").alias("places"))
 
 
-@query("o040_known_companies", r"""WITH t AS (SELECT c_custkey AS id, 'from ' || upper(s_name) || ', not ' || s_name || '9 to ' || c_name AS text FROM customer JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier)),
-n AS (SELECT s_name AS name FROM supplier) SELECT DISTINCT id, name FROM t JOIN n ON regexp_matches(' ' || lower(text) || ' ', '[^\p{L}\p{N}]' || lower(name) || '[^\p{L}\p{N}]')""")
+LETTER = r"[\p{L}\p{N}]"
+
+
+@query("o040_known_companies", f"""WITH t AS (SELECT c_custkey AS id, 'from ' || upper(s_name) || ', not ' || s_name || '9 to ' || c_name AS text FROM customer JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier)),
+n AS (SELECT s_name AS name, {wrapped("lower(s_name)", LETTER)} AS k FROM supplier) SELECT DISTINCT id, name FROM (SELECT id, {wrapped("lower(text)", LETTER)} AS t FROM t) JOIN n ON contains(t, k)""")
 def known_companies(spark, d):
     names = S.table(spark, d, "supplier").select(F.col("s_name").alias("name"), "s_suppkey")
     n = names.count()
