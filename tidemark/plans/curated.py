@@ -112,7 +112,7 @@ def edge_canonicalisation(spark, d):
     return curation.rewritten(edges, ["tech_id_a", "tech_id_b"], mapping(spark, d))
 
 
-@query("o121_sentiment_signal", """SELECT p_name AS tech, count(*) AS articles, round(coalesce(avg(CASE WHEN l_linenumber > 2 THEN l_tax END), 0.0), 6) AS sentiment, 0.2 AS weight
+@query("o121_sentiment_signal", """SELECT p_name AS tech, count(*) AS articles, round(coalesce(avg(CASE WHEN l_linenumber > 2 THEN l_tax END), 0.0), 6) AS sentiment, CAST(0.2 AS DOUBLE) AS weight
 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE CAST(l_shipdate AS DATE) >= (SELECT CAST(max(l_shipdate) AS DATE) FROM lineitem) - 90 GROUP BY 1""")
 def sentiment_signal(spark, d):
     lines = S.table(spark, d, "lineitem").join(S.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))

@@ -104,9 +104,13 @@ def dbscan(spark, d):
     return L.dbscan(vectors(spark, d).select("id", "embedding"), 0.9, 5)
 
 
-@query("o160_k_distance")
+DISTANCES = "v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT x.id AS a, y.id AS b, x.label AS la, y.label AS lb, list_distance(x.e, y.e) AS d FROM v x JOIN v y ON x.id <> y.id)"
+
+
+@query("o160_k_distance", f"""WITH {DISTANCES}, k AS (SELECT a AS id, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM p) WHERE r = 5)
+SELECT id, d, row_number() OVER (ORDER BY d, id) AS rank, round(d - lag(d) OVER (ORDER BY d, id), 6) AS step FROM k""")
 def k_distance(spark, d):
-    return L.nearest_distance(vectors(spark, d).select("id", "embedding"), 5)
+    return L.nearest_distance(vectors(spark, d).select("id", "embedding"), 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("o161_cluster_spread")
@@ -114,7 +118,8 @@ def spread(spark, d):
     return L.cluster_spread(vectors(spark, d))
 
 
-@query("o161_silhouette")
+@query("o161_silhouette", f"""WITH {DISTANCES}, m AS (SELECT a, la, lb, avg(d) AS d FROM p WHERE la >= 0 AND lb >= 0 GROUP BY ALL), s AS (SELECT a, max(CASE WHEN la = lb THEN d END) AS i, min(CASE WHEN la <> lb THEN d END) AS o FROM m GROUP BY 1)
+SELECT round(avg(CASE WHEN i IS NULL OR o IS NULL THEN 0.0 ELSE (o - i) / greatest(o, i) END), 4) AS silhouette FROM s""")
 def silhouette(spark, d):
     return L.silhouette(vectors(spark, d))
 
@@ -125,14 +130,19 @@ def split(spark, d):
     return L.split_ratio(v.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), v.select("id", "label"))
 
 
-@query("o164_near_clusters")
+CENTRES = "l AS (SELECT vec_id AS id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label >= 0), c AS (SELECT label AS other, i, avg(x) AS c FROM l GROUP BY ALL)"
+
+
+@query("o164_near_clusters", f"""WITH {CENTRES}, f AS (SELECT id, label, other, sqrt(sum((x - c) * (x - c))) AS d FROM l JOIN c USING (i) WHERE label <> other GROUP BY ALL),
+k AS (SELECT id, label, other, round(1 - d / max(d) OVER (PARTITION BY id), 4) AS closeness FROM f) SELECT * FROM k WHERE closeness >= 0.04""")
 def near_clusters(spark, d):
-    return L.near_clusters(vectors(spark, d), 0.3)
+    return L.near_clusters(vectors(spark, d), 0.04)
 
 
-@query("o165_top_members")
+@query("o165_top_members", f"""WITH {CENTRES}, f AS (SELECT label, id, round(sum(x * c) / sqrt(sum(x * x)) / sqrt(sum(c * c)), 4) AS cosine FROM l JOIN c ON l.i = c.i AND label = other GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cosine DESC, id) AS rank FROM f) WHERE rank <= 25""")
 def members(spark, d):
-    return L.top_members(vectors(spark, d), 25)
+    return L.top_members(vectors(spark, d), 25).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("o181_cluster_sizes", "SELECT label, count(*) AS n FROM embeddings WHERE label >= 0 GROUP BY 1")

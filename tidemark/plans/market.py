@@ -307,7 +307,11 @@ def cost(spark, d):
     return o.groupBy("model").agg(F.round(F.sum(llm_cost(F.col("o_custkey"), F.col("o_orderkey"), F.col("p"), F.col("q"))).cast("double"), 2).alias("cost"))
 
 
-@query("o116_level_distance", "SELECT 1 AS levels, CAST(3 AS INTEGER) AS months")
+@query("o116_level_distance", """WITH l AS (SELECT o_orderkey AS job, CASE o_orderpriority WHEN '1-URGENT' THEN 6 WHEN '2-HIGH' THEN 5 WHEN '3-MEDIUM' THEN 4 WHEN '4-NOT SPECIFIED' THEN 3 ELSE 1 END - 4 AS levels FROM orders)
+SELECT job, CAST(levels AS INTEGER) AS levels, CAST(3 * levels AS INTEGER) AS months FROM l""")
 def level_distance(spark, d):
-    steps = (level_rank(F.lit("Senior")) - level_rank(F.lit("Middle"))).cast("int")
-    return spark.range(1).select(steps.alias("levels"), (3 * steps).alias("months"))
+    """Levels from Middle to the level of each job, and months."""
+    names = {"1-URGENT": "Lead", "2-HIGH": "Senior", "3-MEDIUM": "Middle", "4-NOT SPECIFIED": "Junior"}
+    level = F.coalesce(F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.col("level")], F.lit("Intern"))
+    steps = (level_rank(level) - level_rank(F.lit("Middle"))).cast("int")
+    return S.jobs(spark, d).select("job", steps.alias("levels"), (3 * steps).alias("months"))

@@ -17,10 +17,10 @@ def feed(spark, d):
     return e.join(e.filter("event_type = 'purchase'").select("user_id").distinct(), "user_id", "left_semi").select("event_id", "user_id")
 
 
-@query("o061_suggest_anti", "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("o061_suggest_anti", "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 300)")
 def suggest(spark, d):
     e = S.table(spark, d, "events")
-    return e.select("user_id").distinct().join(e.filter("event_type = 'purchase'").select("user_id"), "user_id", "left_anti")
+    return e.select("user_id").distinct().join(e.filter("event_type = 'purchase' AND value > 300").select("user_id"), "user_id", "left_anti")
 
 
 @query("o062_correlated_counts", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS orders, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AS open_orders FROM customer")
