@@ -35,7 +35,7 @@ def test_components_of_all_customers_and_suppliers(spark, tmp_path):
     write(spark, tmp_path, "orders", orders, "o_orderkey long, o_custkey long, o_orderdate date")
     write(spark, tmp_path, "lineitem", lines, "l_orderkey long, l_suppkey long")
     want = smallest_of_sets([(f"c{c}", f"o{o}") for o, c, _ in orders] + [(f"s{s}", f"o{o}") for o, s in lines])
-    got = [tuple(r) for r in registry.QUERIES["o133_all_components"](spark, str(tmp_path)).select("id", "component").collect()]
+    got = [tuple(r) for r in registry.QUERIES["o133_components"](spark, str(tmp_path)).select("id", "component").collect()]
     assert len(got) == len(want) and dict(got) == want
     assert len(collections.Counter(want.values())) == 6
 
@@ -48,7 +48,7 @@ def terms_brute(text):
 def test_entities_of_every_text(spark, tmp_path):
     texts = ["Python and JavaScript, not Javanese", "C++ or C# or c", "no technology", None, "", "học máy với Spring Boot", "Node.js, node.js; NODE.JS", "MySQL SQL", "sparkling", "é-python é python3 (Rust)"]
     write(spark, tmp_path, "benchmark", list(enumerate(texts)), "item_id long, text string")
-    got = {r["item_id"]: (r["found"], r["n"]) for r in registry.QUERIES["o042_all_entities"](spark, str(tmp_path)).collect()}
+    got = {r["item_id"]: (r["found"], r["n"]) for r in registry.QUERIES["o042_query_entities"](spark, str(tmp_path)).collect()}
     assert got == {i: (",".join(terms_brute(t)), len(terms_brute(t))) for i, t in enumerate(texts)}
     assert got[0] == ("JavaScript,Python", 2) and got[3] == ("", 0)
 
@@ -57,7 +57,7 @@ def test_hashes_and_terms_of_every_document(spark, tmp_path):
     rows = [(1, None, "en"), (2, "", None), (3, " The\tCAFÉ\u00a0 crème\u2003\n", "EN"), (4, "the café crème", "fr"), (5, "“Straße”  ΟΔΟΣ", ""), (6, "\u3000x\x1fy\x85", "de"), (7, "other", "The"), (8, "\u00a0", "En"), (9, "thé éthe", None)]
     write(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string")
     clean = lambda t: re.sub(r"\s+", " ", f" {t or ''}".lower().strip())
-    hashes = [tuple(r) for r in registry.QUERIES["o031_all_hashes"](spark, str(tmp_path)).collect()]
+    hashes = [tuple(r) for r in registry.QUERIES["o031_content_hash"](spark, str(tmp_path)).collect()]
     assert sorted(hashes) == [(i, hashlib.md5(clean(t).encode()).hexdigest()) for i, t, _ in rows]
-    terms = [tuple(r) for r in registry.QUERIES["o108_all_terms"](spark, str(tmp_path)).collect()]
+    terms = [tuple(r) for r in registry.QUERIES["o108_term_union"](spark, str(tmp_path)).collect()]
     assert sorted(terms) == [(i, ",".join(sorted({*re.findall(r"\bThe\b", re.sub(r"(?i)\bthe\b", "The", t or "")), *([] if x is None else [x])}))) for i, t, x in rows]

@@ -267,7 +267,7 @@ def near(spark, d):
 
 
 def small_edges(spark, d):
-    """Technologies that share 4 or more jobs."""
+    """Technologies that share jobs."""
     from tidemark.operators import gold
 
     return gold.related(S.requires(spark, d), "job").select(F.col("tech_a").alias("src"), F.col("tech_b").alias("dst"), "shared")
@@ -290,20 +290,20 @@ def communities(spark, d):
     return graph.largest_communities(graph.communities(small_edges(spark, d), "shared"))
 
 
-@query("o133_components", f"WITH RECURSIVE {EDGES}, s AS (SELECT src, dst FROM e WHERE src IN ('c1', 'c2', 'c4') UNION SELECT dst, src FROM e WHERE src IN ('c1', 'c2', 'c4')), w AS (SELECT src AS id, src AS c FROM s UNION SELECT s.dst, w.c FROM w JOIN s ON s.src = w.id) SELECT id, min(c) AS component FROM w GROUP BY 1")
+@query(
+    "o133_components",
+    f"""WITH RECURSIVE {EDGES}, s AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+    w(id, component) USING KEY (id) AS (SELECT src, least(src, min(dst)) FROM s GROUP BY src
+    UNION SELECT s.src, min(w.component) FROM w JOIN s ON s.dst = w.id JOIN recurring.w r ON r.id = s.src WHERE w.component < r.component GROUP BY s.src)
+    SELECT id, component FROM w""",
+)
 def components(spark, d):
-    return graph.connected(edges(spark, d).filter(F.col("src").isin("c1", "c2", "c4")))
-
-
-@query("o133_all_components")
-def all_components(spark, d):
-    """Components of the whole graph; ``o133_components`` is bound to the three customers of its SQL."""
     return graph.connected(edges(spark, d), most=None)
 
 
 @query("o134_node2vec")
 def node2vec(spark, d):
-    return graph.node2vec(small_edges(spark, d).filter("shared >= 4"))
+    return graph.node2vec(small_edges(spark, d))
 
 
 @query("o135_merge_nodes", "WITH m AS (SELECT DISTINCT p_name AS dup, min(p_name) OVER (PARTITION BY lower(substr(p_name, 1, 3))) AS canonical FROM part), e AS (SELECT DISTINCT a.tech AS src, b.tech AS dst FROM r a JOIN r b ON a.job = b.job AND a.tech < b.tech) SELECT DISTINCT coalesce(x.canonical, src) AS src, coalesce(y.canonical, dst) AS dst FROM e LEFT JOIN m x ON src = x.dup LEFT JOIN m y ON dst = y.dup WHERE coalesce(x.canonical, src) <> coalesce(y.canonical, dst)".replace("WITH m", "WITH r AS (SELECT DISTINCT l_orderkey AS job, p_name AS tech FROM lineitem JOIN part ON l_partkey = p_partkey), m"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -27,15 +29,12 @@ def blocked(spark, d):
     return S.table(spark, d, "pages").agg(F.count("*").alias("pages"), F.sum(b.cast("long")).alias("blocked"))
 
 
-@query("o031_content_hash", f"SELECT doc_id, md5({NORM}) AS h FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
-def content_hash(spark, d):
-    t = S.table(spark, d, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return t.select("doc_id", C.fingerprint(F.lit(""), F.col("text")).alias("h"))
+SPACE = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
-@query("o031_all_hashes")
-def all_hashes(spark, d):
-    """The hash of every text, null as empty; ``o031_content_hash`` is bound to the ASCII texts of its SQL."""
+@query("o031_content_hash", f"SELECT doc_id, md5(trim(regexp_replace(lower(coalesce(text, '')), '{SPACE}', ' ', 'g'))) AS h FROM documents")
+def content_hash(spark, d):
+    """The hash of every text, null as empty."""
     return S.table(spark, d, "documents").select("doc_id", C.full_fingerprint(F.lit(""), F.col("text")).alias("h"))
 
 
@@ -119,15 +118,13 @@ def aliases(spark, d):
     return S.table(spark, d, "documents").select("doc_id", F.array_join(C.canonical(F.array(F.concat(F.lit(" "), "lang"), F.lit(""), "source", "source"), known), ",").alias("names"))
 
 
-@query("o108_term_union", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])the($|[^\\p{L}\\p{N}_])') THEN 'The,' ELSE '' END || lang AS terms FROM documents WHERE lang >= 'a'")
+@query(
+    "o108_term_union",
+    r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([
+    CASE WHEN regexp_matches(lower(coalesce(text, '')), '(^|[^\p{L}\p{M}\p{N}_])the($|[^\p{L}\p{M}\p{N}_])') THEN 'The' END, lang], lambda x: x IS NOT NULL))), ',') AS terms FROM documents""",
+)
 def union_terms(spark, d):
-    found = F.sort_array(F.array_union(C.terms(F.col("text"), {"the": "The"}), F.array("lang")))
-    return S.table(spark, d, "documents").filter("lang >= 'a'").select("doc_id", F.array_join(found, ",").alias("terms"))
-
-
-@query("o108_all_terms")
-def all_terms(spark, d):
-    """Terms of every text, with any given one; ``o108_term_union`` is bound to the lower-case ``lang`` of its SQL."""
+    """Terms of every text, with any given one."""
     found = F.array_union(C.terms(F.col("text"), {"the": "The"}), F.array_compact(F.array("lang")))
     return S.table(spark, d, "documents").select("doc_id", F.array_join(F.sort_array(found), ",").alias("terms"))
 
@@ -180,15 +177,18 @@ def acronym(spark, d):
     return S.table(spark, d, "documents").select("lang").distinct().select("lang", C.expand_acronym(F.col("lang"), {"en": "English"}).alias("name"))
 
 
-@query("o042_query_entities", "SELECT item_id, CAST(0 AS INTEGER) AS n FROM benchmark WHERE NOT regexp_matches(lower(text), 'python|java|rust|sql|react|vue|angular|docker|aws|azure|spark|kafka|redis|machine|golang|node|django|spring|kubernetes|postgresql|mongodb|c[+#]|typescript')")
-def entities(spark, d):
-    t = S.table(spark, d, "benchmark").select("item_id", F.size(C.terms(F.col("text"), TECH_TERMS)).alias("n"))
-    return t.filter("n = 0")
+# No key is a whole term within another one, so each can be looked for on its own.
+TERM_ROWS = ", ".join(f"('{re.escape(k)}', '{v}')" for k, v in TECH_TERMS.items())
 
 
-@query("o042_all_entities")
-def all_entities(spark, d):
-    """The terms of every text and their number; ``o042_query_entities`` is bound to the texts without any of its SQL."""
+@query(
+    "o042_query_entities",
+    rf"""WITH k(k, v) AS (VALUES {TERM_ROWS}),
+    f AS (SELECT DISTINCT item_id, v FROM benchmark, k WHERE regexp_matches(lower(text), '(^|[^\p{{L}}\p{{M}}\p{{N}}_])' || k || '($|[^\p{{L}}\p{{M}}\p{{N}}_])'))
+    SELECT item_id, coalesce(string_agg(v, ',' ORDER BY v), '') AS found, CAST(count(v) AS INTEGER) AS n FROM benchmark LEFT JOIN f USING (item_id) GROUP BY 1""",
+)
+def entities(spark, d):
+    """The terms of every text and their number."""
     found = S.table(spark, d, "benchmark").select("item_id", C.terms(F.col("text"), TECH_TERMS).alias("f"))
     return found.select("item_id", F.array_join("f", ",").alias("found"), F.size("f").alias("n"))
 
