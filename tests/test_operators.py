@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,48 @@ def test_forecast_needs_three_months(spark):
     row = gold.forecast_signals(s).first()
     assert row["slope"] is None and row["job_change"] == 3
     assert s.filter(F.col("tech") == "x").count() == 2
+
+
+def vectors_with_copies(spark, n=240):
+    """Points of three clumps and of noise, with many copies of some, points that lie exactly one grid width apart, and ones that can't be measured."""
+    r = random.Random(5)
+    rows = [[(k % 3) * 4 + r.gauss(0, 0.4), (k % 3) * 2 + r.gauss(0, 0.4), r.gauss(0, 0.2), r.uniform(0, 1)] for k in range(n)]
+    rows += [[0.0, 0.0, 0.0, 0.5]] * 40 + [[20.0 + k, 0.0, 0.0, 0.0] for k in range(6)] + [[-50.0, 1.0, 0.0, 0.0]]
+    odd = [None, [1.0, None, 0.0, 0.0], [float("nan"), 0.0, 0.0, 0.0]]
+    return spark.createDataFrame(list(enumerate(rows + odd)), "id long, embedding array<double>"), rows
+
+
+def test_close_pairs_distances_and_clusters_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(learning, "BLOCK_ROWS", 7)
+    frame, rows = vectors_with_copies(spark)
+    d = [[math.dist(x, y) for y in rows] for x in rows]
+    same = learning.distinct_vectors(frame)
+    ids = [r["id"] for r in same.collect()]
+    got = [(r["a"], r["b"]) for r in learning.close_pairs(same, same, 1.0, learning.grid_axes(same)).collect()]
+    assert sorted(got) == sorted((a, b) for a in ids for b in ids if a != b and d[a][b] <= 1.0)
+    for k in (1, 4, 45):
+        want = {i: sorted(x for j, x in enumerate(r) if j != i)[k - 1] for i, r in enumerate(d)}
+        out = sorted(learning.nearest_distance(frame, k).collect(), key=lambda r: r["rank"])
+        assert [r["rank"] for r in out] == list(range(1, len(rows) + 1))
+        assert [(r["id"], r["d"]) for r in out] == [(i, x) for x, i in sorted((r["d"], r["id"]) for r in out)]
+        assert all(abs(r["d"] - want[r["id"]]) < 2e-6 for r in out) and out[0]["step"] is None
+        assert all(abs(y["step"] - (y["d"] - x["d"])) < 1e-9 for x, y in zip(out, out[1:], strict=False))
+    eps, least = 0.5, 4
+    core = {i for i, r in enumerate(d) if sum(x <= eps for x in r) >= least}
+    name = {i: i for i in core}
+    for _ in core:
+        step = {i: min(name[j] for j in core if d[i][j] <= eps) for i in core}
+        if step == name:
+            break
+        name = step
+    want = {i: name[i] if i in core else min(((x, name[j]) for j, x in enumerate(r) if j in core and x <= eps), default=(0, -1))[1] for i, r in enumerate(d)}
+    got = {r["id"]: r["cluster"] for r in learning.dbscan(frame, eps, least).collect()}
+    assert got == want | {len(rows) + k: -1 for k in range(3)}
+
+
+def test_distances_of_few_vectors(spark):
+    empty = spark.createDataFrame([], "id long, embedding array<float>")
+    one = spark.createDataFrame([(3, [1.0, 2.0])], "id long, embedding array<float>")
+    assert learning.nearest_distance(empty, 2).count() == 0 and learning.dbscan(empty, 1.0, 2).count() == 0
+    assert learning.nearest_distance(one, 1).count() == 0
+    assert [tuple(r) for r in learning.dbscan(one, 1.0, 1).collect()] == [(3, 3)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import cosine
 from tidemark.operators.graph import connected
+from tidemark.plans.lineage import cut
 
 
 def vector_top(vectors: DataFrame, query: list[float], n: int, least: float | None = None) -> DataFrame:
@@ -61,17 +62,70 @@ def cluster_spread(vectors: DataFrame) -> DataFrame:
     return ch.crossJoin(db).select(F.col("k").alias("clusters"), "n", F.round(F.col("b") / (F.col("k") - 1) / (F.col("w") / (F.col("n") - F.col("k"))), 4).alias("calinski_harabasz"), F.round("db", 4).alias("davies_bouldin"))
 
 
+def squares(x: str, y: str) -> Column:
+    """Euclidean distance of two arrays of doubles."""
+    return F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+
+
 def distances(vectors: DataFrame) -> DataFrame:
-    """a, b, d: Euclidean distances of all ordered pairs of vectors (id, embedding), for clustering inputs of thousands of rows.
+    """a, b, d: Euclidean distances of all ordered pairs of a bounded sample of vectors (id, embedding), as the silhouette needs them.
 
-    Vectors are dealt into BLOCKS groups, and a row meets each group, so no pair is made twice and no task has all rows."""
-    a = vectors.select(F.col("id").alias("a"), F.col("embedding").alias("ea"))
-    b = vectors.select(F.col("id").alias("b"), F.col("embedding").alias("eb"))
-    d = F.sqrt(F.aggregate(F.zip_with("ea", "eb", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
+    Vectors are dealt into 16 blocks, and a row meets each of them, so no pair is made twice; larger inputs go through ``close_pairs``."""
+    a = vectors.select(F.col("id").alias("a"), F.col("embedding").cast("array<double>").alias("ea"))
+    b = vectors.select(F.col("id").alias("b"), F.col("embedding").cast("array<double>").alias("eb"))
     blocks = 16
     left = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = b.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int"))
-    return left.join(right, "block").filter("a <> b").select("a", "b", d.alias("d"))
+    return left.join(right, "block").filter("a <> b").select("a", "b", squares("ea", "eb").alias("d"))
+
+
+#: Directions of the grid in which close vectors are looked for, and the rows of a cell that meet in one block.
+AXES, BLOCK_ROWS = 3, 4096
+
+
+def distinct_vectors(vectors: DataFrame) -> DataFrame:
+    """id (the smallest one), embedding, n of each different vector; vectors that are null or hold nulls or NaN are left out."""
+    whole = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    whole = whole.filter(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)))
+    return cut(whole.groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+
+
+def grid_axes(vectors: DataFrame) -> list[list[float]]:
+    """Up to AXES orthonormal directions, those of the greatest variance; the first coordinates if there are fewer than two vectors."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    head = vectors.select(F.size("embedding").alias("n")).limit(2).collect()
+    size = head[0]["n"] if head else 1
+    count = min(AXES, size)
+    if len(head) < 2:
+        return [[float(i == j) for i in range(size)] for j in range(count)]
+    return PCA(k=count, inputCol="x", outputCol="y").fit(vectors.select(array_to_vector("embedding").alias("x"))).pc.toArray().T.tolist()
+
+
+def close_pairs(points: DataFrame, others: DataFrame, radius: float, axes: list[list[float]]) -> DataFrame:
+    """a, b, d: every vector of ``others`` within ``radius`` of one of ``points``, both (id, embedding) of doubles, ids apart.
+
+    A projection on orthonormal axes makes no distance longer, so partners lie in the same or a
+    neighbouring cell of a grid that is ``radius`` wide; only these cells meet, and all their
+    pairs are measured.  A cell of more than BLOCK_ROWS rows is dealt into blocks on both sides."""
+    width = radius * (1 + 1e-9) + 1e-12
+    names = [f"c{i}" for i in range(len(axes))]
+
+    def cells(frame: DataFrame, name: str, vector: str) -> DataFrame:
+        dot = lambda axis: F.aggregate(F.zip_with("embedding", F.array(*map(F.lit, axis)), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+        return frame.select(F.col("id").alias(name), F.col("embedding").alias(vector), *(F.floor(dot(axis) / width).alias(c) for c, axis in zip(names, axes, strict=True)))
+
+    a, b = cells(points, "a", "ea"), cells(others, "b", "eb")
+    for c in names:
+        a = a.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+    parts = b.groupBy(*names).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"))
+    slot = lambda name: F.pmod(F.xxhash64(name), F.col("parts"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    left = a.join(parts, names).select("a", "ea", *names, slot("a").alias("pa"), every.alias("pb"))
+    right = b.join(parts, names).select("b", "eb", *names, slot("b").alias("pb"), every.alias("pa"))
+    near = left.join(right, [*names, "pa", "pb"]).filter("a <> b").select("a", "b", squares("ea", "eb").alias("d"))
+    return near.filter(F.col("d") <= radius)
 
 
 def silhouette(vectors: DataFrame, most: int = 5000) -> DataFrame:
@@ -85,23 +139,60 @@ def silhouette(vectors: DataFrame, most: int = 5000) -> DataFrame:
     return per.agg(F.round(F.avg(value), 4).alias("silhouette"))
 
 
-def nearest_distance(vectors: DataFrame, k: int) -> DataFrame:
-    """id, d, rank, step: distances to the k-th nearest, in order, with the rise from the one before (a hint for eps)."""
-    row = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-    kth = distances(vectors).withColumn("r", row).filter(F.col("r") == k).select(F.col("a").alias("id"), F.round("d", 6).alias("d"))
-    order = Window.orderBy("d", "id")
-    return kth.withColumns({"rank": F.row_number().over(order), "step": F.round(F.col("d") - F.lag("d").over(order), 6)})
+def ordered(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows with rank (from 1) and before (the first ``by`` column of the row before), in the order of the columns.
+
+    Rows are sorted in ranges; only a range's number of rows and last value meet in one task."""
+    ranges = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_range", F.spark_partition_id()))
+    inside, across = Window.partitionBy("_range").orderBy(*by), Window.orderBy("_range")
+    ends = ranges.groupBy("_range").agg(F.count("*").alias("_n"), F.max(by[0]).alias("_last"))
+    ends = ends.select("_range", (F.sum("_n").over(across) - F.col("_n")).alias("_start"), F.lag("_last").over(across).alias("_last"))
+    out = ranges.withColumns({"rank": F.row_number().over(inside), "before": F.lag(by[0]).over(inside)}).join(ends, "_range")
+    return out.select(*rows.columns, (F.col("rank") + F.col("_start")).alias("rank"), F.coalesce("before", "_last").alias("before"))
+
+
+def nearest_distance(vectors: DataFrame, k: int, sample: int = 64) -> DataFrame:
+    """id, d, rank, step: distances to the k-th nearest, in order, with the rise from the one before (a hint for eps).
+
+    ``sample`` rows against all rows give a first radius; vectors with fewer than ``k`` others in
+    it look again in one twice as wide, so each distance is exact.  Ids are unique; equal vectors
+    are 0 apart; vectors that hold nulls or NaN, and tables of ``k`` rows or fewer, give no rows."""
+    same = distinct_vectors(vectors)
+    total = same.agg(F.sum("n")).first()[0] or 0
+    kind = vectors.schema["id"].dataType.simpleString()
+    found = vectors.sparkSession.createDataFrame([], f"a {kind}, d double")
+    if total > k:
+        axes, weight = grid_axes(same), same.select(F.col("id").alias("b"), "n")
+        few = same.orderBy(F.xxhash64("id"), "id").limit(sample).select(F.col("id").alias("q"), F.col("embedding").alias("eq"))
+        apart = same.crossJoin(F.broadcast(few)).filter("id <> q").select("q", squares("embedding", "eq").alias("d"))
+        guess = apart.groupBy("q").agg(F.percentile_approx("d", min(1.0, (k + 1) / total), 100000).alias("d")).agg(F.percentile_approx("d", 0.5)).first()[0]
+        radius, pending = guess or 1.0, same
+        while not pending.isEmpty():
+            near = close_pairs(pending, same, radius, axes).join(weight, "b").select("a", "d", "n").union(pending.select("id", F.lit(0.0), F.col("n") - 1))
+            reached = near.withColumn("all", F.sum("n").over(Window.partitionBy("a").orderBy("d"))).filter(F.col("all") >= k)
+            done = cut(reached.groupBy("a").agg(F.min("d").alias("d")))
+            found = found.union(done)
+            pending, radius = cut(pending.join(done, pending["id"] == done["a"], "left_anti")), radius * 2
+    named = same.join(found, same["id"] == found["a"]).select("embedding", F.round("d", 6).alias("d"))
+    rows = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")).join(named, "embedding").select("id", "d")
+    return ordered(rows, "d", "id").select("id", "d", "rank", F.round(F.col("d") - F.col("before"), 6).alias("step"))
 
 
 def dbscan(vectors: DataFrame, eps: float, least: int) -> DataFrame:
-    """id, cluster (smallest id of its core points), -1 for noise; border points go to the nearest core point's cluster, ties to the smaller."""
-    near = distances(vectors).filter(F.col("d") <= eps)
-    core = near.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") + 1 >= least).select(F.col("a").alias("id"))
+    """id, cluster (smallest id of its core points), -1 for noise; border points go to the nearest core point's cluster, ties to the smaller.
+
+    Ids are unique; equal vectors are compared once and counted as often as they occur; vectors that hold nulls or NaN are noise."""
+    same = distinct_vectors(vectors)
+    near = cut(close_pairs(same, same, eps, grid_axes(same)))
+    around = near.join(same.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("near"))
+    core = same.join(around, "id", "left").filter(F.col("n") + F.coalesce("near", F.lit(0)) >= least).select("id")
     links = near.join(core.toDF("a"), "a", "left_semi").join(core.toDF("b"), "b", "left_semi")
-    grouped = connected(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    grouped = connected(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), most=None)
     named = core.join(grouped, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
     border = near.join(core.toDF("a"), "a", "left_anti").join(named.toDF("b", "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min_by("cluster", F.struct("d", "cluster")).alias("cluster"))
-    return vectors.select("id").join(named.unionByName(border), "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    labelled = same.select("id", "embedding").join(named.unionByName(border), "id").select("embedding", "cluster")
+    rows = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.join(labelled, "embedding", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def near_clusters(vectors: DataFrame, least: float = 0.7) -> DataFrame:

@@ -150,11 +150,16 @@ def sizes(spark, d):
     return vectors(spark, d).filter("label >= 0").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("o180_cluster_detail", "SELECT label, count(*) AS n, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS members FROM embeddings WHERE label >= 0 GROUP BY 1")
+@query("o180_cluster_detail", "SELECT label, count(*) OVER (PARTITION BY label) AS n, vec_id AS id FROM embeddings WHERE label >= 0")
 def detail(spark, d):
-    return vectors(spark, d).filter("label >= 0").groupBy("label").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("members"))
+    """A cluster's size beside each of its members, one row each."""
+    v = vectors(spark, d).filter("label >= 0")
+    return v.select("label", "id").join(v.groupBy("label").agg(F.count("*").alias("n")), "label").select("label", "n", "id")
 
 
-@query("o166_corpus", "SELECT lang, source, string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY doc_id) AS docs FROM documents GROUP BY 1, 2")
+@query("o166_corpus", "SELECT lang, source, doc_id, text, count(*) OVER (PARTITION BY lang, source) AS docs FROM documents WHERE text IS NOT NULL AND trim(text) <> ''")
 def corpus(spark, d):
-    return S.table(spark, d, "documents").groupBy("lang", "source").agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), " ").alias("docs"))
+    """The texts of each (lang, source), one row each, with their number."""
+    t = S.table(spark, d, "documents").filter("text IS NOT NULL AND trim(text) <> ''").select("lang", "source", "doc_id", "text")
+    n = t.groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(F.count("*").alias("docs"))
+    return t.join(n, t["lang"].eqNullSafe(n["l"]) & t["source"].eqNullSafe(n["s"])).drop("l", "s")
