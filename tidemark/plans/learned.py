@@ -99,12 +99,19 @@ def pca(spark, d):
     return L.principal(vectors(spark, d), 8)
 
 
-@query("o158_dbscan")
-def dbscan(spark, d):
-    return L.dbscan(vectors(spark, d).select("id", "embedding"), 0.9, 5)
+DISTANCES = "v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT x.id AS a, y.id AS b, x.label AS la, y.label AS lb, list_distance(x.e, y.e) AS d FROM v x JOIN v y ON x.id <> y.id)"
 
 
-DISTANCES = "v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT x.id AS a, y.id AS b, x.label AS la, y.label AS lb, list_distance(x.e, y.e) AS d FROM v x JOIN v y ON x.id <> y.id)"
+@query(
+    "o158_dbscan",
+    f"""WITH RECURSIVE {DISTANCES}, near AS (SELECT a, b, d FROM p WHERE d <= 0.9), core AS (SELECT a AS id FROM near GROUP BY 1 HAVING count(*) + 1 >= 5),
+    w(id, cluster) USING KEY (id) AS (SELECT id, id FROM core
+    UNION SELECT a, min(w.cluster) FROM w JOIN near ON b = w.id JOIN core ON core.id = a JOIN recurring.w r ON r.id = a WHERE w.cluster < r.cluster GROUP BY a),
+    border AS (SELECT a AS id, first(cluster ORDER BY d, cluster) AS cluster FROM near JOIN w ON b = w.id WHERE a NOT IN (SELECT id FROM core) GROUP BY 1)
+    SELECT v.id, coalesce(w.cluster, border.cluster, -1) AS cluster FROM v LEFT JOIN w ON w.id = v.id LEFT JOIN border ON border.id = v.id""",
+)
+def dbscan(spark, d):
+    return L.dbscan(vectors(spark, d).select("id", "embedding"), 0.9, 5)
 
 
 @query("o160_k_distance", f"""WITH {DISTANCES}, k AS (SELECT a AS id, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM p) WHERE r = 5)
@@ -113,7 +120,19 @@ def k_distance(spark, d):
     return L.nearest_distance(vectors(spark, d).select("id", "embedding"), 5).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("o161_cluster_spread")
+CENTRES = "l AS (SELECT vec_id AS id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label >= 0), c AS (SELECT label AS other, i, avg(x) AS c FROM l GROUP BY ALL)"
+
+
+@query(
+    "o161_cluster_spread",
+    f"""WITH {CENTRES}, f AS (SELECT id, label, sum((x - c) * (x - c)) AS d2 FROM l JOIN c ON l.i = c.i AND label = other GROUP BY ALL),
+    s AS (SELECT label, count(*) AS size, sum(d2) AS within, avg(sqrt(d2)) AS s FROM f GROUP BY 1), g AS (SELECT i, avg(x) AS g FROM l GROUP BY 1),
+    b AS (SELECT other AS label, sum((c - g) * (c - g)) AS b2 FROM c JOIN g USING (i) GROUP BY 1),
+    ch AS (SELECT count(*) AS k, CAST(sum(size) AS BIGINT) AS n, sum(size * b2) AS b, sum(within) AS w FROM s JOIN b USING (label)),
+    m AS (SELECT x.other AS p, y.other AS q, sqrt(sum((x.c - y.c) * (x.c - y.c))) AS m FROM c x JOIN c y ON x.i = y.i AND x.other <> y.other GROUP BY ALL),
+    r AS (SELECT p, max((sp.s + sq.s) / m) AS r FROM m JOIN s sp ON sp.label = p JOIN s sq ON sq.label = q GROUP BY 1)
+    SELECT k AS clusters, n, round(b / (k - 1) / (w / (n - k)), 4) AS calinski_harabasz, (SELECT round(avg(r), 4) FROM r) AS davies_bouldin FROM ch""",
+)
 def spread(spark, d):
     return L.cluster_spread(vectors(spark, d))
 
@@ -130,9 +149,6 @@ def split(spark, d):
     return L.split_ratio(v.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), v.select("id", "label"))
 
 
-CENTRES = "l AS (SELECT vec_id AS id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label >= 0), c AS (SELECT label AS other, i, avg(x) AS c FROM l GROUP BY ALL)"
-
-
 @query("o164_near_clusters", f"""WITH {CENTRES}, f AS (SELECT id, label, other, sqrt(sum((x - c) * (x - c))) AS d FROM l JOIN c USING (i) WHERE label <> other GROUP BY ALL),
 k AS (SELECT id, label, other, round(1 - d / max(d) OVER (PARTITION BY id), 4) AS closeness FROM f) SELECT * FROM k WHERE closeness >= 0.04""")
 def near_clusters(spark, d):

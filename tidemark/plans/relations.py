@@ -273,19 +273,43 @@ def small_edges(spark, d):
     return gold.related(S.requires(spark, d), "job").select(F.col("tech_a").alias("src"), F.col("tech_b").alias("dst"), "shared")
 
 
-@query("o129_shortest_path")
+SHARED = """r AS (SELECT DISTINCT l_orderkey AS job, p_name AS tech FROM lineitem JOIN part ON l_partkey = p_partkey),
+    s AS (SELECT a.tech AS src, b.tech AS dst, count(*) AS w FROM r a JOIN r b ON a.job = b.job AND a.tech <> b.tech GROUP BY ALL)"""
+
+
+@query(
+    "o129_shortest_path",
+    f"""WITH RECURSIVE {SHARED}, ends AS (SELECT min(src) AS a, max(dst) AS b FROM s WHERE src < dst),
+    w(id, parent, hop) USING KEY (id) AS (SELECT a, CAST(NULL AS VARCHAR), 0 FROM ends
+    UNION SELECT s.dst, min(s.src), min(w.hop) + 1 FROM w JOIN s ON s.src = w.id WHERE w.hop < 8 AND s.dst NOT IN (SELECT id FROM recurring.w) GROUP BY s.dst),
+    path AS (SELECT w.* FROM w JOIN ends ON id = b UNION ALL SELECT w.* FROM path JOIN w ON w.id = path.parent)
+    SELECT hop AS step, id FROM path""",
+)
 def path(spark, d):
     ends = small_edges(spark, d).agg(F.min("src").alias("a"), F.max("dst").alias("b")).first()
     found = graph.shortest_path(small_edges(spark, d), ends["a"], ends["b"]) or []
     return spark.createDataFrame([(i, x) for i, x in enumerate(found)], "step int, id string")
 
 
-@query("o130_pagerank")
+@query(
+    "o130_pagerank",
+    f"""WITH RECURSIVE {SHARED}, a AS (SELECT src, dst, w / CAST(sum(w) OVER (PARTITION BY src) AS DOUBLE) AS share FROM s),
+    k AS (SELECT DISTINCT src AS id, CAST(1 AS DOUBLE) AS p, 0 AS i FROM s
+    UNION ALL SELECT dst, 0.15 + 0.85 * sum(share * p), min(i) + 1 FROM k JOIN a ON src = id WHERE i < 20 GROUP BY dst)
+    SELECT id, round(p, 6) AS pagerank FROM k WHERE i = 20""",
+)
 def pagerank(spark, d):
     return graph.pagerank(small_edges(spark, d), weight="shared").select("id", F.round("pagerank", 6).alias("pagerank"))
 
 
-@query("o132_communities")
+@query(
+    "o132_communities",
+    f"""WITH RECURSIVE {SHARED}, k AS (SELECT DISTINCT src AS id, src AS c, 0 AS i FROM s
+    UNION ALL SELECT id, first(c ORDER BY v DESC, c), min(i) + 1 FROM (SELECT id, c, sum(v) AS v, min(i) AS i
+    FROM (SELECT s.src AS id, k.c, CAST(s.w AS DOUBLE) AS v, k.i FROM k JOIN s ON s.dst = k.id WHERE k.i < 10 UNION ALL SELECT id, c, 0, i FROM k WHERE i < 10) GROUP BY 1, 2) GROUP BY id),
+    l AS (SELECT id, c FROM k WHERE i = 10), n AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS g FROM l GROUP BY c)
+    SELECT id, CAST(CASE WHEN g < 6 THEN g ELSE 99 END AS INTEGER) AS "group" FROM l JOIN n USING (c)""",
+)
 def communities(spark, d):
     return graph.largest_communities(graph.communities(small_edges(spark, d), "shared"))
 
