@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import growth, month_index, month_of
+from tidemark.operators.learning import running
+from tidemark.plans.lineage import cut
 
 
 def monthly_mentions(mentions: DataFrame) -> DataFrame:
@@ -94,13 +96,28 @@ def trend_score(stats: DataFrame) -> DataFrame:
     return stats.crossJoin(F.broadcast(most)).select("tech", score.alias("trend_score"))
 
 
+def quantiles(values: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """tech and its exact quantiles, interpolated, of values (tech, pay): one column for each of ``shares``; nulls don't count.
+
+    Equal pays are counted first, and the counts summed along sorted ranges, so that no task or
+    buffer holds a technology's pays."""
+    counts = values.filter("pay IS NOT NULL").groupBy("tech", "pay").agg(F.count("*").alias("c"))
+    rows = running(counts, "c", "tech", "pay")
+    sizes = rows.groupBy("tech").agg(F.min(F.col("total") - F.col("c")).alias("start"), F.sum("c").alias("n"))
+    placed = rows.join(sizes, "tech").withColumn("upto", F.col("total") - F.col("start"))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("pay").cast("double")))
+    place = {c: (F.col("n") - 1) * p for c, p in shares.items()}
+    ends = placed.groupBy("tech", "n").agg(*(at(f(x)).alias(f"{side}_{c}") for c, x in place.items() for side, f in (("low", F.floor), ("high", F.ceil))))
+    return ends.select("tech", *((F.col(f"low_{c}") + (F.col(f"high_{c}") - F.col(f"low_{c}")) * (x - F.floor(x))).alias(c) for c, x in place.items()))
+
+
 def pay_statistics(pays: DataFrame, least: int, n: int) -> DataFrame:
     """tech, jobs, median, mean, extremes and quartiles of pays (tech, pay) with ``least`` jobs, the n best paid of the 3 n most wanted."""
-    q = F.percentile("pay", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = pays.groupBy("tech").agg(F.count("*").alias("jobs"), q.alias("q"), F.avg("pay").alias("a"), F.min("pay").alias("low"), F.max("pay").alias("high")).filter(F.col("jobs") >= least)
-    wanted = out.orderBy(F.desc("jobs"), "tech").limit(3 * n)
-    r = lambda c: F.round(c, 1)
-    return wanted.select("tech", "jobs", r(F.get("q", F.lit(1))).alias("median_pay"), r("a").alias("mean_pay"), r("low").alias("min_pay"), r("high").alias("max_pay"), r(F.get("q", F.lit(0))).alias("p25_pay"), r(F.get("q", F.lit(2))).alias("p75_pay")).orderBy(F.desc("median_pay"), "tech").limit(n)
+    out = pays.groupBy("tech").agg(F.count("*").alias("jobs"), F.avg("pay").alias("mean_pay"), F.min("pay").alias("min_pay"), F.max("pay").alias("max_pay"))
+    wanted = cut(out.filter(F.col("jobs") >= least).orderBy(F.desc("jobs"), "tech").limit(3 * n))
+    q = quantiles(pays.join(F.broadcast(wanted.select("tech")), "tech"), {"median_pay": 0.5, "p25_pay": 0.25, "p75_pay": 0.75})
+    rounded = (F.round(c, 1).alias(c) for c in ("median_pay", "mean_pay", "min_pay", "max_pay", "p25_pay", "p75_pay"))
+    return wanted.join(q, "tech", "left").select("tech", "jobs", *rounded).orderBy(F.desc("median_pay"), "tech").limit(n)
 
 
 def co_required(requires: DataFrame, n: int | None = None, tech: str | None = None) -> DataFrame:

@@ -151,6 +151,15 @@ def ordered(rows: DataFrame, *by: str) -> DataFrame:
     return out.select(*rows.columns, (F.col("rank") + F.col("_start")).alias("rank"), F.coalesce("before", "_last").alias("before"))
 
 
+def running(rows: DataFrame, weight: str, *by: str) -> DataFrame:
+    """Rows with total: the sum of ``weight`` down to the row, in the order of the columns, sorted in ranges as in ``ordered``."""
+    ranges = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_range", F.spark_partition_id()))
+    ends = ranges.groupBy("_range").agg(F.sum(weight).alias("_sum"))
+    ends = ends.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    return ranges.withColumn("total", F.sum(weight).over(inside)).join(ends, "_range").select(*rows.columns, (F.col("total") + F.col("_start")).alias("total"))
+
+
 def nearest_distance(vectors: DataFrame, k: int, sample: int = 64) -> DataFrame:
     """id, d, rank, step: distances to the k-th nearest, in order, with the rise from the one before (a hint for eps).
 

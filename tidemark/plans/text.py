@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions.vocabulary import TECH_TERMS
 from tidemark.operators import serving
+from tidemark.operators.names import nearest_names
 from tidemark.plans.registry import query
 from tidemark.sources import frames as S
 
@@ -163,8 +163,7 @@ def faithfulness(spark, d):
 def fuzzy(spark, d):
     n = S.table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
     q = n.select(F.concat("name", F.lit("x")).alias("q"))
-    s = q.join(n, C.name_ratio(F.col("q"), F.col("name")) >= 0.6).withColumn("s", C.name_ratio(F.col("q"), F.col("name")))
-    return s.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "name"))).filter("rn = 1").select("q", "name", F.round("s", 4).alias("ratio"))
+    return nearest_names(q, n, 0.6).select("q", "name", F.round("s", 4).alias("ratio"))
 
 
 @query("o047_company_core", r"SELECT s_suppkey, CASE WHEN length(trim(regexp_replace(lower(s_name), '[^\p{L}\p{N}]+', ' ', 'g'))) >= 6 THEN trim(regexp_replace(lower(s_name), '[^\p{L}\p{N}]+', ' ', 'g')) END AS core FROM supplier")
