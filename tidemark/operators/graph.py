@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import DataFrame, Window
@@ -38,20 +39,50 @@ def degree(edges: DataFrame) -> DataFrame:
     return symmetric(edges).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
 
 
+def _few(frame: DataFrame, key: str, name: str, n: int = 3) -> DataFrame:
+    """key and up to ``n`` different edges (e) of it, as ``name``: enough to find one that isn't among ``n`` - 1 others."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy("e"))
+    return frame.select(key, "e").distinct().withColumn("_place", place).filter(F.col("_place") <= n).select(key, F.col("e").alias(name))
+
+
+def _avoidable(pairs: DataFrame) -> DataFrame:
+    """Up to three of the pairs (v, x, y) of each v, one of which is without any given edge if any pair is: one pair, and one without either of its edges."""
+    first = pairs.groupBy("v").agg(F.min(F.struct("x", "y")).alias("p"))
+    without = lambda edge: F.min(F.when((F.col("x") != edge) & (F.col("y") != edge), F.struct("x", "y")))
+    three = pairs.join(first, "v").groupBy("v").agg(F.min("p").alias("p"), without(F.col("p.x")).alias("q"), without(F.col("p.y")).alias("r"))
+    return three.select("v", F.explode(F.array("p", "q", "r")).alias("pair")).filter("pair IS NOT NULL").select("v", "pair.x", "pair.y")
+
+
 def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2, limit: int | None = 100) -> DataFrame:
-    """Edges of undirected paths of 1 to ``depth`` (at most 3) hops from seeds (id); (src, dst, hop) once each, no edge twice in a path."""
+    """Edges of undirected paths of 1 to ``depth`` (at most 3) hops from seeds (id); (src, dst, hop) once each, no edge twice in a path.
+
+    Paths aren't built: an edge has its place in one if edges before and after it are left that
+    differ, and a few of a node's edges tell that, so rows grow with the edges around, not with
+    the paths through a hub."""
     depth = max(1, min(depth, 3))
-    known = edges.select("src", "dst").distinct().withColumn("edge", F.xxhash64("src", "dst"))
-    both = known.select("edge", "src", "dst", F.col("src").alias("a"), F.col("dst").alias("b")).union(known.select("edge", "src", "dst", F.col("dst").alias("a"), F.col("src").alias("b")))
-    front = seeds.select(F.col("id").alias("at"), F.array().cast("array<bigint>").alias("seen"), F.array().cast("array<struct<src:string,dst:string>>").alias("path"))
-    found = None
-    for hop in range(1, depth + 1):
-        step = front.join(both, front["at"] == both["a"]).filter(~F.array_contains("seen", F.col("edge")))
-        front = step.select(F.col("b").alias("at"), F.concat("seen", F.array("edge")).alias("seen"), F.concat("path", F.array(F.struct(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")))).alias("path"))
-        rows = front.select(F.explode("path").alias("e"), F.lit(hop).alias("hop")).select("e.src", "e.dst", "hop")
-        found = rows if found is None else found.union(rows)
-    found = found.distinct()
-    return found if limit is None else found.orderBy("hop", "src", "dst").limit(limit)
+    known = edges.select("src", "dst").distinct().select(F.struct("src", "dst").alias("e"), "src", "dst")
+    arcs = known.select("e", F.col("src").alias("a"), F.col("dst").alias("v")).union(known.select("e", F.col("dst").alias("a"), F.col("src").alias("v"))).distinct()
+    leaving = lambda nodes: arcs.join(nodes.select(F.col("v").alias("a")).distinct(), "a")
+    first = leaving(seeds.select(F.col("id").alias("v")))
+    found = {1: [first.select("e")]}
+    if depth > 1:
+        second = leaving(first)
+        ends = second.select(F.col("a").alias("v"), "e")
+        two = second.join(_few(first, "v", "x").withColumnRenamed("v", "a"), "a").filter("e <> x").select("v", "x", F.col("e").alias("y"))
+        found[2] = [two.select("y"), first.join(_few(ends, "v", "y"), "v").filter("e <> y").select("e")]
+    if depth > 2:
+        third = leaving(two).select(F.col("a").alias("v"), "e")
+        last = _few(third, "v", "z")
+        after = second.join(last, "v").filter("e <> z").select(F.col("a").alias("v"), F.col("e").alias("x"), F.col("z").alias("y"))
+        apart = (F.col("e") != F.col("x")) & (F.col("e") != F.col("y"))
+        found[3] = [
+            third.join(_avoidable(two), "v").filter(apart).select("e"),
+            two.join(last, "v").filter("z <> x AND z <> y").select("y"),
+            first.join(_avoidable(after), "v").filter(apart).select("e"),
+        ]
+    rows = [part.toDF("e").select(F.col("e.src").cast("string").alias("src"), F.col("e.dst").cast("string").alias("dst"), F.lit(hop).alias("hop")) for hop, parts in found.items() for part in parts]
+    out = functools.reduce(DataFrame.union, rows).distinct()
+    return out if limit is None else out.orderBy("hop", "src", "dst").limit(limit)
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
