@@ -60,9 +60,9 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2, limit: int | None
     differ, and a few of a node's edges tell that, so rows grow with the edges around, not with
     the paths through a hub."""
     depth = max(1, min(depth, 3))
-    known = edges.select("src", "dst").distinct().select(F.struct("src", "dst").alias("e"), "src", "dst")
-    arcs = known.select("e", F.col("src").alias("a"), F.col("dst").alias("v")).union(known.select("e", F.col("dst").alias("a"), F.col("src").alias("v"))).distinct()
-    leaving = lambda nodes: arcs.join(nodes.select(F.col("v").alias("a")).distinct(), "a")
+    known = edges.select(F.struct("src", "dst").alias("e"), "src", "dst")
+    arcs = known.select("e", F.col("src").alias("a"), F.col("dst").alias("v")).union(known.select("e", F.col("dst").alias("a"), F.col("src").alias("v")))
+    leaving = lambda nodes: cut(arcs.join(nodes.select(F.col("v").alias("a")).distinct(), "a").distinct())
     first = leaving(seeds.select(F.col("id").alias("v")))
     found = {1: [first.select("e")]}
     if depth > 1:
