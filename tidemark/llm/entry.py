@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_flac, op10_jaccard, op11_quality, op2_toxicity, op3_exact_dedup, op4_backoff_lm, op5_token_store, op6_secrets, op7_mixing, op8_language, op9_byte_bpe
+from . import op1_flac, op10_jaccard, op11_quality, op12_merkle, op2_toxicity, op3_exact_dedup, op4_backoff_lm, op5_token_store, op6_secrets, op7_mixing, op8_language, op9_byte_bpe
 
 QUERIES = {
     "op1_flac": op1_flac.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe.query,
     "op10_jaccard": op10_jaccard.query,
     "op11_quality": op11_quality.query,
+    "op12_merkle": op12_merkle.query,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": op3_exact_dedup.ORACLE,
     "op7_mixing": op7_mixing.ORACLE,
     "op11_quality": op11_quality.ORACLE,
+    "op12_merkle": op12_merkle.ORACLE,
 }
