@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_flac, op10_jaccard, op11_quality, op12_merkle, op2_toxicity, op3_exact_dedup, op4_backoff_lm, op5_token_store, op6_secrets, op7_mixing, op8_language, op9_byte_bpe
+from . import op1_flac, op10_jaccard, op11_quality, op12_merkle, op13_alignment, op2_toxicity, op3_exact_dedup, op4_backoff_lm, op5_token_store, op6_secrets, op7_mixing, op8_language, op9_byte_bpe
 
 QUERIES = {
     "op1_flac": op1_flac.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_jaccard": op10_jaccard.query,
     "op11_quality": op11_quality.query,
     "op12_merkle": op12_merkle.query,
+    "op13_alignment": op13_alignment.query,
 }
 
 ORACLE_SQL = {
