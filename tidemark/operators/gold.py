@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import growth, month_index, month_of
-from tidemark.operators.learning import running
+from tidemark.operators.learning import ordered, running
 from tidemark.plans.lineage import cut
 
 
@@ -35,13 +35,15 @@ def tech_analytics(job_months: DataFrame, article_months: DataFrame, snapshot: D
     """tech, month, job_count, article_count, mom_growth, yoy_growth, growth_rate, ranking.
 
     The snapshot (tech, job_count) folds into the month of as_of by the larger value; growth
-    compares jobs, or articles of months without jobs; only the as_of month is ranked."""
+    compares jobs, or articles of months without jobs; only the as_of month is ranked.  Months
+    after as_of (articles dated ahead of the last posting) aren't part of the series."""
     now = as_of.select(F.col("as_of").alias("month"))
     rows = (
         job_months.select("tech", "month", "job_count", F.lit(0).cast("long").alias("article_count"), F.lit(0).cast("long").alias("snapshot"))
         .unionByName(article_months.select("tech", "month", F.lit(0).cast("long").alias("job_count"), "article_count", F.lit(0).cast("long").alias("snapshot")))
         .unionByName(snapshot.crossJoin(F.broadcast(now)).select("tech", "month", F.lit(0).cast("long").alias("job_count"), F.lit(0).cast("long").alias("article_count"), F.col("job_count").alias("snapshot")))
     )
+    rows = rows.crossJoin(F.broadcast(as_of)).filter(F.col("month") <= F.col("as_of")).drop("as_of")
     months = rows.groupBy("tech", "month").agg(F.sum("job_count").alias("j"), F.sum("article_count").alias("article_count"), F.max("snapshot").alias("s")).select("tech", "month", F.greatest("j", "s").alias("job_count"), "article_count")
     grown = with_growth(months.withColumn("activity", F.when(F.col("job_count") > 0, F.col("job_count")).otherwise(F.col("article_count"))), "activity")
     current = grown.crossJoin(F.broadcast(as_of)).withColumn("now", F.col("month") == F.col("as_of"))
@@ -50,8 +52,9 @@ def tech_analytics(job_months: DataFrame, article_months: DataFrame, snapshot: D
 
 
 def snapshot_rank(counts: DataFrame) -> DataFrame:
-    """tech, ranking by job_count, ties by name; one row a technology, so the order of all fits one task."""
-    return counts.select("tech", F.row_number().over(Window.orderBy(F.desc("job_count"), "tech")).alias("ranking"))
+    """tech, ranking by job_count, ties by name; sorted in ranges, so no task orders all technologies."""
+    keyed = counts.select((-F.col("job_count")).alias("_down"), "tech")
+    return ordered(keyed, "_down", "tech").select("tech", F.col("rank").alias("ranking"))
 
 
 def rank_by_month(series: DataFrame) -> DataFrame:
@@ -69,6 +72,17 @@ def top_technologies(series: DataFrame, n: int = 10) -> DataFrame:
     return latest(series).orderBy(F.desc("job_count"), "tech").limit(10 if n <= 0 else min(n, 100))
 
 
+def new_by_month(series: DataFrame) -> DataFrame:
+    """month, new_technologies: how many technologies a month is the first of."""
+    return series.groupBy("tech").agg(F.min("month").alias("month")).groupBy("month").agg(F.count("*").alias("new_technologies"))
+
+
+def new_technologies(series: DataFrame, as_of: DataFrame) -> DataFrame:
+    """One row: the technologies whose first month is the current one."""
+    first = new_by_month(series).join(F.broadcast(as_of), F.col("month") == F.col("as_of"))
+    return first.agg(F.coalesce(F.sum("new_technologies"), F.lit(0).cast("long")).alias("new_technologies"))
+
+
 def trending(series: DataFrame, n: int = 10) -> DataFrame:
     last = series.agg(F.max("month").alias("last"))
     return series.join(F.broadcast(last), series["month"] == last["last"]).drop("last").orderBy(F.coalesce("mom_growth", F.lit(0.0)).desc(), "tech").limit(n)

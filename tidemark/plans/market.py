@@ -19,7 +19,7 @@ jm AS (SELECT tech, CAST(date_trunc('month', posted) AS DATE) AS month, count(*)
 am AS (SELECT tech, CAST(date_trunc('month', day) AS DATE) AS month, count(*) AS article_count FROM mm GROUP BY 1, 2),
 sn AS (SELECT tech, count(*) AS job_count FROM r GROUP BY 1),
 un AS (SELECT tech, month, job_count, 0 AS article_count, 0 AS s FROM jm UNION ALL SELECT tech, month, 0, article_count, 0 FROM am UNION ALL SELECT tech, as_of, 0, 0, job_count FROM sn, ao),
-mo AS (SELECT tech, month, greatest(CAST(sum(job_count) AS BIGINT), max(s)) AS job_count, CAST(sum(article_count) AS BIGINT) AS article_count, year(month) * 12 + month(month) AS i FROM un GROUP BY tech, month),
+mo AS (SELECT tech, month, greatest(CAST(sum(job_count) AS BIGINT), max(s)) AS job_count, CAST(sum(article_count) AS BIGINT) AS article_count, year(month) * 12 + month(month) AS i FROM un, ao WHERE month <= as_of GROUP BY tech, month),
 ac AS (SELECT *, CASE WHEN job_count > 0 THEN job_count ELSE article_count END AS activity FROM mo),
 gr AS (SELECT a.tech, a.month, a.job_count, a.article_count,
   CASE WHEN coalesce(p.activity, 0) = 0 THEN 0.0 ELSE round((a.activity - p.activity) / CAST(p.activity AS DOUBLE) * 100.0, 2) END AS mom_growth,
@@ -84,11 +84,18 @@ def trending(spark, d):
     return gold.trending(analytics(spark, d)).select("tech", "month", "mom_growth")
 
 
-@query("o083_new_technologies", f"WITH {M} SELECT count(*) AS new_technologies FROM (SELECT tech, min(date_trunc('month', day)) AS f FROM mm GROUP BY 1) WHERE f = (SELECT min(date_trunc('month', day)) FROM mm)")
+@query("o083_new_technologies", f"WITH {MONTHS}, f AS (SELECT tech, min(month) AS first FROM ta GROUP BY tech) SELECT count(*) AS new_technologies FROM f, ao WHERE first = as_of")
 def new_technologies(spark, d):
-    first = S.mentions(spark, d).groupBy("tech").agg(F.trunc(F.min("day"), "month").alias("first"))
-    start = first.agg(F.min("first").alias("start"))
-    return first.join(F.broadcast(start), first["first"] == start["start"]).agg(F.count("*").alias("new_technologies"))
+    return gold.new_technologies(analytics(spark, d), S.as_of(S.jobs(spark, d)))
+
+
+@query(
+    "o083_new_by_month",
+    f"WITH {MONTHS}, f AS (SELECT tech, min(month) AS month FROM ta GROUP BY tech) SELECT month, count(*) AS new_technologies FROM f GROUP BY month",
+)
+def new_by_month(spark, d):
+    """The same count for every month of the data."""
+    return gold.new_by_month(analytics(spark, d))
 
 
 @query("o081_period_report", f"WITH {MONTHS} SELECT tech, round(avg(growth_rate), 4) AS avg_growth, CAST(sum(job_count) AS BIGINT) AS jobs, CAST(sum(article_count) AS BIGINT) AS articles, max(mom_growth) AS peak_mom FROM ta WHERE month BETWEEN DATE '1997-01-01' AND DATE '1997-12-01' GROUP BY tech ORDER BY avg_growth DESC, tech LIMIT 10")
