@@ -12,8 +12,8 @@ In a run that passes as a whole, the parts between ``+/_=-`` are tested as well,
 long path of words would hide a random string.  Parts that are no words are joined with
 their neighbours of that kind, and stretches of CANDIDATE_LENGTH or more are tested.
 
-Spans are in code points, the end exclusive.  Base spans always stay; a run that a base
-span overlaps is not reported again.
+Spans are in code points, the end exclusive.  Base spans always stay; of a run that they
+overlap, what is left on both sides is tested like runs of its own.
 
 Defined cases: a null or empty text has no spans, and the digest of an empty text; a very
 long text is read whole, in time that grows with its length; spans that start together come
@@ -43,6 +43,7 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 CANDIDATE_LENGTH = 20
 MAX_CHARS_PER_TOKEN = 2.2
+SEPARATORS = "+/_=-"
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 _HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
@@ -122,24 +123,49 @@ def random_parts(run: str, pieces: list[tuple[int, int, int]], encoding, limit:
     return found
 
 
+def free_parts(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What ``taken``, in order, leave of a run; without the separators beside them."""
+    out, at = [], start
+    for a, b in [*taken, (end, end)]:
+        if a > at:
+            out.append((at, min(a, end)))
+        at = max(at, b)
+    return out
+
+
 def random_runs(text: str, taken: list[tuple[int, int, int]], encoding, limit: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) of random strings; ``taken`` are the base spans, in order."""
-    found, seen, covered = [], 0, 0
+    found, seen, covered = [], 0, []
     for m in RUN.finditer(text):
-        run = m[0]
         while seen < len(taken) and taken[seen][0] < m.end():
-            covered, seen = max(covered, taken[seen][2]), seen + 1
-        if covered > m.start() or known_form(run):
+            covered.append((taken[seen][0], taken[seen][2]))
+            seen += 1
+        covered = [x for x in covered if x[1] > m.start()]  # a span may reach over several runs
+        if not covered:
+            found += judged(m[0], m.start(), encoding, limit)
             continue
-        pieces = [(p.start(), p.end(), part_kind(p[0], encoding, limit)) for p in _PIECE.finditer(run)]
-        words = all(kind != STRANGE for _, _, kind in pieces)
-        if scattered(run, encoding, limit) and not (words and identifier(run)):
-            found.append((m.start(), 3, m.end()))
-        elif not words:
-            found += [(m.start() + a, 3, m.start() + b) for a, b in random_parts(run, pieces, encoding, limit)]
+        for a, b in free_parts(m.start(), m.end(), covered):
+            part = text[a:b]
+            if b < m.end():
+                part = part.rstrip(SEPARATORS)
+            if a > m.start():
+                part, a = part.lstrip(SEPARATORS), a + len(part) - len(part.lstrip(SEPARATORS))
+            if len(part) >= CANDIDATE_LENGTH:
+                found += judged(part, a, encoding, limit)
     return found
 
 
+def judged(run: str, start: int, encoding, limit: float) -> list[tuple[int, int, int]]:
+    """The random spans of one run that begins at ``start``: the whole, or parts of it."""
+    if known_form(run):
+        return []
+    pieces = [(p.start(), p.end(), part_kind(p[0], encoding, limit)) for p in _PIECE.finditer(run)]
+    words = all(kind != STRANGE for _, _, kind in pieces)
+    if scattered(run, encoding, limit) and not (words and identifier(run)):
+        return [(start, 3, start + len(run))]
+    return [] if words else [(start + a, 3, start + b) for a, b in random_parts(run, pieces, encoding, limit)]
+
+
 def spell(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
