@@ -146,6 +146,29 @@ def test_pieces_are_encoded_like_whole_texts():
         assert [x for a, b in zip(own[:-1], own[1:]) for x in encoding.encode_ordinary(flat[a:b].decode())] == encoding.encode_ordinary(t), repr(t)
 
 
+WIDE = [" ", "  ", "\n", "\u00a0", "\u3000", "\u2009", "\u2028", "\u0085", "\x1c", "\u180e", "\u200b", "a", "B", "é", "ß", "'", "'s", "12", "٣", "½", "!", "。", "日本", "e\u0301", "\u0301", "😀", "\u0378", "\ua7ca", "Ω", "<|endoftext|>"]
+
+
+def test_pieces_at_white_space_and_classes_beyond_ascii():
+    import random
+
+    encoding, rng = tiktoken_encoding(), random.Random(4)
+    for text in ("".join(rng.choice(WIDE) for _ in range(rng.randint(1, 14))) for _ in range(4000)):
+        raw = text.encode()
+        edges, _ = cuts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert [x for a, b in zip(edges[:-1], edges[1:]) for x in encoding.encode_ordinary(raw[a:b].decode())] == encoding.encode_ordinary(text), repr(text)
+
+
+def test_one_wide_space_or_no_spaces_leave_the_pieces_small():
+    def pieces(text):
+        raw = text.encode()
+        edges, _ = cuts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        return [raw[a:b].decode() for a, b in zip(edges[:-1], edges[1:])]
+
+    assert pieces("plain words\u00a0here, Monsieur\u00a0!") == ["plain", " words", "\u00a0here", ",", " Monsieur", "\u00a0!"]
+    assert pieces("今日は、晴れ。明日も") == ["今日は", "、", "晴れ", "。", "明日も"]
+
+
 def test_byte_bpe_equals_library(spark):
     encoding = tiktoken_encoding()
     encoded = op9_byte_bpe.encode(fixture.documents(spark))

@@ -93,7 +93,7 @@ def encode_slice(data: np.ndarray, offsets: np.ndarray, encoder: WordEncoder) ->
     whole = np.array([i for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)) if raw.find(b"<|", a, b) >= 0] if b"<|" in raw else [], np.int64)
     for row in whole:
         low[offsets[row] : offsets[row + 1]] = data[offsets[row] : offsets[row + 1]]
-    edges, first = cuts(low, offsets, whole)
+    edges, first = cuts(low, offsets, whole, ascii_only=True)
     coded = binary_column(low, edges).dictionary_encode()
     made = []
     for word in coded.dictionary.to_pylist():

@@ -11,7 +11,7 @@ Fragments of the pieces are as many as the input's size asks for, so a task's sh
 doesn't grow with the corpus.
 
 Defined cases: null and empty texts have no ids; strings that look like special tokens are
-ordinary text; equal texts have equal ids; repeated rows and null doc_ids are kept; a very
+ordinary text; equal texts have equal ids, so ties don't arise; repeated rows and null doc_ids are kept; a very
 long text is a block of its own, and a very long piece a word like any other; an empty
 table gives no rows; other columns don't matter, whatever their names.
 """
