@@ -312,6 +312,43 @@ def test_raking_that_cannot_meet_its_targets_says_so(spark):
         op7_mixing.rake(cells, {k: spark.createDataFrame(v, "name string, target double") for k, v in targets.items()}, rounds=2)
 
 
+def slow_cells(spark):
+    """Each source has one language but for a thousandth of its tokens; the targets are a little off."""
+    import itertools
+
+    rows = [(f"s{i}", f"l{j}", "x", 999_000 if i == j else 333) for i, j in itertools.product(range(4), range(4))]
+    wanted = [0.2625, 0.2375, 0.2625, 0.2375]
+    other = [0.2375, 0.2625, 0.2375, 0.2625]
+    frame = lambda names, shares: spark.createDataFrame(list(zip(names, shares)), "name string, target double")
+    targets = {"source": frame([f"s{i}" for i in range(4)], wanted), "lang": frame([f"l{i}" for i in range(4)], other)}
+    return spark.createDataFrame(rows, "source string, lang string, topic string, tokens long"), targets, wanted, other
+
+
+def test_raking_that_converges_slowly_goes_on(spark):
+    import warnings
+
+    cells, targets, wanted, other = slow_cells(spark)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        rows = op7_mixing.rake(cells, targets).collect()
+    assert rows[0]["residual"] <= 1e-6
+    for key, shares in (("source", wanted), ("lang", other)):
+        sums = collections.Counter()
+        for r in rows:
+            sums[r[key]] += r["weight"]
+        assert [sums[k] for k in sorted(sums)] == pytest.approx(shares, abs=2e-6)
+
+
+def test_residual_of_targets_that_contradict_each_other(spark):
+    """Source a is in English only, so it can't have more than English has."""
+    cells = spark.createDataFrame([("a", "en", "x", 10), ("b", "en", "x", 5), ("b", "fr", "x", 5)], "source string, lang string, topic string, tokens long")
+    frame = lambda pairs: spark.createDataFrame(pairs, "name string, target double")
+    targets = {"source": frame([("a", 0.6), ("b", 0.4)]), "lang": frame([("en", 0.4), ("fr", 0.6)])}
+    with pytest.warns(UserWarning, match="contradict"):
+        rows = op7_mixing.rake(cells, targets).collect()
+    assert all(0.05 < r["residual"] < 0.3 for r in rows)
+
+
 def test_mixing_of_awkward_documents(spark, monkeypatch):
     monkeypatch.setattr(op7_mixing, "TOLERANCE", 1.0)  # one look: these few cells can't meet all targets
     docs = fixture.documents(spark)

@@ -5,15 +5,16 @@ scales the cells' token weights, in turn for each of the three, until their sums
 target weights to within TOLERANCE; the weight of a cell over its tokens says how often its
 documents are wanted.  Probabilities are those ratios over the largest one, so that the
 expected tokens of the sample have the target shares; a document is drawn if a hash of its
-id is below.  Targets that no weights of the cells can meet are met as nearly as the rounds
-came: a warning gives the residual after MOST_ROUNDS, or when rounds don't halve it.
+id is below.  Rounds go on as long as the residual falls, however slowly; targets that no
+weights of the cells can meet are told by a residual that doesn't: it is a column of
+``rake``, and a warning.
 
 The topic of a document is a column that the caller names; without one it is a rough form
 of the text (``form``).
 
 Only cells are raked, and their number grows with the categories, not with documents.  Up
-to SMALL_CELLS of them they are raked in one task and broadcast to the documents; beyond,
-each step adds up and joins categories, and hot ones are dealt out.
+to SMALL_CELLS of them they are raked as the arrays of one row; beyond, each step adds up
+and joins categories, and hot ones are dealt out.
 
 Defined cases: null sources, languages and topics are categories of their own, ``(none)``;
 a null, empty or blank text weighs one token; a very long one is counted whole, in one pass;
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from .shared import cut, join_back
 
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS, MOST_ROUNDS = 12, 60  # between two looks at the residual, and in all
+ROUNDS, LOOK = 12, 100  # rounds before the first look at the residual, and between others
+STALLED = 0.01  # a residual that falls by less between two looks falls no more
 TOLERANCE = 1e-6  # of the sum of all weights, 1
 TEMPER = 0.9  # default targets: token shares to this power
 SMALL_CELLS = 50_000
@@ -93,37 +95,79 @@ def residual(cells: DataFrame) -> float:
     return max((p for p in parts if p is not None), default=0.0)
 
 
+def gathered(cells: DataFrame) -> DataFrame:
+    """At most SMALL_CELLS cells in one row: cells (all of them, in order), w (their weights), dims (for each dimension a cell's category, a category's cells and its target)."""
+    place = F.row_number().over(Window.orderBy(*DIMENSIONS)) - 1
+    placed = cells.select("*", place.alias("i"), *((F.dense_rank().over(Window.orderBy(d)) - 1).alias(f"at_{d}") for d in DIMENSIONS))
+    placed = cut(placed)
+    row = placed.agg(F.sort_array(F.collect_list(F.struct("i", F.struct(*cells.columns).alias("cell"), *(f"at_{d}" for d in DIMENSIONS)))).alias("all"))
+    row = row.select(F.transform("all", lambda x: x["cell"]).alias("cells"), *(F.col("all")[f"at_{d}"].alias(f"at_{d}") for d in DIMENSIONS))
+    for d in DIMENSIONS:
+        lists = placed.groupBy(f"at_{d}").agg(F.sort_array(F.collect_list("i")).alias("own"), F.max(f"target_{d}").alias("target"))
+        row = row.crossJoin(lists.agg(F.sort_array(F.collect_list(F.struct(f"at_{d}", "own", "target"))).alias(f"lists_{d}")))
+    parts = [F.struct(F.col(f"at_{d}").alias("at"), F.transform(f"lists_{d}", lambda x: x["own"]).alias("own"), F.transform(f"lists_{d}", lambda x: x["target"]).alias("target")) for d in DIMENSIONS]
+    return row.select("cells", F.transform("cells", lambda x: x["weight"]).alias("w"), F.array(*parts).alias("dims"))
+
+
+def category_sums(w: Column, dim: Column) -> Column:
+    return F.transform(dim["own"], lambda own: F.aggregate(own, F.lit(0.0), lambda total, i: total + F.get(w, i)))
+
+
+def raked_rounds(row: DataFrame, rounds: int) -> DataFrame:
+    """The row of ``gathered`` after some rounds, with off: how far a category is from its target, at most.
+
+    A step sums the categories of one dimension and scales its cells, each in one pass over them."""
+
+    def step(w: Column, n: Column) -> Column:
+        dim = F.get("dims", n % len(DIMENSIONS))
+        factors = F.zip_with(category_sums(w, dim), dim["target"], lambda total, target: F.when(total > 0, F.coalesce(target, F.lit(0.0)) / total).otherwise(0.0))
+        # A lambda's variable holds what was worked out once.
+        return F.aggregate(F.array(factors), w, lambda was, factor: F.transform(was, lambda x, i: x * F.get(factor, F.get(dim["at"], i))))
+
+    row = cut(row.select("cells", "dims", F.aggregate(F.sequence(F.lit(0), F.lit(len(DIMENSIONS) * rounds - 1)), F.col("w"), step).alias("w")))
+    off = F.transform("dims", lambda dim: F.array_max(F.zip_with(category_sums(F.col("w"), dim), dim["target"], lambda total, target: F.abs(total - target))))
+    return row.withColumn("off", F.coalesce(F.array_max(off), F.lit(0.0)))
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """The cells (source, lang, topic, tokens) with weight: fitted token weights, whose sum is 1."""
+    """The cells (source, lang, topic, tokens) with weight, fitted token weights whose sum is 1, and residual: how far a category still is from its target, at most.
+
+    Rounds go on until the residual is TOLERANCE, or falls no more: by less than STALLED in
+    LOOK rounds.  Then the targets contradict each other on these cells, the residual says by
+    how much, and a warning too."""
     out = cut(with_targets(cells, targets or {}))
     small = out.count() <= SMALL_CELLS
     wanted = F.col("target_source").isNotNull() & F.col("target_lang").isNotNull() & F.col("target_topic").isNotNull()
     out = out.withColumn("weight", F.when(wanted, F.col("tokens").cast("double")).otherwise(0.0))
-    out = out.coalesce(1) if small else out
-    done, before = 0, float("inf")
-    while True:
-        for _ in range(rounds):
-            for d in DIMENSIONS:
-                total = F.sum("weight").over(Window.partitionBy(d))
-                out = out.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"target_{d}") / total).otherwise(0.0)) if small else scaled(out, d)
-        out, done = cut(out), done + rounds
-        off = residual(out)
-        if off <= TOLERANCE:
-            break
-        if done >= MOST_ROUNDS or off > before / 2:
-            warnings.warn(f"after {done} rounds a category is still {off:.2g} from its target", stacklevel=2)
-            break
-        before = off
-    return out.select(*DIMENSIONS, "tokens", "weight")
+    out = gathered(out) if small else out
+    done, before, off = 0, None, float("inf")
+    while off > TOLERANCE and (before is None or off < before * (1 - STALLED)):
+        before = off if done else None
+        more = rounds if not done else LOOK
+        if small:
+            out = raked_rounds(out, more)
+            off = out.first()["off"]
+            out = out.drop("off")
+        else:
+            for _ in range(more):
+                for d in DIMENSIONS:
+                    out = scaled(out, d)
+            off = residual(out)
+        done += more
+    if off > TOLERANCE:
+        warnings.warn(f"the targets contradict each other: after {done} rounds a category stays {off:.2g} from its target", stacklevel=2)
+    if small:
+        out = out.select(F.explode(F.arrays_zip("cells", "w")).alias("x")).select("x.cells.*", F.col("x.w").alias("fitted")).withColumn("weight", F.col("fitted"))
+    return out.select(*DIMENSIONS, "tokens", "weight", F.lit(off).alias("residual"))
 
 
 def probabilities(rows: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """source, lang, topic, documents, weight (wanted tokens per token, 1 on average), probability of each cell of ``features``."""
+    """source, lang, topic, documents, weight (wanted tokens per token, 1 on average), probability and residual of each cell of ``features``."""
     cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")))
     raked = rake(cells.drop("documents"), targets).withColumn("ratio", F.col("weight") / F.col("tokens"))
     most = raked.agg(F.max("ratio").alias("ratio"), F.sum("tokens").alias("tokens")).first()
     tokens, ratio = most["tokens"] or 0, most["ratio"] or 1.0
-    whole = raked.select(*DIMENSIONS, (F.col("ratio") * F.lit(tokens)).alias("weight"), (F.col("ratio") / F.lit(ratio)).alias("probability"))
+    whole = raked.select(*DIMENSIONS, (F.col("ratio") * F.lit(tokens)).alias("weight"), (F.col("ratio") / F.lit(ratio)).alias("probability"), "residual")
     return cut(cells.select(*DIMENSIONS, "documents").join(whole, list(DIMENSIONS)))
 
 
