@@ -47,6 +47,20 @@ def test_exact_dedup_keeps_columns_and_one_row(spark):
     assert op3_exact_dedup.exact_groups(fixture.empty(spark)).count() == 0
 
 
+def test_few_groups_of_many_bytes_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 10_000)
+    rows = spark.createDataFrame([(i, chr(97 + i % 3) * 20_000) for i in range(9)], "doc_id long, k string")
+    groups = shared.cut(rows.groupBy("k").agg(F.count("*").alias("n")))
+    out = shared.join_back(rows, groups, "k", "n")
+    assert "_hot" in out._jdf.queryExecution().toString()
+    assert sorted((r["doc_id"], r["n"]) for r in out.collect()) == [(i, 3) for i in range(9)]
+
+
+def test_recipes_of_long_texts_are_short_keys(spark):
+    rows = op3_exact_dedup.keyed_recipes(fixture.documents(spark)).collect()
+    assert {len(r["recipe"]) for r in rows} == {32}
+
+
 def test_chunks_are_cut_by_content():
     import numpy as np
 

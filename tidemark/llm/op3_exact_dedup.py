@@ -113,19 +113,28 @@ def verified_recipes(documents: DataFrame, digest: Callable[[memoryview], bytes]
     return listed.join(spelled, same, "left").select("doc_id", F.encode(F.coalesce("spelled", F.lit("")), "UTF-8").alias("recipe"), "text_sha256")
 
 
+def keyed_recipes(documents: DataFrame, digest: Callable[[memoryview], bytes] = xxh128) -> DataFrame:
+    """doc_id, recipe (32 bytes, whatever the text's length), text_sha256 of every document, cut from the texts: later steps read these short rows."""
+    return cut(verified_recipes(documents, digest).select("doc_id", F.unhex(F.sha2("recipe", 256)).alias("recipe"), "text_sha256"))
+
+
 def exact_groups(documents: DataFrame, digest: Callable[[memoryview], bytes] = xxh128) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
-    listed = verified_recipes(documents, digest)
+    listed = keyed_recipes(documents, digest)
     groups = listed.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    flagged = join_back(listed, cut(groups), "recipe", "group_size").select("doc_id", F.when(F.col("group_size") > 1, F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "text_sha256")
+    flagged = join_back(listed, cut(groups), "recipe", "group_size")
+    keep = F.when(F.col("group_size") > 1, F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id")
+    flagged = flagged.select("doc_id", keep, F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "text_sha256")
     return flagged.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    listed = verified_recipes(documents).groupBy("recipe", "text_sha256", "doc_id").agg(F.count("*").alias("n"))
-    groups = listed.groupBy("recipe", "text_sha256").agg(F.max(F.struct("doc_id", "n")).alias("last"), F.sum("n").alias("rows")).filter("rows > 1")
-    choice = groups.select(F.col("text_sha256").alias("digest"), F.lit(True).alias("stays"), F.col("last.doc_id").alias("keep_id"), "rows", F.col("last.n").alias("ties"))
+    """The documents that stay, with all their columns.
+
+    Recipes make the groups; the text's digest only finds the group's documents again."""
+    listed = keyed_recipes(documents).groupBy("recipe", "doc_id").agg(F.count("*").alias("n"), F.min("text_sha256").alias("text_sha256"))
+    groups = listed.groupBy("recipe").agg(F.max(F.struct("doc_id", "n")).alias("last"), F.sum("n").alias("rows"), F.min("text_sha256").alias("digest")).filter("rows > 1")
+    choice = groups.select("digest", F.lit(True).alias("stays"), F.col("last.doc_id").alias("keep_id"), "rows", F.col("last.n").alias("ties"))
     lower = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
     return keep_chosen(documents, F.sha2(lower.cast("binary"), 256), choice)
 

@@ -93,18 +93,21 @@ def text_digest(text):
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-#: Rows of groups that may be broadcast, and rows of a group from which it counts as hot.
-BROADCAST_ROWS, HOT_ROWS = 500_000, 1_000_000
+#: Rows and bytes of groups that may be broadcast, and rows of a group from which it counts as hot.
+BROADCAST_ROWS, BROADCAST_BYTES, HOT_ROWS = 500_000, 64 << 20, 1_000_000
 SALTS = 1024
 
 
 def join_back(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str | tuple[str, ...] = "doc_id") -> DataFrame:
     """rows left join groups, a cut frame of one row for each key, on ``key``; ``size`` is the number of rows of a group.
 
-    Up to BROADCAST_ROWS groups are broadcast, so rows don't move.  Of more, those of over
+    Up to BROADCAST_ROWS groups of BROADCAST_BYTES together are broadcast, so rows don't
+    move.  Of more, those of over
     HOT_ROWS rows are: their number is bounded by all rows over HOT_ROWS.  Rows of hot
     groups are then dealt to SALTS tasks, and no other group has more than HOT_ROWS."""
-    if groups.count() <= BROADCAST_ROWS:
+    spelled = F.octet_length(F.to_json(F.struct(*groups.columns)))
+    held = groups.agg(F.count("*").alias("rows"), F.sum(spelled).alias("bytes")).first()
+    if held["rows"] <= BROADCAST_ROWS and (held["bytes"] or 0) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(groups), key, "left")
     own = [c for c in groups.columns if c != key]
     hot = groups.filter(F.col(size) > HOT_ROWS).select(key, F.struct(*own).alias("_hot"))
