@@ -160,29 +160,36 @@ def running(rows: DataFrame, weight: str, *by: str) -> DataFrame:
     return ranges.withColumn("total", F.sum(weight).over(inside)).join(ends, "_range").select(*rows.columns, (F.col("total") + F.col("_start")).alias("total"))
 
 
+def kth_nearest(same: DataFrame, k: int, sample: int = 64) -> DataFrame:
+    """id, d: the distance to the k-th nearest other row of ``distinct_vectors``, each counted as often as it occurs.
+
+    ``sample`` rows against all rows give a first radius; vectors with fewer than ``k`` others in
+    it look again in one twice as wide, so each distance is exact.  Without ``k`` others no rows."""
+    total = same.agg(F.sum("n")).first()[0] or 0
+    found = same.sparkSession.createDataFrame([], f"id {dict(same.dtypes)['id']}, d double")
+    if total <= k:
+        return found
+    axes, weight = grid_axes(same), same.select(F.col("id").alias("b"), "n")
+    few = same.orderBy(F.xxhash64("id"), "id").limit(sample).select(F.col("id").alias("q"), F.col("embedding").alias("eq"))
+    apart = same.crossJoin(F.broadcast(few)).filter("id <> q").select("q", squares("embedding", "eq").alias("d"))
+    guess = apart.groupBy("q").agg(F.percentile_approx("d", min(1.0, (k + 1) / total), 100000).alias("d")).agg(F.percentile_approx("d", 0.5)).first()[0]
+    radius, pending = guess or 1.0, same
+    while not pending.isEmpty():
+        near = close_pairs(pending, same, radius, axes).join(weight, "b").select("a", "d", "n").union(pending.select("id", F.lit(0.0), F.col("n") - 1))
+        reached = near.withColumn("all", F.sum("n").over(Window.partitionBy("a").orderBy("d"))).filter(F.col("all") >= k)
+        done = cut(reached.groupBy(F.col("a").alias("id")).agg(F.min("d").alias("d")))
+        found = found.union(done)
+        pending, radius = cut(pending.join(done, "id", "left_anti")), radius * 2
+    return found
+
+
 def nearest_distance(vectors: DataFrame, k: int, sample: int = 64) -> DataFrame:
     """id, d, rank, step: distances to the k-th nearest, in order, with the rise from the one before (a hint for eps).
 
-    ``sample`` rows against all rows give a first radius; vectors with fewer than ``k`` others in
-    it look again in one twice as wide, so each distance is exact.  Ids are unique; equal vectors
-    are 0 apart; vectors that hold nulls or NaN, and tables of ``k`` rows or fewer, give no rows."""
+    Ids are unique; equal vectors are 0 apart; vectors that hold nulls or NaN, and tables of
+    ``k`` rows or fewer, give no rows."""
     same = distinct_vectors(vectors)
-    total = same.agg(F.sum("n")).first()[0] or 0
-    kind = vectors.schema["id"].dataType.simpleString()
-    found = vectors.sparkSession.createDataFrame([], f"a {kind}, d double")
-    if total > k:
-        axes, weight = grid_axes(same), same.select(F.col("id").alias("b"), "n")
-        few = same.orderBy(F.xxhash64("id"), "id").limit(sample).select(F.col("id").alias("q"), F.col("embedding").alias("eq"))
-        apart = same.crossJoin(F.broadcast(few)).filter("id <> q").select("q", squares("embedding", "eq").alias("d"))
-        guess = apart.groupBy("q").agg(F.percentile_approx("d", min(1.0, (k + 1) / total), 100000).alias("d")).agg(F.percentile_approx("d", 0.5)).first()[0]
-        radius, pending = guess or 1.0, same
-        while not pending.isEmpty():
-            near = close_pairs(pending, same, radius, axes).join(weight, "b").select("a", "d", "n").union(pending.select("id", F.lit(0.0), F.col("n") - 1))
-            reached = near.withColumn("all", F.sum("n").over(Window.partitionBy("a").orderBy("d"))).filter(F.col("all") >= k)
-            done = cut(reached.groupBy("a").agg(F.min("d").alias("d")))
-            found = found.union(done)
-            pending, radius = cut(pending.join(done, pending["id"] == done["a"], "left_anti")), radius * 2
-    named = same.join(found, same["id"] == found["a"]).select("embedding", F.round("d", 6).alias("d"))
+    named = same.join(kth_nearest(same, k, sample), "id").select("embedding", F.round("d", 6).alias("d"))
     rows = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")).join(named, "embedding").select("id", "d")
     return ordered(rows, "d", "id").select("id", "d", "rank", F.round(F.col("d") - F.col("before"), 6).alias("step"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import density
 from tidemark.operators import learning as L
 from tidemark.plans.registry import query
 from tidemark.sources import frames as S
@@ -114,6 +115,21 @@ def dbscan(spark, d):
     return L.dbscan(vectors(spark, d).select("id", "embedding"), 0.9, 5)
 
 
+@query("o159_hdbscan")
+def hdbscan(spark, d):
+    """Clusters of ten or more; the hierarchy has no SQL, plain loops of tests/test_density.py stand for it."""
+    out = density.hdbscan(vectors(spark, d).select("id", "embedding"), 10, 5)
+    return out.select("id", "label", F.round("probability", 6).alias("probability"), F.round("outlier", 6).alias("outlier"))
+
+
+@query("o161_density_validity")
+def density_validity(spark, d):
+    """DBCV, noise and sizes of the given labels by the spanning tree of all rows; the other metrics of them beside."""
+    v = vectors(spark, d)
+    row = density.validity(density.spanning_tree(v.select("id", "embedding"), 5), v.select("id", "label"))
+    return row.crossJoin(F.broadcast(L.cluster_spread(v).drop("clusters", "n")))
+
+
 @query("o160_k_distance", f"""WITH {DISTANCES}, k AS (SELECT a AS id, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM p) WHERE r = 5)
 SELECT id, d, row_number() OVER (ORDER BY d, id) AS rank, round(d - lag(d) OVER (ORDER BY d, id), 6) AS step FROM k""")
 def k_distance(spark, d):
