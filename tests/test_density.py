@@ -115,12 +115,16 @@ def result(out):
 
 @pytest.fixture(scope="module")
 def tree(spark):
-    return density.spanning_tree(frame(spark, points()), 4)
+    return spark.createDataFrame(brute_tree(points(), 4), "a long, b long, w double")
 
 
-def test_spanning_tree_is_the_lightest(spark, tree):
-    found = sorted(r["w"] for r in tree.collect())
-    assert found == pytest.approx(sorted(w for *_, w in brute_tree(points(), 4)))
+@pytest.mark.parametrize("few", [1_000_000, 3])
+def test_spanning_tree_is_the_lightest(spark, few, monkeypatch):
+    """Also by rounds that join components in parallel."""
+    monkeypatch.setattr(density, "FEW_LINKS", few)
+    rows = points(each=6, noise=3)
+    found = sorted(r["w"] for r in density.spanning_tree(frame(spark, rows), 3).collect())
+    assert found == pytest.approx(sorted(w for *_, w in brute_tree(rows, 3)))
 
 
 @pytest.mark.parametrize("method,bucket", [("eom", 1_000_000), ("leaf", 1_000_000), ("eom", 30)])

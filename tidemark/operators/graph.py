@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import itertools
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,3 +220,118 @@ def node2vec(edges: DataFrame, size: int = 64, window: int = 5, seed: int = 42)
     walks = random_walks(edges, seed=seed)
     model = Word2Vec(vectorSize=size, windowSize=window, minCount=0, seed=seed, inputCol="path", outputCol="v").fit(walks)
     return model.getVectors().select(F.col("word").alias("id"), "vector")
+
+
+def modularity(edges: DataFrame, community: DataFrame, weight: str) -> DataFrame:
+    """One row: modularity of communities (id, community) over undirected edges (src, dst, weight), each once."""
+    of = lambda side: community.select(F.col("id").alias(side), F.col("community").alias(f"c_{side}"))
+    w = F.col(weight).cast("double")
+    ends = edges.join(of("src"), "src").join(of("dst"), "dst")
+    total = edges.agg(F.sum(w).alias("m"))
+    inner = ends.filter("c_src = c_dst").agg(F.coalesce(F.sum(w), F.lit(0.0)).alias("inner"))
+    sides = ends.select(F.col("c_src").alias("c"), w.alias("w")).union(ends.select("c_dst", w))
+    degrees = sides.groupBy("c").agg(F.sum("w").alias("d")).agg(F.sum(F.col("d") * F.col("d")).alias("squares"))
+    return inner.crossJoin(degrees).crossJoin(total).select((F.col("inner") / F.col("m") - F.col("squares") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
+
+
+#: Edges of a level of ``louvain`` that one task may hold.
+FEW_EDGES = 1_000_000
+
+
+def _local_moves(arcs: DataFrame, nodes: DataFrame, m: float, rounds: int) -> DataFrame:
+    """id, c: communities after moves by modularity gain, from nodes (id, k: weighted degree) that start alone; arcs (src, dst, w) both ways, without loops.
+
+    All nodes choose at once from the same state, so two of them could swap places for ever, or
+    leave a community together.  A round lets nodes go to communities with a smaller number only,
+    the next one to greater ones, and a round that lowers modularity is taken back and ends the moves."""
+    state = cut(nodes.select("id", "k", F.col("id").alias("c")))
+    best = None
+    for i in range(rounds):
+        sums = state.groupBy("c").agg(F.sum("k").alias("held"))
+        around = arcs.join(state.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("shared"))
+        own = state.select("id", "c", F.lit(0.0).alias("shared"))  # a node's own community counts also if no neighbour is in it
+        options = around.unionByName(own).groupBy("id", "c").agg(F.sum("shared").alias("shared"))
+        options = options.join(state.select("id", "k", F.col("c").alias("now")), "id").join(sums, "c")
+        held = F.col("held") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("shared") / m - F.col("k") * held / (2 * m * m), 12)
+        allowed = (F.col("c") < F.col("now")) if i % 2 == 0 else (F.col("c") > F.col("now"))
+        scored = options.withColumn("gain", gain).filter(allowed | (F.col("c") == F.col("now")))
+        # ties stay, or go to the smaller number
+        choice = scored.groupBy("id", "k", "now").agg(F.min_by("c", F.struct(-F.col("gain"), F.col("c") != F.col("now"), F.col("c"))).alias("c"))
+        step = cut(choice)
+        of = lambda side, c: step.select(F.col("id").alias(side), F.col("c").alias(c))
+        inner = arcs.join(of("src", "a"), "src").join(of("dst", "b"), "dst").filter("a = b").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("inner"))
+        held = step.groupBy("c").agg(F.sum("k").alias("d"), F.sum((F.col("c") != F.col("now")).cast("long")).alias("moved"))
+        found = held.agg(F.sum(F.col("d") * F.col("d")).alias("squares"), F.sum("moved").alias("moved")).crossJoin(F.broadcast(inner)).first()
+        quality = found["inner"] / (2 * m) - found["squares"] / (4 * m * m)
+        if best is not None and quality < best[0] - 1e-12:
+            return best[1]
+        idle = found["moved"] == 0 and best is not None and best[2] == 0
+        best = (quality, step.select("id", "c"), found["moved"])
+        if idle:
+            break
+        state = step.select("id", "k", "c")
+    return best[1]
+
+
+def _moves_of_few(pairs: pa.Table) -> pa.Table:
+    """The same for few edges (a, b, w), in one task: nodes move one after another until none gains."""
+    around: dict = {}
+    degree: dict = {}
+    for a, b, w in zip(*(pairs.column(c).to_pylist() for c in ("a", "b", "w")), strict=True):
+        for x, y in ((a, b), (b, a)):
+            degree[x] = degree.get(x, 0.0) + w
+            own = around.setdefault(x, {})
+            if a != b:
+                own[y] = own.get(y, 0.0) + w
+    m = sum(degree.values()) / 2
+    label, held = {x: x for x in degree}, dict(degree)
+    moved = True
+    while moved:
+        moved = False
+        for x in sorted(degree):
+            now, shared = label[x], {label[x]: 0.0}
+            for y, w in around[x].items():
+                shared[label[y]] = shared.get(label[y], 0.0) + w
+            held[now] -= degree[x]
+            gain = {c: w / m - degree[x] * held[c] / (2 * m * m) for c, w in shared.items()}
+            best = min((c for c in gain), key=lambda c: (-round(gain[c], 12), c != now, c))
+            if gain[best] <= gain[now] + 1e-12:
+                best = now
+            held[best] += degree[x]
+            label[x], moved = best, moved or best != now
+    kind = pairs.column("a").type
+    return pa.table([pa.array(list(label), kind), pa.array(list(label.values()), kind)], ["id", "c"])
+
+
+def louvain(edges: DataFrame, weight: str, levels: int = 10, rounds: int = 12) -> DataFrame:
+    """id, community (its smallest id), by modularity: local moves of nodes, then communities become nodes, up to ``levels`` times.
+
+    edges (src, dst, weight) are undirected; several between two nodes add up; loops count for
+    their node.  Levels of up to FEW_EDGES edges, as later ones are, are worked on in one task;
+    larger ones in rounds of joins.  Only sums reach the driver."""
+    w = F.col(weight).cast("double")
+    pairs = cut(edges.filter(w > 0).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum(w).alias("w")))
+    m = pairs.agg(F.sum("w")).first()[0]
+    names = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    label = cut(names.select("id", F.col("id").alias("community")))
+    if not m:
+        return label
+    for _ in range(levels):
+        apart = pairs.filter("a <> b")
+        arcs = apart.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(apart.select("b", "a", "w"))
+        sides = pairs.select(F.col("a").alias("id"), "w").union(pairs.select("b", "w"))
+        nodes = cut(sides.groupBy("id").agg(F.sum("w").alias("k")))
+        if pairs.count() <= FEW_EDGES:
+            kind = dict(pairs.dtypes)["a"]
+            moved = pairs.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(lambda t: _moves_of_few(t.select(["a", "b", "w"])), f"id {kind}, c {kind}")
+        else:
+            moved = _local_moves(arcs, nodes, m, rounds)
+        first = moved.groupBy("c").agg(F.min("id").alias("name"), F.count("*").alias("n"))
+        into = cut(moved.join(first, "c").select(F.col("id").alias("community"), "name"))
+        if into.filter("community <> name").isEmpty():
+            break
+        label = cut(label.join(into, "community").select("id", F.col("name").alias("community")))
+        ends = pairs.join(into.toDF("a", "na"), "a").join(into.toDF("b", "nb"), "b")
+        pairs = cut(ends.groupBy(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).agg(F.sum("w").alias("w")))
+    return label

@@ -314,6 +314,12 @@ def communities(spark, d):
     return graph.largest_communities(graph.communities(small_edges(spark, d), "shared"))
 
 
+@query("o132_louvain")
+def louvain(spark, d):
+    """Communities by modularity, the six largest ones named; tests compare their modularity with label propagation's."""
+    return graph.largest_communities(graph.louvain(small_edges(spark, d), "shared"))
+
+
 @query(
     "o133_components",
     f"""WITH RECURSIVE {EDGES}, s AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
