@@ -12,7 +12,7 @@ from tests.helpers import SMALL
 from tidemark.functions import columns as C
 from tidemark.operators import curation, graph
 from tidemark.plans import registry
-from tidemark.streaming import streams
+from tidemark.streaming import keyed, streams
 
 DAY = dt.date
 
@@ -44,12 +44,14 @@ def test_name_components_against_numpy(spark):
 
 
 def test_keys_are_new_once_also_after_a_restart(spark, tmp_path):
-    folder = str(tmp_path)
+    folder, seen = str(tmp_path), []
     for part, keys in enumerate(([1, 2, 2], [2, 3], [3, 1, 4])):
-        spark.createDataFrame([(k,) for k in keys], "key long").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        rows = spark.readStream.schema("key long").parquet(f"{folder}/in")
-        got = {(r["key"], r["batch"]) for r in streams.only_new(rows, "key", folder).collect()}
-    assert got == {(1, 0), (2, 0), (3, 1), (4, 2)}
+        rows = [(10 * part + i, k, f"2026-01-0{part + 1} 00:00:0{i}") for i, k in enumerate(keys)]
+        spark.createDataFrame(rows, "id long, key long, ts string").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = streams.event_time(spark.readStream.schema("id long, key long, ts string").parquet(f"{folder}/in"))
+        marks = keyed.marked(stream, "id", "key", "ts", 30 * 86400, folder)
+        seen.append({r["key"] for r in marks.filter(f"duplicate_of IS NULL AND id >= {10 * part}").collect()})
+    assert seen == [{"1", "2"}, {"3"}, {"4"}]
 
 
 def test_late_rows_leave_no_window_behind(spark, tmp_path):

@@ -10,7 +10,7 @@ from tidemark.plans.lineage import scratch
 from tidemark.plans.registry import query
 from tidemark.sources import frames as S
 from tidemark.sources import sinks
-from tidemark.streaming import streams
+from tidemark.streaming import keyed, streams
 
 
 def messages(spark, d):
@@ -123,10 +123,28 @@ def stateful_dedup(spark, d):
     return streams.collected(streams.deduplicated(keyed, "key"), folder)
 
 
+def marked_events(spark, d, name, key):
+    """Events, marked by the first one of their key within the years that they cover."""
+    folder = scratch(spark, name)
+    rows = streams.event_time(S.table(spark, d, "events").select("event_id", "ts", key.alias("key")))
+    return keyed.marked(streams.file_stream(rows, f"{folder}/in", 2), "event_id", "key", "ts", 10 * 366 * 86400, folder)
+
+
+@query(
+    "o170_duplicate_of",
+    """WITH k AS (SELECT event_id AS id, user_id || ':' || event_type AS key, ts FROM events),
+f AS (SELECT key, first(id ORDER BY ts, id) AS first FROM k GROUP BY key)
+SELECT id, key, CASE WHEN id <> first THEN first END AS duplicate_of FROM k JOIN f USING (key)""",
+)
+def duplicate_of(spark, d):
+    return marked_events(spark, d, "o170d", F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
+
+
 @query("o171_is_new", "SELECT user_id, CAST(1 AS BIGINT) AS alerts FROM events GROUP BY 1")
 def is_new(spark, d):
-    rows, folder = event_stream(spark, d, "o171", ("user_id",))
-    return streams.only_new(rows, "user_id", folder).groupBy("user_id").agg(F.count("*").alias("alerts"))
+    """One alert a key: the rows that are no duplicates."""
+    alerts = marked_events(spark, d, "o171", F.col("user_id").cast("string")).filter("duplicate_of IS NULL")
+    return alerts.groupBy(F.col("key").cast("long").alias("user_id")).agg(F.count("*").alias("alerts"))
 
 
 @query("o172_alias_refresh", "SELECT CASE lower(event_type) WHEN 'signup' THEN 'registration' WHEN 'error' THEN 'failure' ELSE event_type END AS event_type, count(*) AS n FROM events GROUP BY 1")

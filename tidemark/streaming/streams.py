@@ -97,25 +97,12 @@ def appended(rows: DataFrame, folder: str) -> DataFrame:
     return rows.sparkSession.read.parquet(f"{folder}/out")
 
 
-def only_new(rows: DataFrame, key: str, folder: str) -> DataFrame:
-    """key, batch: keys when they first occur.  A batch leaves out keys of the batches before it, and one that is run again replaces its own."""
-    spark = rows.sparkSession
-    known = spark.createDataFrame([], f"{key} {dict(rows.dtypes)[key]}, batch long")
-
-    def write(batch: DataFrame, n: int) -> None:
-        before = known if n == 0 else spark.read.schema(known.schema).parquet(*(f"{folder}/seen/{i}" for i in range(n)))
-        batch.select(key).distinct().join(before, key, "left_anti").withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{folder}/seen/{n}")
-
-    run_available(rows, write, f"{folder}/state")
-    return spark.read.schema(known.schema).option("recursiveFileLookup", True).parquet(f"{folder}/seen")
-
-
 def canonical_stream(rows: DataFrame, column: str, aliases: Callable[[], DataFrame], folder: str) -> DataFrame:
     """rows with names through an alias table (alias, canonical) that every micro-batch reads anew."""
 
     def write(batch: DataFrame, n: int) -> None:
         known = aliases()
-        named = batch.join(F.broadcast(known), F.lower(F.trim(column)) == known["alias"], "left").withColumn(column, F.coalesce("canonical", column)).drop("alias", "canonical")
+        named = batch.join(known, F.lower(F.trim(column)) == known["alias"], "left").withColumn(column, F.coalesce("canonical", column)).drop("alias", "canonical")
         named.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
 
     run_available(rows, write, f"{folder}/state")
