@@ -10,6 +10,7 @@ from tidemark.plans.lineage import scratch
 from tidemark.plans.registry import query
 from tidemark.sources import frames as S
 from tidemark.sources import sinks
+from tidemark.sources.keyed_table import KeyedTable
 from tidemark.streaming import keyed, streams
 
 
@@ -110,6 +111,51 @@ def event_stream(spark, d, name, columns=("event_id", "ts", "user_id", "event_ty
     return streams.file_stream(streams.event_time(rows) if "ts" in columns else rows, f"{folder}/in", files, per_batch), folder
 
 
+def merged_events(spark, d, name, rows, schema, version, keep=()):
+    """A keyed table that a stream of batches is merged into, each batch twice."""
+    folder = scratch(spark, name)
+    table = KeyedTable(spark, f"{folder}/table", schema, ["user_id"], version)
+
+    def write(batch, n):
+        for _ in range(2):
+            table.merge(batch, n, keep)
+
+    streams.run_available(streams.file_stream(rows, f"{folder}/in", 3, 1), write, f"{folder}/state")
+    return table.read()
+
+
+@query("o013_upsert_written", "SELECT user_id, max(event_id) AS version, max_by(value, event_id) AS value FROM events GROUP BY 1")
+def upsert_written(spark, d):
+    rows = S.table(spark, d, "events").select("user_id", F.col("event_id").alias("version"), "value")
+    return merged_events(spark, d, "o013", rows, {"user_id": "bigint", "version": "bigint", "value": "double"}, "version")
+
+
+@query(
+    "o014_null_preserving_written",
+    """WITH a AS (SELECT user_id, event_id AS version, CASE event_type WHEN 'view' THEN '' WHEN 'click' THEN NULL ELSE event_type END AS kind FROM events)
+SELECT user_id, max(version) AS version, max_by(kind, version) FILTER (kind <> '') AS kind FROM a GROUP BY 1""",
+)
+def null_preserving_written(spark, d):
+    kind = F.when(F.col("event_type") == "view", "").when(F.col("event_type") != "click", F.col("event_type"))
+    rows = S.table(spark, d, "events").select("user_id", F.col("event_id").alias("version"), kind.alias("kind"))
+    return merged_events(spark, d, "o014", rows, {"user_id": "bigint", "version": "bigint", "kind": "string"}, "version", ("kind",))
+
+
+@query(
+    "o016_tombstones_written",
+    "SELECT o_orderkey, o_orderstatus AS status, CASE WHEN o_orderstatus = 'F' THEN TIMESTAMP '2026-06-01' WHEN o_orderkey % 5 = 0 THEN TIMESTAMP '2026-07-01' END AS deleted_at FROM orders",
+)
+def tombstones_written(spark, d):
+    """Orders in two batches, then two rounds of deletions, the second of which meets rows deleted before."""
+    orders = S.table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit(1).cast("long").alias("version"))
+    table = KeyedTable(spark, f"{scratch(spark, 'o016')}/table", {"o_orderkey": "bigint", "status": "string", "version": "bigint"}, ["o_orderkey"], "version")
+    table.merge(orders.filter("o_orderkey % 2 = 0"), 0)
+    table.merge(orders.filter("o_orderkey % 2 = 1"), 1)
+    for number, rule, day in ((2, "status = 'F'", "2026-06-01"), (3, "o_orderkey % 5 = 0", "2026-07-01")):
+        table.delete(orders.filter(rule), number, F.to_timestamp(F.lit(day)))
+    return table.read(deleted=True).select("o_orderkey", "status", F.col("deleted_at").cast("timestamp_ntz").alias("deleted_at"))
+
+
 @query("o169_micro_batches", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
 def micro_batches(spark, d):
     rows, folder = event_stream(spark, d, "o169", ("event_type", "value"))
