@@ -31,18 +31,21 @@ def test_batches_repeated_cut_off_and_late(spark, tmp_path):
 
 
 def test_blank_values_keep_older_ones_and_deleted_rows_their_time(spark, tmp_path):
-    table = KeyedTable(spark, str(tmp_path / "t"), SCHEMA, ["k"], "version", buckets=4)
-    table.merge(rows(spark, [(1, 1, "a"), (2, 1, "b"), (3, 1, None)]), 0, keep=("v",))
-    table.merge(rows(spark, [(1, 2, None), (2, 2, ""), (3, 2, "c")]), 1, keep=("v",))
+    table = KeyedTable(spark, str(tmp_path / "t"), SCHEMA, ["k"], "version", ("v",), buckets=4)
+    table.merge(rows(spark, [(1, 1, "a"), (2, 1, "b"), (3, 1, None)]), 0)
+    table.merge(rows(spark, [(1, 2, None), (2, 2, ""), (3, 2, "c")]), 1)
     assert state(table) == {1: (2, "a", None), 2: (2, "b", None), 3: (2, "c", None)}
+    table.merge(rows(spark, [(1, 5, ""), (2, 5, "e")]), 2)
+    table.merge(rows(spark, [(1, 3, "d"), (2, 3, "d")]), 2)  # late, but newer than what was kept for 1
+    assert state(table) == {1: (5, "d", None), 2: (5, "e", None), 3: (2, "c", None)}
     keys = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k long")
     day = lambda d: F.to_timestamp(F.lit(d))
     table.delete(keys(1, 9), 2, day("2026-06-01"))
     table.delete(keys(1, 2), 3, day("2026-07-01"))
     table.delete(keys(1, 2), 3, day("2026-07-01"))
-    assert state(table) == {1: (2, "a", "2026-06-01"), 2: (2, "b", "2026-07-01"), 3: (2, "c", None)}
-    table.merge(rows(spark, [(2, 3, "back")]), 4, keep=("v",))
-    assert state(table)[2] == (3, "back", None) and table.read().count() == 2
+    assert state(table) == {1: (5, "d", "2026-06-01"), 2: (5, "e", "2026-07-01"), 3: (2, "c", None)}
+    table.merge(rows(spark, [(2, 6, "back")]), 4)
+    assert state(table)[2] == (6, "back", None) and table.read().count() == 2
 
 
 def test_other_partitions_are_left_alone(spark, tmp_path):

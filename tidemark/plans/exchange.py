@@ -114,11 +114,11 @@ def event_stream(spark, d, name, columns=("event_id", "ts", "user_id", "event_ty
 def merged_events(spark, d, name, rows, schema, version, keep=()):
     """A keyed table that a stream of batches is merged into, each batch twice."""
     folder = scratch(spark, name)
-    table = KeyedTable(spark, f"{folder}/table", schema, ["user_id"], version)
+    table = KeyedTable(spark, f"{folder}/table", schema, ["user_id"], version, keep)
 
     def write(batch, n):
         for _ in range(2):
-            table.merge(batch, n, keep)
+            table.merge(batch, n)
 
     streams.run_available(streams.file_stream(rows, f"{folder}/in", 3, 1), write, f"{folder}/state")
     return table.read()
