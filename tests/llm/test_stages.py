@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
+from tests.llm import fixture, test_lossless
 from tidemark.llm import op2_toxicity, op3_exact_dedup, op10_jaccard
 from tidemark.llm.blocks import text_bytes
 
@@ -66,3 +67,20 @@ def test_toxic_rows_go_without_others_of_their_id(spark, monkeypatch):
     out = op2_toxicity.remove_toxic(docs, labels)
     assert out.columns == docs.columns
     assert rows(out) == sorted((r for r in AWKWARD if "grumblefink" not in (r[1] or "")), key=repr)
+
+
+def test_whole_pipeline_on_awkward_and_empty_tables(spark, tmp_path):
+    docs = fixture.documents(spark)
+    labels = spark.createDataFrame([(i, 0, 0) for i in (4, 10, 40, 60)], "doc_id long, quality int, toxic int")
+    for name, frame in (("awkward", docs), ("empty", docs.limit(0))):
+        frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    texts = {}
+    for i, text in fixture.texts():
+        texts.setdefault(i, set()).add(text)
+    out = corpus_pipeline.run(spark, f"{tmp_path}/awkward")
+    encoding = test_lossless.tiktoken_encoding()
+    rows = out.collect()
+    assert rows and {tuple(r["ids"]) for r in rows} == {tuple(r["ids"]) for r in rows if any(encoding.encode_ordinary(t) == list(r["ids"]) for t in texts[r["doc_id"]])}
+    assert len({tuple(r["ids"]) for r in rows}) == len(rows)  # no text stays twice
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
