@@ -23,7 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the model learns from the labels of those that came in.
 
     Null and empty texts stay; very long ones are judged whole; a row that repeats a doc_id,
-    or has none, stays or goes by its own text; an empty table stays empty."""
+    or has none, stays or goes by its own text; a score of exactly 0.5 counts as toxic; columns
+    with any other names are kept; an empty table stays empty."""
     return op2_toxicity.remove_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -32,7 +33,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are equal; rows with one id and one text are one document; other
     texts of one id, or without one, all stay; of rows without an id one stays if no other
-    has the text; an empty table stays empty."""
+    has the text; a very long text is compared whole, by its chunks; columns with any other
+    names are kept; an empty table stays empty."""
     return op3_exact_dedup.deduplicate(docs)
 
 
@@ -41,7 +43,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and blank texts are linked with nothing and stay; texts of fewer than
     NEAR_WORDS words are linked with equal ones only; ties are decided by the text's digest;
-    a row without an id stays only if no linked one has one; an empty table stays empty."""
+    a row without an id stays only if no linked one has one; of rows repeated wholly one stays;
+    a very long text is compared whole; columns with any other names are kept; an empty table
+    stays empty."""
     return op10_jaccard.keep_one(docs, NEAR_WORDS, NEAR_SHARE)
 
 
@@ -49,13 +53,17 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by their cells' probabilities stay.
 
     Null sources and languages are categories of their own; texts without words weigh one
-    token; rows that repeat a doc_id, or have none, are drawn together; an empty table stays
-    empty."""
+    token, very long ones are counted whole; rows that repeat a doc_id, or have none, are drawn
+    together; ties don't arise, as each id has its own draw; columns with any other names are
+    kept; an empty table stays empty."""
     return op7_mixing.sample(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids of each document: null and empty texts have none, repeated rows are kept."""
+    """doc_id, n_tokens, ids of each document: null and empty texts have none, repeated rows are kept.
+
+    A very long text is encoded whole; equal texts have equal ids; other columns don't matter,
+    whatever their names; an empty table gives no rows."""
     return op9_byte_bpe.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
