@@ -29,6 +29,22 @@ def blocked(spark, d):
     return S.table(spark, d, "pages").agg(F.count("*").alias("pages"), F.sum(b.cast("long")).alias("blocked"))
 
 
+@query(
+    "o022_blocked_rows",
+    """WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN ' Access Denied ' WHEN 1 THEN 'site' || page_id || '.com' WHEN 2 THEN 'CAPTCHA please' ELSE 'Backend developer' END AS title,
+  CASE WHEN page_id % 3 = 0 THEN 'ACME' WHEN page_id % 3 = 1 THEN ' ' END AS company, substr(html, 1, CAST(page_id % 5 AS INT) * 4) AS description FROM pages)
+SELECT page_id, trim(coalesce(company, '')) = '' AND length(trim(description)) < 10
+  AND (regexp_matches(lower(trim(title)), 'blocked|captcha|access denied|cloudflare') OR regexp_matches(lower(trim(title)), '^(www\\.)?[a-z0-9-]+\\.(vn|com|net|org)$')) AS blocked FROM p""",
+)
+def blocked_rows(spark, d):
+    """Pages with titles, companies and descriptions of both kinds."""
+    n = F.col("page_id")
+    title = F.when(n % 4 == 0, " Access Denied ").when(n % 4 == 1, F.concat(F.lit("site"), n, F.lit(".com"))).when(n % 4 == 2, "CAPTCHA please").otherwise("Backend developer")
+    company = F.when(n % 3 == 0, "ACME").when(n % 3 == 1, " ")
+    description = F.substring("html", F.lit(1), (n % 5 * 4).cast("int"))
+    return S.table(spark, d, "pages").select("page_id", C.blocked(title, company, description).alias("blocked"))
+
+
 SPACE = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
@@ -64,6 +80,17 @@ def intents(spark, d):
     return S.table(spark, d, "benchmark").select("item_id", t.rlike("trend|growth|compare|top").alias("analytics"), t.rlike("related|path|between").alias("multi_hop"))
 
 
+@query(
+    "o043_part_intents",
+    """WITH q AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 4 WHEN 0 THEN ' Growth' WHEN 1 THEN ' RELATED to' WHEN 2 THEN ' compare the path' ELSE '' END AS text FROM part)
+SELECT id, regexp_matches(lower(text), 'trend|growth|compare|top') AS analytics, regexp_matches(lower(text), 'related|path|between') AS multi_hop FROM q""",
+)
+def part_intents(spark, d):
+    n = F.col("p_partkey")
+    t = F.lower(F.concat("p_name", F.when(n % 4 == 0, " Growth").when(n % 4 == 1, " RELATED to").when(n % 4 == 2, " compare the path").otherwise("")))
+    return S.table(spark, d, "part").select(n.alias("id"), t.rlike("trend|growth|compare|top").alias("analytics"), t.rlike("related|path|between").alias("multi_hop"))
+
+
 @query("o052_html_strip", r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM pages")
 def html(spark, d):
     return S.table(spark, d, "pages").select("page_id", C.strip_html(F.col("html")).alias("body"))
@@ -141,6 +168,18 @@ def array_predicates(spark, d):
     return t.select("source", F.array_contains("langs", "de").alias("has_de"), F.arrays_overlap("langs", F.array(F.lit("fr"), F.lit("es"))).alias("romance"))
 
 
+@query(
+    "o028_job_arrays",
+    """WITH t AS (SELECT l_orderkey AS job, list(DISTINCT p_name) AS techs FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), n AS (SELECT min(p_name) AS low, max(p_name) AS high FROM part)
+SELECT job, list_contains(techs, low) AS has_low, len(list_intersect(techs, [low, high])) > 0 AS has_any, len(list_intersect(techs, [low, high])) = 2 AS has_both FROM t, n""",
+)
+def job_arrays(spark, d):
+    ends = S.table(spark, d, "part").agg(F.min("p_name").alias("low"), F.max("p_name").alias("high"))
+    techs = S.requires(spark, d).groupBy("job").agg(F.collect_set("tech").alias("techs")).crossJoin(F.broadcast(ends))
+    wanted = F.array("low", "high")
+    return techs.select("job", F.array_contains("techs", F.col("low")).alias("has_low"), F.arrays_overlap("techs", wanted).alias("has_any"), (F.size(F.array_except(wanted, F.col("techs"))) == 0).alias("has_both"))
+
+
 @query("o025_substring_search", r"SELECT doc_id FROM documents WHERE text ILIKE '%license%' OR text ILIKE '%100\%%' ESCAPE '\'")
 def substring(spark, d):
     return S.table(spark, d, "documents").filter(F.lower("text").contains("license") | F.col("text").ilike(r"%100\%%")).select("doc_id")
