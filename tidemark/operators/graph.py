@@ -213,6 +213,38 @@ def random_walks(edges: DataFrame, length: int = 10, walks: int = 10, seed: int
     return at.select("start", "walk", "path")
 
 
+def fastrp(edges: DataFrame, weight: str | None = None, nodes: DataFrame | None = None, size: int = 64, weights: tuple[float, ...] = (0.0, 1.0, 1.0, 1.0), strength: float = 0.0, seed: int = 42) -> DataFrame:
+    """id, vector: fast random projection of undirected edges (src, dst).
+
+    Each node starts with hashed signs, two thirds of them zeros, times its degree to the power
+    of ``strength``; a round gives it the (weighted) mean of its neighbours' vectors.  The
+    vector is the sum of the rounds' unit vectors by ``weights``, the start's first.  Nodes
+    (id) without edges get zeros.  Vectors are kept as one row for each value that isn't zero."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    arcs = edges.select("src", "dst", w.alias("w"))
+    arcs = arcs.union(arcs.select(F.col("dst"), F.col("src"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    total = arcs.groupBy("src").agg(F.sum("w").alias("total"), F.count("*").alias("degree"))
+    arcs = cut(arcs.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
+    name = F.concat_ws(":", F.col("src").cast("string"), F.col("i").cast("string"), F.lit(str(seed)))
+    draw = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % 6
+    value = F.when(draw == 0, 1.0).when(draw == 1, -1.0) * F.sqrt(F.lit(3.0)) * F.pow("degree", F.lit(strength))
+    now = total.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).select(F.col("src").alias("id"), "i", value.alias("v")).filter("v IS NOT NULL")
+    parts = []
+    for n, part in enumerate(weights):
+        if n:
+            now = cut(arcs.join(now, arcs["dst"] == now["id"]).groupBy(F.col("src").alias("id"), "i").agg(F.sum(F.col("share") * F.col("v")).alias("v")))
+        if part:
+            norms = now.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")).filter("norm > 0")
+            parts.append(now.join(norms, "id").select("id", "i", (F.lit(part) * F.col("v") / F.col("norm")).alias("v")))
+    every = total.select(F.col("src").alias("id")) if nodes is None else nodes.select("id").distinct()
+    if not parts:
+        return every.withColumn("vector", F.array_repeat(F.lit(0.0), size))
+    summed = functools.reduce(DataFrame.union, parts).groupBy("id", "i").agg(F.sum("v").alias("v"))
+    packed = summed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return every.join(packed, "id", "left").select("id", F.coalesce(dense, F.array_repeat(F.lit(0.0), size)).alias("vector"))
+
+
 def node2vec(edges: DataFrame, size: int = 64, window: int = 5, seed: int = 42) -> DataFrame:
     """id, vector of each node, by Word2Vec over random walks."""
     from pyspark.ml.feature import Word2Vec

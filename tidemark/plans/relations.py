@@ -331,6 +331,23 @@ def components(spark, d):
     return graph.connected(edges(spark, d), most=None)
 
 
+FASTRP = ", ".join(f"e{n} AS (SELECT a.src AS id, x.i, sum(share * v) AS v FROM a JOIN e{n - 1} x ON x.id = a.dst GROUP BY ALL)" for n in (1, 2, 3))
+UNITS = " UNION ALL ".join(f"SELECT id, i, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM e{n}" for n in (1, 2, 3))
+
+
+@query(
+    "o134_fastrp",
+    f"""WITH {SHARED}, a AS (SELECT src, dst, w / CAST(sum(w) OVER (PARTITION BY src) AS DOUBLE) AS share FROM s), d AS (SELECT DISTINCT src AS id FROM s),
+    g AS (SELECT id, unnest(range(64)) AS i FROM d), hs AS (SELECT id, i, CAST('0x' || substr(md5(id || ':' || i || ':42'), 1, 8) AS BIGINT) % 6 AS h FROM g),
+    e0 AS (SELECT id, i, CASE h WHEN 0 THEN sqrt(3.0) ELSE -sqrt(3.0) END AS v FROM hs WHERE h < 2), {FASTRP},
+    u AS (SELECT id, i, sum(v) AS v FROM ({UNITS}) GROUP BY ALL)
+    SELECT id, CAST(i AS INTEGER) AS i, round(coalesce(v, 0.0), 6) + 0.0 AS value FROM g LEFT JOIN u USING (id, i)""",
+)
+def fastrp(spark, d):
+    out = graph.fastrp(small_edges(spark, d), "shared")
+    return out.select("id", F.posexplode("vector").alias("i", "v")).select("id", "i", (F.round("v", 6) + F.lit(0.0)).alias("value"))
+
+
 @query("o134_node2vec")
 def node2vec(spark, d):
     return graph.node2vec(small_edges(spark, d))
