@@ -180,7 +180,8 @@ def manifest(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of rows (doc_id, source, leaf, other): other is the leaf whose proof is tried.
 
     ``block``, the leaves of a traversal, is a power of FAN."""
-    placed = numbered(rows, "source", ["doc_id", "leaf", "other"])
+    # Sampling for the ranges would read and hash all texts once more.
+    placed = numbered(cut(rows), "source", ["doc_id", "leaf", "other"])
     packed = with_upper(blocks(placed.select(F.col("source").alias("tree"), "place", "size", F.col("doc_id").alias("key"), F.col("leaf").alias("node"), "other"), block), block)
     packed = cut(packed)
     # The tree over the sources: a node for each, whatever their number.
