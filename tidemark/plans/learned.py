@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import density
 from tidemark.operators import learning as L
+from tidemark.operators import vector_index
+from tidemark.plans.lineage import scratch
 from tidemark.plans.registry import query
 from tidemark.sources import frames as S
 
@@ -30,6 +32,42 @@ def rerank(spark, d):
     return L.vector_top(vectors(spark, d), first_vector(spark, d), 5, 0.4)
 
 
+def indexed(spark, d):
+    """The folder of an index of all embeddings, and the queries: every row whose id is divisible by 50."""
+    folder, v = scratch(spark, "vectors"), vectors(spark, d)
+    vector_index.build(v.select("id", "embedding"), folder)
+    return folder, v.filter("id % 50 = 0").select(F.col("id").alias("query"), "embedding")
+
+
+@query("o140_index_search")
+def index_search(spark, d):
+    """Ten nearest by the lists in which 95 % of a sample's exact hits lie; tests/test_vector_index.py measures recall."""
+    folder, q = indexed(spark, d)
+    return vector_index.search(spark, folder, q, 10, vector_index.probes_needed(spark, folder, q, 10)).select("query", "id", "cosine", "rank")
+
+
+NEAREST = "s AS (SELECT q.id AS query, v.id, round(list_cosine_similarity(v.e, q.e), 6) AS cosine FROM v, q), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS rank FROM s)"
+
+
+@query("o140_exact_search", f"WITH {VEC}, q AS (SELECT * FROM v WHERE id % 50 = 0), {NEAREST} SELECT query, id, round(cosine, 4) AS cosine FROM k WHERE rank <= 10")
+def exact_search(spark, d):
+    folder, q = indexed(spark, d)
+    return vector_index.search(spark, folder, q, 10).select("query", "id", F.round("cosine", 4).alias("cosine"))
+
+
+@query(
+    "o143_low_confidence",
+    f"""WITH {VEC}, q AS (SELECT id, CASE WHEN id % 100 = 0 THEN list_transform(e, lambda x, i: CASE WHEN i % 2 = 1 THEN -x ELSE x END) ELSE e END AS e FROM v WHERE id % 50 = 0), {NEAREST},
+    b AS (SELECT *, max(cosine) OVER (PARTITION BY query) < 0.4 AS low FROM k) SELECT query, id, round(cosine, 4) AS cosine, low AS low_confidence FROM b WHERE CASE WHEN low THEN rank <= 3 ELSE rank <= 5 AND cosine >= 0.4 END""",
+)
+def low_confidence(spark, d):
+    """Five hits of 0.4 or more; a query without any (those bent away from all rows) keeps its three best, marked."""
+    folder, q = indexed(spark, d)
+    bent = F.transform("embedding", lambda x, i: F.when((F.col("query") % 100 == 0) & (i % 2 == 0), -x).otherwise(x))
+    hits = vector_index.search(spark, folder, q.withColumn("embedding", bent), 5)
+    return vector_index.confident(hits, 0.4, 5, 3).select("query", "id", F.round("cosine", 4).alias("cosine"), "low_confidence")
+
+
 @query("o144_rerank_by_source", f"WITH {VEC}, q AS (SELECT e AS q FROM v ORDER BY id LIMIT 1), s AS (SELECT id, label, list_cosine_similarity(e, q) AS c FROM v, q), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(c, 6) DESC, id) AS rn FROM s) SELECT label, id, rn AS rank FROM k WHERE rn <= 3")
 def by_source(spark, d):
     from pyspark.sql import Window
