@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ from tidemark.operators.graph import connected
 from tidemark.plans.lineage import cut
 
 
+#: The driver's singular value decomposition keeps state between calls: two at once fail to converge, so one is fitted at a time.
+DECOMPOSITION = threading.Lock()
+
+
 def vector_top(vectors: DataFrame, query: list[float], n: int, least: float | None = None) -> DataFrame:
     """id, cosine, score ((1 + cosine) / 2), the n nearest of vectors (id, embedding), with cosine of ``least`` or more."""
     q = F.array(*(F.lit(float(x)) for x in query))
@@ -100,7 +106,8 @@ def grid_axes(vectors: DataFrame) -> list[list[float]]:
     count = min(AXES, size)
     if len(head) < 2:
         return [[float(i == j) for i in range(size)] for j in range(count)]
-    return PCA(k=count, inputCol="x", outputCol="y").fit(vectors.select(array_to_vector("embedding").alias("x"))).pc.toArray().T.tolist()
+    with DECOMPOSITION:
+        return PCA(k=count, inputCol="x", outputCol="y").fit(vectors.select(array_to_vector("embedding").alias("x"))).pc.toArray().T.tolist()
 
 
 def close_pairs(points: DataFrame, others: DataFrame, radius: float, axes: list[list[float]]) -> DataFrame:
@@ -251,7 +258,9 @@ def principal(vectors: DataFrame, size: int) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     data = Normalizer(inputCol="raw", outputCol="x").transform(vectors.select("id", array_to_vector(F.col("embedding").cast("array<double>")).alias("raw")))
-    return PCA(k=size, inputCol="x", outputCol="y").fit(data).transform(data).select("id", vector_to_array("y").alias("reduced"))
+    with DECOMPOSITION:
+        model = PCA(k=size, inputCol="x", outputCol="y").fit(data)
+    return model.transform(data).select("id", vector_to_array("y").alias("reduced"))
 
 
 def scale(features: DataFrame, columns: list[str], weight: float = 1.0) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tidemark.operators import density
+from tidemark.operators import assembly as assemble
+from tidemark.operators import density, grid
 from tidemark.operators import learning as L
 from tidemark.operators import vector_index
-from tidemark.plans.lineage import scratch
+from tidemark.plans.lineage import cut, scratch
 from tidemark.plans.registry import query
 from tidemark.sources import frames as S
 
@@ -128,6 +130,35 @@ def assembly(spark, d):
     return z.select("tech", F.round("lines", 6).alias("lines"), F.round("qty", 6).alias("qty"))
 
 
+@query(
+    "o155_feature_pipeline",
+    """WITH g AS (SELECT p_name AS tech, CAST(count(*) AS DOUBLE) AS lines, CASE WHEN count(*) % 7 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(sum(l_quantity) AS DOUBLE) END AS qty, min(p_size) AS community FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+    k AS (SELECT community, row_number() OVER (ORDER BY count(*) DESC, community) AS place FROM g GROUP BY 1), r AS (SELECT tech, lines, qty, coalesce(place, 0) AS place FROM g LEFT JOIN k USING (community)),
+    m AS (SELECT avg(lines) AS ml, stddev_pop(lines) AS sl, avg(qty) FILTER (NOT isnan(qty)) AS mq, stddev_pop(qty) FILTER (NOT isnan(qty)) AS sq, avg(CAST(place = 1 AS INT)) AS m1, stddev_pop(CAST(place = 1 AS INT)) AS s1, avg(CAST(place = 2 AS INT)) AS m2, stddev_pop(CAST(place = 2 AS INT)) AS s2 FROM r)
+    SELECT tech, round(CASE WHEN sl > 0 THEN (lines - ml) / sl * 0.5 ELSE 0 END, 6) AS lines, round(CASE WHEN isnan(qty) OR NOT sq > 0 THEN 0 ELSE (qty - mq) / sq * 0.5 END, 6) AS qty,
+    round(CASE WHEN s1 > 0 THEN (CAST(place = 1 AS INT) - m1) / s1 ELSE 0 END, 6) AS first, round(CASE WHEN s2 > 0 THEN (CAST(place = 2 AS INT) - m2) / s2 ELSE 0 END, 6) AS second FROM r, m""",
+)
+def feature_pipeline(spark, d):
+    """Groups of counts and of the two largest communities, fitted, saved, loaded and applied."""
+    p = S.table(spark, d, "part").select("p_partkey", "p_size", F.col("p_name").alias("tech"))
+    li = S.table(spark, d, "lineitem").select("l_partkey", "l_quantity")
+    n = F.count("*")
+    qty = F.when(n % 7 == 0, F.lit(float("nan"))).otherwise(F.sum("l_quantity").cast("double"))
+    g = cut(li.join(p, li["l_partkey"] == p["p_partkey"]).groupBy("tech").agg(n.alias("lines"), qty.alias("qty"), F.min("p_size").alias("community")))
+    folder = scratch(spark, "features")
+    assemble.fit(g, {"stats": ["lines", "qty"], "hot": assemble.one_hot(g, "community", 2)}, weights={"stats": 0.5}).save(folder)
+    return assemble.Assembly.load(folder).apply(g).select("tech", *(F.round(F.get(vector_to_array("features"), F.lit(i)), 6).alias(c) for i, c in enumerate(("lines", "qty", "first", "second"))))
+
+
+@query("o163_grid_search")
+def grid_search(spark, d):
+    """Trials of two algorithms over all embeddings, neighbours in number taken as related; time is left out."""
+    v = vectors(spark, d).select("id", "embedding")
+    trials = [("kmeans", p) for p in grid.parameter_grid({"k": [5, 10]})] + [("dbscan", p) for p in grid.parameter_grid({"eps": [0.9, 1.1], "least": [5]})]
+    related = v.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    return grid.judged(grid.search(v, trials, related), 40, 0.5, 10).select("trial", "algorithm", "params", "clusters", "noise", "split", "failure", "passed")
+
+
 @query("o157_kmeans")
 def kmeans(spark, d):
     return L.kmeans(vectors(spark, d), 10, (42, 43))
