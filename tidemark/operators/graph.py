@@ -36,6 +36,11 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "id", "left_anti")
 
 
+def edges_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The edges (src, dst, and what they hold) from the first to the second node of pairs (src, dst), all of each pair; repeated pairs count once."""
+    return edges.join(pairs.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+
+
 def degree(edges: DataFrame) -> DataFrame:
     return symmetric(edges).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
 

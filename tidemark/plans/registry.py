@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from tidemark.plans import curated, dictionary, exchange, learned, market, relations, text  # noqa: E402, F401  they register their queries
+from tidemark.plans import clusters, curated, dictionary, exchange, learned, market, relations, text  # noqa: E402, F401  they register their queries
