@@ -56,13 +56,21 @@ def found_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
     dotted = F.coalesce(F.col("before") == ".", F.lit(False)) | F.coalesce(F.col("after") == ".", F.lit(False))
     whole = ~is_word(F.col("after")) & (F.col("exact").isNull() | (F.col("exact") == F.col("found"))) & ~(F.col("closed") & dotted)
     met = tried.join(small(known.drop("cut", "size")), "key").filter(whole)
+    # One shuffle by text and kind; what follows keeps its order.  Matches that overlap no others, which
+    # most are, form an island of their own; only islands of several are walked from match to match.
+    text = Window.partitionBy("id", "kind").orderBy("start")
+    longest_first = F.min(F.struct((-F.col("size")).alias("less"), "canonical", "term", "size", "found")).alias("m")
+    best = met.repartition("id", "kind").groupBy("id", "kind", "start").agg(longest_first).select("id", "kind", "start", "m.size", "m.term", "m.canonical", "m.found")
+    reach = F.max(F.col("start") + F.col("size")).over(text.rowsBetween(Window.unboundedPreceding, -1))
+    apart = best.withColumn("_new", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int"))
+    apart = apart.withColumn("_island", F.sum("_new").over(text.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
     match = F.struct("start", "size", "term", "canonical", "found")
-    longest_first = Window.partitionBy("id", "kind", "start").orderBy(F.desc("size"), "canonical", "term")
-    best = met.withColumn("_n", F.row_number().over(longest_first)).filter("_n = 1").groupBy("id", "kind").agg(F.array_sort(F.collect_list(match)).alias("all"))
-    shape = best.schema["all"].dataType.elementType.simpleString()
-    start = F.struct(F.lit(0).alias("stop"), F.array().cast(f"array<{shape}>").alias("kept"))
+    islands = apart.groupBy("id", "kind", "_island").agg(F.array_sort(F.collect_list(match)).alias("all"))
+    shape = islands.schema["all"].dataType.elementType.simpleString()
+    first = F.struct(F.lit(0).alias("stop"), F.array().cast(f"array<{shape}>").alias("kept"))
     step = lambda s, x: F.when(x["start"] >= s["stop"], F.struct((x["start"] + x["size"]).alias("stop"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s)
-    return best.select("id", "kind", F.explode(F.aggregate("all", start, step)["kept"]).alias("m")).select("id", "kind", "m.*")
+    kept = F.when(F.size("all") == 1, F.col("all")).otherwise(F.aggregate("all", first, step)["kept"])
+    return islands.select("id", "kind", F.explode(kept).alias("m")).select("id", "kind", "m.*")
 
 
 def entities(texts: DataFrame, terms: DataFrame, fields: dict[str, list[str]], fallbacks: dict[str, dict[str, list[str]]]) -> DataFrame:
