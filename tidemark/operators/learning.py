@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import cosine
+from tidemark.operators import tiles
 from tidemark.operators.graph import connected
 from tidemark.plans.lineage import cut
 
@@ -73,18 +74,6 @@ def squares(x: str, y: str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
 
 
-def distances(vectors: DataFrame) -> DataFrame:
-    """a, b, d: Euclidean distances of all ordered pairs of a bounded sample of vectors (id, embedding), as the silhouette needs them.
-
-    Vectors are dealt into 16 blocks, and a row meets each of them, so no pair is made twice; larger inputs go through ``close_pairs``."""
-    a = vectors.select(F.col("id").alias("a"), F.col("embedding").cast("array<double>").alias("ea"))
-    b = vectors.select(F.col("id").alias("b"), F.col("embedding").cast("array<double>").alias("eb"))
-    blocks = 16
-    left = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = b.withColumn("block", F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int"))
-    return left.join(right, "block").filter("a <> b").select("a", "b", squares("ea", "eb").alias("d"))
-
-
 #: Directions of the grid in which close vectors are looked for, and the rows of a cell that meet in one block.
 AXES, BLOCK_ROWS = 3, 4096
 
@@ -135,12 +124,13 @@ def close_pairs(points: DataFrame, others: DataFrame, radius: float, axes: list[
     return near.filter(F.col("d") <= radius)
 
 
-def silhouette(vectors: DataFrame, most: int = 5000) -> DataFrame:
-    """One row: mean silhouette by Euclidean distance of rows without noise; above ``most`` rows, of those with the smallest hashes, as in the definition used."""
-    v = vectors.filter("label >= 0").orderBy(F.xxhash64("id"), "id").limit(most)
-    labels = v.select("id", "label")
-    la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
-    m = distances(v).join(F.broadcast(la), "a").join(F.broadcast(lb), "b").groupBy("a", "la", "lb").agg(F.sum("d").alias("s"), F.count("*").alias("n"))
+def silhouette(vectors: DataFrame, most: int | None = None) -> DataFrame:
+    """One row: mean silhouette by Euclidean distance of rows (id, label, embedding) without noise; of those with the ``most`` smallest hashes if there are more.
+
+    Ids are unique.  Tiles give a row's sums of distances by label, not its pairs."""
+    v = vectors.filter("label >= 0").select("id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    v = cut(v if most is None else v.orderBy(F.xxhash64("id"), "id").limit(most))
+    m = tiles.label_sums(v).groupBy("a", "la", "lb").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     per = m.groupBy("a").agg(F.max(F.when(F.col("la") == F.col("lb"), F.col("s") / F.col("n"))).alias("inner"), F.min(F.when(F.col("la") != F.col("lb"), F.col("s") / F.col("n"))).alias("outer"))
     value = F.when(F.col("inner").isNull() | F.col("outer").isNull(), 0.0).otherwise((F.col("outer") - F.col("inner")) / F.greatest("inner", "outer"))
     return per.agg(F.round(F.avg(value), 4).alias("silhouette"))
@@ -167,36 +157,25 @@ def running(rows: DataFrame, weight: str, *by: str) -> DataFrame:
     return ranges.withColumn("total", F.sum(weight).over(inside)).join(ends, "_range").select(*rows.columns, (F.col("total") + F.col("_start")).alias("total"))
 
 
-def kth_nearest(same: DataFrame, k: int, sample: int = 64) -> DataFrame:
+def kth_nearest(same: DataFrame, k: int) -> DataFrame:
     """id, d: the distance to the k-th nearest other row of ``distinct_vectors``, each counted as often as it occurs.
 
-    ``sample`` rows against all rows give a first radius; vectors with fewer than ``k`` others in
-    it look again in one twice as wide, so each distance is exact.  Without ``k`` others no rows."""
+    Every vector meets all others in tiles, each of which keeps its ``k`` nearest.  Without ``k`` others no rows."""
     total = same.agg(F.sum("n")).first()[0] or 0
-    found = same.sparkSession.createDataFrame([], f"id {dict(same.dtypes)['id']}, d double")
     if total <= k:
-        return found
-    axes, weight = grid_axes(same), same.select(F.col("id").alias("b"), "n")
-    few = same.orderBy(F.xxhash64("id"), "id").limit(sample).select(F.col("id").alias("q"), F.col("embedding").alias("eq"))
-    apart = same.crossJoin(F.broadcast(few)).filter("id <> q").select("q", squares("embedding", "eq").alias("d"))
-    guess = apart.groupBy("q").agg(F.percentile_approx("d", min(1.0, (k + 1) / total), 100000).alias("d")).agg(F.percentile_approx("d", 0.5)).first()[0]
-    radius, pending = guess or 1.0, same
-    while not pending.isEmpty():
-        near = close_pairs(pending, same, radius, axes).join(weight, "b").select("a", "d", "n").union(pending.select("id", F.lit(0.0), F.col("n") - 1))
-        reached = near.withColumn("all", F.sum("n").over(Window.partitionBy("a").orderBy("d"))).filter(F.col("all") >= k)
-        done = cut(reached.groupBy(F.col("a").alias("id")).agg(F.min("d").alias("d")))
-        found = found.union(done)
-        pending, radius = cut(pending.join(done, "id", "left_anti")), radius * 2
-    return found
-
-
-def nearest_distance(vectors: DataFrame, k: int, sample: int = 64) -> DataFrame:
+        return same.sparkSession.createDataFrame([], f"id {dict(same.dtypes)['id']}, d double")
+    near = tiles.neighbours(same, same, k).union(same.select("id", F.lit(0.0), F.col("n") - 1))
+    reached = near.withColumn("all", F.sum("n").over(Window.partitionBy("a").orderBy("d"))).filter(F.col("all") >= k)
+    return cut(reached.groupBy(F.col("a").alias("id")).agg(F.min("d").alias("d")))
+
+
+def nearest_distance(vectors: DataFrame, k: int) -> DataFrame:
     """id, d, rank, step: distances to the k-th nearest, in order, with the rise from the one before (a hint for eps).
 
     Ids are unique; equal vectors are 0 apart; vectors that hold nulls or NaN, and tables of
     ``k`` rows or fewer, give no rows."""
     same = distinct_vectors(vectors)
-    named = same.join(kth_nearest(same, k, sample), "id").select("embedding", F.round("d", 6).alias("d"))
+    named = same.join(kth_nearest(same, k), "id").select("embedding", F.round("d", 6).alias("d"))
     rows = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")).join(named, "embedding").select("id", "d")
     return ordered(rows, "d", "id").select("id", "d", "rank", F.round(F.col("d") - F.col("before"), 6).alias("step"))
 
@@ -204,15 +183,18 @@ def nearest_distance(vectors: DataFrame, k: int, sample: int = 64) -> DataFrame:
 def dbscan(vectors: DataFrame, eps: float, least: int) -> DataFrame:
     """id, cluster (smallest id of its core points), -1 for noise; border points go to the nearest core point's cluster, ties to the smaller.
 
-    Ids are unique; equal vectors are compared once and counted as often as they occur; vectors that hold nulls or NaN are noise."""
+    Ids are unique; equal vectors are compared once and counted as often as they occur; vectors that hold nulls or NaN are noise.
+    Tiles count neighbours first; then they give links that connect their core points, and the
+    core points near others, of which none has ``least``: rows grow with the vectors, not with the pairs within ``eps``."""
     same = distinct_vectors(vectors)
-    near = cut(close_pairs(same, same, eps, grid_axes(same)))
-    around = near.join(same.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("near"))
-    core = same.join(around, "id", "left").filter(F.col("n") + F.coalesce("near", F.lit(0)) >= least).select("id")
-    links = near.join(core.toDF("a"), "a", "left_semi").join(core.toDF("b"), "b", "left_semi")
-    grouped = connected(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), most=None)
+    around = tiles.counted(same, eps).groupBy("id").agg(F.sum("near").alias("near"))
+    marked = same.join(around, "id", "left").select("id", "embedding", (F.col("n") + F.coalesce("near", F.lit(0)) >= least).alias("core"), "near")
+    marked = cut(marked.filter("core OR near > 0").drop("near"))
+    core = marked.filter("core").select("id")
+    near = cut(tiles.linked(marked, marked.filter("core").select("id", "embedding"), eps))
+    grouped = connected(near.filter("d IS NULL").select(F.col("a").alias("src"), F.col("b").alias("dst")), most=None)
     named = core.join(grouped, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
-    border = near.join(core.toDF("a"), "a", "left_anti").join(named.toDF("b", "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min_by("cluster", F.struct("d", "cluster")).alias("cluster"))
+    border = near.filter("d IS NOT NULL").join(named.toDF("b", "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min_by("cluster", F.struct("d", "cluster")).alias("cluster"))
     labelled = same.select("id", "embedding").join(named.unionByName(border), "id").select("embedding", "cluster")
     rows = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
     return rows.join(labelled, "embedding", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
