@@ -50,3 +50,20 @@ def test_dbscan_gives_links_not_pairs(spark, many_groups):
     marked = frame(spark, x).withColumn("core", F.lit(True))
     links = tiles.linked(marked, marked.drop("core"), eps)
     assert len(links.collect()) < 2 * len(x) * tiles.groups(len(x)) < int(near.sum()) - len(x)
+
+
+def test_distances_of_evenly_spread_vectors(spark, many_groups):
+    x = np.concatenate([crowded(), np.zeros((3, 16)), np.eye(16)])
+    want = np.sort(brute(x), axis=1)
+    same = learning.distinct_vectors(frame(spark, x))
+    for k in (1, 5, 250):
+        got = {r["id"]: r["d"] for r in learning.kth_nearest(same, k).collect()}
+        assert all(got[i] == pytest.approx(want[i, k], abs=1e-12) for i in got) and len(got) == len(x) - 2
+    assert len(tiles.neighbours(same, same, 5).collect()) <= 5 * len(x) * tiles.groups(len(x))
+
+
+def test_vectors_of_other_lengths_and_far_from_zero(spark):
+    rows = [(1, [1e6, 1e6]), (2, [1e6 + 0.001, 1e6]), (3, [1e6, 1e6 + 0.003]), (4, [1e6]), (5, [1e6 + 0.001])]
+    same = learning.distinct_vectors(spark.createDataFrame(rows, SHAPE))
+    got = {r["id"]: round(r["d"], 9) for r in learning.kth_nearest(same, 1).collect()}
+    assert got == {1: 0.001, 2: 0.001, 3: 0.003, 4: 0.001, 5: 0.001}
