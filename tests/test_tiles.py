@@ -67,3 +67,22 @@ def test_vectors_of_other_lengths_and_far_from_zero(spark):
     same = learning.distinct_vectors(spark.createDataFrame(rows, SHAPE))
     got = {r["id"]: round(r["d"], 9) for r in learning.kth_nearest(same, 1).collect()}
     assert got == {1: 0.001, 2: 0.001, 3: 0.003, 4: 0.001, 5: 0.001}
+
+
+def test_spanning_tree_of_a_crowd_and_scattered_vectors(spark, many_groups):
+    """Most vectors are joined by later rounds, which look among all."""
+    x, k = crowded(700, 250), 5
+    d = brute(x)
+    core = np.sort(d, axis=1)[:, k]
+    w = np.maximum(np.maximum(core[:, None], core[None, :]), d)
+    best, at, total = np.full(len(x), np.inf), 0, []
+    left = np.ones(len(x), bool)
+    for _ in range(len(x) - 1):  # Prim
+        left[at] = False
+        best = np.minimum(best, w[at])
+        at = int(np.argmin(np.where(left, best, np.inf)))
+        total.append(best[at])
+    tree = density.spanning_tree(frame(spark, x), k).collect()
+    assert sorted(r["w"] for r in tree) == pytest.approx(sorted(total), abs=1e-12)
+    points = density.core_distances(frame(spark, x), k).select("id", "embedding", "core")
+    assert len(tiles.reach_links(points, 3.0).collect()) < 2 * len(x) * tiles.groups(len(x))

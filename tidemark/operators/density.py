@@ -2,9 +2,10 @@
 
 1. ``core_distances``: the distance to the k-th nearest other vector.
 2. ``reach_tree``: the minimum spanning tree of max(core a, core b, distance).  Edges up to a
-   radius come from the grid of ``close_pairs``; Boruvka rounds join components by their
-   lightest edges; then the radius grows, and only vectors outside the largest component look
-   for edges, as each missing edge has an end there.  No pair of a component is looked at again.
+   radius, that nine tenths of the core distances reach, come from tiles, each of which keeps
+   only its own minimum spanning forest; Boruvka rounds join components by their lightest edges.
+   Then each component but the largest looks for its lightest edge to another one among all
+   vectors, and the same rounds join along these, until one component is left.
 3. ``condensed``: the tree's edges, in order, in buckets of BUCKET.  The subtrees of a bucket
    are groups of their own; a component below the least size carries its few members, a larger
    one only sums, so a task holds at most a bucket.
@@ -21,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import tiles
 from tidemark.operators.graph import connected
-from tidemark.operators.learning import close_pairs, distinct_vectors, grid_axes, kth_nearest, ordered
+from tidemark.operators.learning import distinct_vectors, kth_nearest, ordered
 from tidemark.plans.lineage import cut
 
 BUCKET = 1_000_000  # edges of the spanning tree that one pass works on
-GROWTH = 1.5  # of the radius between two passes
 FEW_LINKS = 1_000_000  # between components, that one task joins
 
 
@@ -90,26 +91,23 @@ def boruvka(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def reach_tree(points: DataFrame) -> DataFrame:
     """a, b, w: the minimum spanning tree of points (id, embedding, core), embeddings apart, by mutual reachability."""
-    spark = points.sparkSession
-    axes = grid_axes(points)
-    label = cut(points.select("id", F.col("id").alias("comp")))
-    core = points.select("id", "core")
-    tree = spark.createDataFrame([], "a long, b long, w double")
-    radius = points.agg(F.percentile_approx("core", 0.9)).first()[0] or 1e-9
+    radius = points.agg(F.percentile_approx("core", 0.9)).first()[0]
+    if radius is None:
+        return points.sparkSession.createDataFrame([], "a long, b long, w double")
+    links = tiles.reach_links(points, radius)
+    label = points.select("id", F.col("id").alias("comp"))
+    tree, moved = boruvka(links.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "w", "a", "b"))
     while True:
+        tree = cut(tree)
+        label = cut(label.join(moved, "comp", "left").select("id", F.coalesce("into", "comp").alias("comp")))
         sizes = label.groupBy("comp").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "comp").limit(2).collect()
         if len(sizes) <= 1:
             return tree
-        largest = sizes[0]["comp"]
-        looking = points.select("id", "embedding").join(label.filter(F.col("comp") != F.lit(largest)), "id").drop("comp")
-        pairs = close_pairs(looking, points.select("id", "embedding"), radius, axes)
-        near = pairs.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").filter("ca <> cb")
-        near = near.join(core.toDF("a", "ka"), "a").join(core.toDF("b", "kb"), "b")
-        links = near.select("ca", "cb", F.greatest("d", "ka", "kb").alias("w"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        edges, moved = boruvka(links.filter(F.col("w") <= radius))
-        tree = cut(tree.unionByName(edges))
-        label = cut(label.join(moved, "comp", "left").select("id", F.coalesce("into", "comp").alias("comp")))
-        radius *= GROWTH
+        named = cut(points.join(label, "id"))
+        ways = tiles.reach_ways(named.filter(F.col("comp") != F.lit(sizes[0]["comp"])), named)
+        lightest = ways.groupBy("ca").agg(F.min(F.struct("w", "a", "b", "cb")).alias("e")).select("ca", "e.*")
+        edges, moved = boruvka(lightest)
+        tree = tree.unionByName(edges)
 
 
 def core_distances(vectors: DataFrame, k: int) -> DataFrame:
