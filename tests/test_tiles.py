@@ -86,3 +86,26 @@ def test_spanning_tree_of_a_crowd_and_scattered_vectors(spark, many_groups):
     assert sorted(r["w"] for r in tree) == pytest.approx(sorted(total), abs=1e-12)
     points = density.core_distances(frame(spark, x), k).select("id", "embedding", "core")
     assert len(tiles.reach_links(points, 3.0).collect()) < 2 * len(x) * tiles.groups(len(x))
+
+
+def test_silhouette_is_of_all_rows(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(5400, 3))
+    label = np.arange(len(x)) % 3
+    x[:, 0] += label
+    label[5000:] = rng.integers(0, 3, 400)
+    label[7] = 3  # alone
+    label[8] = -1
+    fine = label >= 0
+    d, labels = brute(x[fine]), label[fine]
+    sums = np.stack([d[:, labels == c].sum(axis=1) for c in range(4)], axis=1)
+    size = np.bincount(labels)
+    value = []
+    for i, own in enumerate(labels):
+        if size[own] == 1:
+            value.append(0.0)
+            continue
+        inner, outer = sums[i, own] / (size[own] - 1), min(sums[i, c] / size[c] for c in range(4) if c != own)
+        value.append((outer - inner) / max(inner, outer))
+    rows = spark.createDataFrame([(i, int(c), v) for i, (c, v) in enumerate(zip(label, x.tolist(), strict=True))], "id long, label int, embedding array<double>")
+    assert learning.silhouette(rows).first()[0] == pytest.approx(math.fsum(value) / len(value), abs=1e-4)
