@@ -18,11 +18,11 @@ DECOMPOSITION = threading.Lock()
 
 
 def vector_top(vectors: DataFrame, query: list[float], n: int, least: float | None = None) -> DataFrame:
-    """id, cosine, score ((1 + cosine) / 2), the n nearest of vectors (id, embedding), with cosine of ``least`` or more."""
+    """id, cosine, score ((1 + cosine) / 2), the n nearest of vectors (id, embedding), with cosine of ``least`` or more; the order is that of the cosines before they are rounded."""
     q = F.array(*(F.lit(float(x)) for x in query))
-    out = vectors.withColumn("cosine", cosine(F.col("embedding"), q))
-    out = out if least is None else out.filter(F.col("cosine") >= least)
-    return out.select("id", F.round("cosine", 4).alias("cosine"), F.round((1 + F.col("cosine")) / 2, 4).alias("score")).orderBy(F.desc("cosine"), "id").limit(n)
+    out = vectors.select("id", cosine(F.col("embedding"), q).alias("c"))
+    out = out if least is None else out.filter(F.col("c") >= least)
+    return out.orderBy(F.desc("c"), "id").limit(n).select("id", F.round("c", 4).alias("cosine"), F.round((1 + F.col("c")) / 2, 4).alias("score"))
 
 
 def tfidf(counts: DataFrame, min_df: int = 2, most: int = 500) -> DataFrame:
