@@ -109,3 +109,19 @@ def test_silhouette_is_of_all_rows(spark):
         value.append((outer - inner) / max(inner, outer))
     rows = spark.createDataFrame([(i, int(c), v) for i, (c, v) in enumerate(zip(label, x.tolist(), strict=True))], "id long, label int, embedding array<double>")
     assert learning.silhouette(rows).first()[0] == pytest.approx(math.fsum(value) / len(value), abs=1e-4)
+
+
+def test_search_gives_few_rows_of_each_tile(spark, tmp_path, many_groups):
+    from tidemark.operators import vector_index
+
+    x = crowded(600, 200)
+    vector_index.build(frame(spark, x), f"{tmp_path}/i", lists=9)
+    asked = frame(spark, x[::7]).withColumnRenamed("id", "query")
+    c = np.round(x[::7] @ x.T, 6)
+    want = {(q, rank): round(float(c[q, i]), 5) for q in range(len(c)) for rank, i in enumerate(np.lexsort((np.arange(len(x)), -c[q]))[:4], 1)}
+    for probes in (None, 9):
+        hits = vector_index.search(spark, f"{tmp_path}/i", asked, 4, probes)
+        assert {(r["query"], r["rank"]): round(r["cosine"], 5) for r in hits.collect()} == pytest.approx(want, abs=1.1e-5)
+        assert "zip_with" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    few = vector_index.search(spark, f"{tmp_path}/i", asked, 4, 2)
+    assert few.count() == 4 * len(c) and few.groupBy("query").agg(F.countDistinct("list").alias("n")).agg(F.max("n")).first()[0] <= 2
