@@ -143,19 +143,43 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, weight:
 
 
 def connected(edges: DataFrame, most: int | None = 50) -> DataFrame:
-    """id, component (the smallest id reachable), by labels that take the smallest neighbour's and jump; ``most`` None goes on until no label changes."""
-    both = cut(symmetric(edges))
-    label = both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("component"))
+    """id, component (the smallest id reachable); ``most`` None goes on until no edge is left.
+
+    Each round a node points at the smallest of itself and its neighbours, pointers are followed
+    to their ends, and each tree of them becomes one node, named by its smallest id, with the
+    edges that lead out of it, once each.  At least half of the nodes that have edges go in a
+    round, and later rounds read what is left."""
+    loose = (F.col("src").isNull() | F.col("dst").isNull()).alias("loose")
+    once = cut(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), loose).filter("a IS NOT NULL").distinct())
+    nodes = once.select(F.col("a").alias("id")).union(once.select("b")).distinct()
+    missing = once.filter("loose").agg(F.min("a").alias("component")).filter("component IS NOT NULL")  # edges to null link nothing; null is named by the smallest node at them
+    missing = missing.select(F.lit(None).cast(once.schema["a"].dataType).alias("id"), "component")
+    rest, maps = once.filter("a <> b").select("a", "b"), []
     for _ in itertools.count() if most is None else range(most):
-        near = both.join(label, both["dst"] == label["id"]).groupBy("src").agg(F.min("component").alias("m"))
-        step = label.join(near, label["id"] == near["src"], "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("c"))
-        jump = step.select(F.col("id").alias("j"), F.col("c").alias("jc"))
-        step = cut(step.join(jump, step["c"] == jump["j"], "left").select("id", "old", F.least("c", F.coalesce("jc", "c")).alias("component")))
-        done = step.filter("old <> component").isEmpty()
-        label = step.select("id", "component")
-        if done:
-            return label
-    raise RuntimeError(f"labels still change after {most} rounds")
+        # A node without smaller neighbours is the end of its tree; the others point at a smaller one.
+        point = cut(rest.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to")))
+        if point.isEmpty():
+            break
+        while True:  # pointers double their reach
+            higher = point.toDF("to", "next")
+            step = cut(point.join(higher, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+            point = step.select("id", "to")
+            if step.filter("moved").isEmpty():
+                break
+        maps.append(point)
+        named = rest.join(point.toDF("a", "ta"), "a", "left").join(point.toDF("b", "tb"), "b").select(F.coalesce("ta", "a").alias("x"), F.col("tb").alias("y"))
+        rest = cut(named.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    else:
+        raise RuntimeError(f"edges are left after {most} rounds")
+    # From the last round back: where a tree's name went is where its nodes go.
+    found = None
+    for point in reversed(maps):
+        if found is not None:
+            point = point.join(found.toDF("to", "end"), "to", "left").select("id", F.coalesce("end", "to").alias("to")).union(found)
+        found = point
+    if found is None:
+        return nodes.select("id", F.col("id").alias("component")).union(missing)
+    return cut(nodes.join(found, "id", "left").select("id", F.coalesce("to", "id").alias("component")).union(missing))
 
 
 def communities(edges: DataFrame, weight: str, rounds: int = 10) -> DataFrame:
