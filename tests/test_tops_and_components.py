@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.functions import columns as C
 from tidemark.operators import graph, learning
 
 
@@ -33,3 +35,10 @@ def test_components_of_paths_hubs_loops_and_nulls(spark, seed):
     found = graph.connected(spark.createDataFrame(edges, "src long, dst long"), most=9)
     assert {r["id"]: r["component"] for r in found.collect()} == {x: root(x) for x in over} | {None: names[398]}
     assert graph.connected(spark.createDataFrame([], "src string, dst string"), most=None).count() == 0
+
+
+def test_words_are_hashed_once(spark):
+    rows = spark.createDataFrame([("a b  A\tc",), ("",), (None,)], "text string").select(C.hashed_words(F.col("text"), 8).alias("v"))
+    assert [sum(r["v"]) for r in rows.collect()] == [4, 0, 0]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("md5") < plan.index("array_repeat") if "array_repeat" in plan else "filter(transform" not in plan

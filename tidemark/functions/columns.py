@@ -123,7 +123,8 @@ def hashed_words(text: Column, size: int) -> Column:
     """A vector of word counts by buckets of the words' md5."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
     at = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int"), F.lit(size)))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)))
+    # One pass: an expression inside a lambda would be computed again for each bucket.
+    return F.aggregate(at, F.array_repeat(F.lit(0), size), lambda counts, x: F.transform(counts, lambda n, i: n + (i == x).cast("int")))
 
 
 def growth(now: Column, before: Column) -> Column:

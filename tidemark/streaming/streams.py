@@ -78,9 +78,9 @@ def run_available(rows: DataFrame, write: Callable[[DataFrame, int], None], chec
     query.awaitTermination()
 
 
-def file_stream(frame: DataFrame, folder: str, files: int = 1, per_batch: int | None = None) -> DataFrame:
-    """The frame's rows, written to a folder, as a stream; ``per_batch`` files make a batch."""
-    frame.repartition(files).write.parquet(folder)
+def file_stream(frame: DataFrame, folder: str, files: int | None = None, per_batch: int | None = None) -> DataFrame:
+    """The frame's rows, written to a folder, as a stream; ``per_batch`` files make a batch.  There are as many files as the frame has partitions unless ``files`` says so."""
+    (frame if files is None else frame.repartition(files)).write.parquet(folder)
     reader = frame.sparkSession.readStream.schema(frame.schema)
     return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(folder)
 
