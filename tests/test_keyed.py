@@ -46,3 +46,23 @@ def test_state_is_bounded_by_time(spark, tmp_path):
         query.awaitTermination()
     held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert max(held) < 80 * 2 and held[-1] <= 45  # of 80 keys, each a value and a timer, the last 20 are left
+
+
+def test_many_keys_share_calls_and_rows_of_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "BUCKETS", 8)
+    folder, keep = str(tmp_path), 5
+    batches = [[(b * 1000 + i, f"k{i * 7 % 150}", b * 3 + i % 3) for i in range(600)] for b in range(3)]
+    want, first = {}, {}
+    for batch in batches:
+        write(spark, f"{folder}/in", batch)
+        for i, k, day in sorted(batch, key=lambda r: (r[2], r[0])):
+            fresh = k not in first or day - first[k][1] > keep
+            first[k] = (i, day) if fresh else first[k]
+            want[i] = None if fresh else first[k][0]
+    rows = keyed.mark_duplicates(stream(spark, f"{folder}/in"), "id", "key", "ts", keep * DAY, late="30 days")
+    with keyed.rocksdb(spark):
+        query = rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert result(spark.read.parquet(f"{folder}/out")) == want
+    assert 0 < max(held) <= 8  # of 150 keys

@@ -173,7 +173,7 @@ def marked_events(spark, d, name, key):
     """Events, marked by the first one of their key within the years that they cover."""
     folder = scratch(spark, name)
     rows = streams.event_time(S.table(spark, d, "events").select("event_id", "ts", key.alias("key")))
-    return keyed.marked(streams.file_stream(rows, f"{folder}/in", 2), "event_id", "key", "ts", 10 * 366 * 86400, folder)
+    return keyed.marked(streams.file_stream(rows, f"{folder}/in"), "event_id", "key", "ts", 10 * 366 * 86400, folder)
 
 
 @query(
