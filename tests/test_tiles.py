@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,48 @@ def test_search_gives_few_rows_of_each_tile(spark, tmp_path, many_groups):
         assert "zip_with" not in hits._jdf.queryExecution().optimizedPlan().toString()
     few = vector_index.search(spark, f"{tmp_path}/i", asked, 4, 2)
     assert few.count() == 4 * len(c) and few.groupBy("query").agg(F.countDistinct("list").alias("n")).agg(F.max("n")).first()[0] <= 2
+
+
+def test_a_frame_meets_itself_once(spark, many_groups):
+    x = crowded()
+    rows = frame(spark, x)
+
+    def pairs(a, b):
+        n = len(a) * len(b) if tiles.two_groups(a) else len(a) * (len(a) - 1) // 2
+        return pa.table({"pairs": pa.array([n], pa.int64())})
+
+    met = [r["pairs"] for r in tiles.met_once(rows, pairs, "pairs long").collect()]
+    g = tiles.groups(len(x))
+    assert len(met) == g * (g + 1) // 2 and sum(met) == len(x) * (len(x) - 1) // 2
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_both_sides_of_a_tile_of_many_strips(monkeypatch, own):
+    """The tasks' work itself, over strips that end within labels and rows."""
+    for name, value in {"STRIP": 8, "WIDE": 12, "kind": lambda _: ("long", pa.int64())}.items():
+        monkeypatch.setattr(tiles, name, value)
+    works = []
+    monkeypatch.setattr(tiles, "met_once", lambda rows, work, schema: works.append(work))
+    rng = np.random.default_rng(7)
+    x, label, n = rng.normal(size=(90, 5)), rng.integers(0, 6, 90), rng.integers(1, 4, 90)
+    x[80:] = x[0]
+    parts = [np.arange(90), np.arange(90)] if own else [np.arange(0, 90, 2), np.arange(1, 90, 2)]
+    sides = [pa.table({"id": p, "embedding": pa.array(x[p].tolist()), "label": label[p], "n": n[p], "_g": np.zeros(len(p), "int32"), "_h": np.full(len(p), int(not own), "int32")}) for p in parts]
+    both = [parts] if own else [parts, parts[::-1]]
+    d = brute(x)
+    tiles.label_sums(None), tiles.counted(None, 2.0), tiles.neighbours(None, None, 3)
+    sums, near, nearest = (work(*sides).to_pylist() for work in works)
+    want = {}
+    for p, q in both:
+        for i in p:
+            for g in set(label[q]):
+                others = [j for j in q if label[j] == g and j != i]
+                want |= {(i, label[i], g): (d[i, others].sum(), len(others))} if others else {}
+    got = {(r["a"], r["la"], r["lb"]): (r["s"], r["n"]) for r in sums}
+    assert len(sums) == len(got) and got.keys() == want.keys()
+    assert all(got[k][0] == pytest.approx(want[k][0], abs=1e-6) and got[k][1] == want[k][1] for k in want)
+    assert {r["id"]: r["near"] for r in near} == {i: m for p, q in both for i in p if (m := int(sum(n[j] for j in q if j != i and d[i, j] <= 2.0)))}
+    for p, q in both:
+        for i in p:
+            ranked = sorted(d[i, j] for j in q if j != i)[:3]
+            assert sorted(r["d"] for r in nearest if r["a"] == i) == pytest.approx(ranked, abs=1e-12)
