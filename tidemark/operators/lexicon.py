@@ -49,7 +49,7 @@ def found_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
     places = cut_up.filter(F.size("p") > 0).select("id", "p", F.explode(F.sequence(F.lit(0), F.size("p") - 1)).alias("start"))
     before = F.get("p", F.col("start") - 1)
     places = places.select("id", "start", before.alias("before"), F.lower(F.get("p", "start")).alias("first"), F.slice("p", F.col("start") + 1, F.lit(longest + 1)).alias("ahead"))
-    places = places.filter(~is_word(F.col("before")) & (F.trim("first") != "")).join(small(index), "first")
+    places = places.filter((F.trim("first") != "") & ~is_word(F.col("before"))).join(small(index), "first")
     tried = places.select("id", "start", "before", "ahead", F.explode("sizes").alias("size")).filter(F.size("ahead") >= F.col("size"))
     tried = tried.select("id", "start", "before", "size", F.array_join(F.slice("ahead", F.lit(1), F.col("size")), "").alias("found"), F.get("ahead", "size").alias("after"))
     tried = tried.filter(~is_word(F.col("after")) | ~is_word(F.substring("found", -1, 1))).withColumn("key", F.lower("found"))
