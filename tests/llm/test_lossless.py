@@ -248,3 +248,55 @@ def test_token_store_notices_changed_manifests_and_lost_recipes(spark, tmp_path)
     assert all(r["verified"] == (r["doc_id"] not in own) for r in rows) and {r["part"] for r in parts if not r["intact"]} == {part}
     rows, parts = broken("part", manifests, recipes.filter(F.col("part") != part))
     assert all(r["verified"] for r in rows) and {r["part"] for r in parts if not r["intact"]} == {part}
+
+
+class Counting(op5_token_store.WordEncoder):
+    def __init__(self, path):
+        self.words = []
+        super().__init__(path)
+        self.words.clear()
+
+    def __call__(self, word):
+        self.words.append(word)
+        return super().__call__(word)
+
+
+def encoded(encoder, *texts):
+    raw = [t.encode() for t in texts]
+    ids, upto = op5_token_store.encode_slice(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]), encoder)
+    return [ids[a : b - 1].tolist() for a, b in zip(upto[:-1], upto[1:])]
+
+
+def test_words_are_remembered_for_their_tokenizer_only(tmp_path):
+    import json
+
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(P.path("word_bpe_49k.json")))
+    spec["model"]["merges"] = spec["model"]["merges"][:100]
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    for path in (P.path("word_bpe_49k.json"), str(tmp_path / "other.json")):
+        texts = ["plain words, Élan 42", "", "plain"]
+        assert encoded(op5_token_store.WordEncoder(path), *texts) == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_rare_words_do_not_drive_out_frequent_ones(monkeypatch):
+    import public_tokenizers as P
+
+    monkeypatch.setattr(op5_token_store, "CACHE_WORDS", 50)
+    encoder = Counting(P.path("word_bpe_49k.json"))
+    letters = "abcdefghij"
+    for n in range(20):
+        encoded(encoder, "often " + " ".join(f"rare{letters[n % 10]}{letters[n // 10]}{a}{b}" for a in letters[:3] for b in letters))
+    assert encoder.words.count(b"often") == 1 and len(encoder.words) == 1 + 20 * 30
+
+
+def test_packed_runs_equal_those_packed_alone():
+    rng = np.random.default_rng(5)
+    for most in (300, 1 << 16, 1 << 20):
+        ids = rng.integers(0, most, 5000).astype("<u4")
+        runs = [(0, 1), (1, 700), (700, 5000)]
+        assert op5_token_store.pack_runs(ids, runs) == [op5_token_store.pack_ids(ids[a:b]) for a, b in runs]
+        assert [op5_token_store.unpack_ids(p).tolist() for p in op5_token_store.pack_runs(ids, runs)] == [ids[a:b].tolist() for a, b in runs]
+    assert op5_token_store.pack_runs(np.zeros(0, "<u4"), []) == []

@@ -8,7 +8,7 @@ Null texts count as empty everywhere.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +119,12 @@ def squeeze(raw: bytes, level: int = 1) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
+def squeeze_all(parts: Iterable[bytes], level: int = 1) -> list[bytes]:
+    """Each part as ``squeeze`` gives it, by one compressor."""
+    compressor = zstandard.ZstdCompressor(level=level)
+    return [compressor.compress(raw) for raw in parts]
+
+
 def expand(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 

@@ -34,13 +34,14 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import binary_column, chunk_ends, lower_ascii, pack_numbers, ranges, text_slices, unpack_numbers
+from .blocks import binary_column, chunk_ends, lower_ascii, pack_numbers, ranges, squeeze_all, text_bytes, text_slices, unpack_numbers
 from .segments import cuts
 from .shared import cut, shared_folder, width
 
@@ -48,9 +49,7 @@ END_ID = 2
 WINDOW, CHUNK_BITS, MIN_GAP, MAX_CHUNK = 16, 9, 64, 8192
 PART_DOCUMENTS = 250_000  # of a manifest, about
 BASE = 0x9E3779B97F4A7C15
-CACHE_WORDS = 300_000  # words a worker remembers, at most
-
-_cache: dict[bytes, bytes] = {}
+CACHE_WORDS = 400_000  # words of either generation that a worker remembers, at most
 
 
 def byte_letters() -> dict[int, str]:
@@ -64,7 +63,11 @@ class WordEncoder:
     """Ids of words without white space, by the tokenizer library.
 
     Words of lower-case Latin-1 letters pass its normaliser and pre-tokeniser unchanged but
-    for the byte letters, so they go to its model directly, if it does so with PROBES."""
+    for the byte letters, so they go to its model directly, if it does so with PROBES.
+
+    ``remembered`` keeps words in two generations: when the younger one is full, it takes the
+    older one's place, and words that are still met move on, so rare words don't drive out
+    frequent ones."""
 
     PROBES = ("a", "the", "stthere", "élève", "größe", "ñandú", "zzxqj", "ÿþøå")
 
@@ -73,6 +76,7 @@ class WordEncoder:
 
         self.whole, self.letters = Tokenizer.from_file(path), byte_letters()
         self.model = self.whole.model
+        self.young, self.old = {}, {}
         self.direct = True
         self.direct = all(self(p.encode()) == self.whole.encode(p, add_special_tokens=False).ids for p in self.PROBES)
 
@@ -82,6 +86,28 @@ class WordEncoder:
             return [t.id for t in self.model.tokenize(text if text.isascii() else word.decode("latin-1").translate(self.letters))]
         return self.whole.encode(text, add_special_tokens=False).ids
 
+    def remembered(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as little-endian unsigned 32-bit integers."""
+        made = []
+        young, old = self.young.get, self.old.get
+        for word in words:
+            ids = young(word)
+            if ids is None:
+                ids = old(word) or array("I", self(word)).tobytes()
+                if len(word) < 64:
+                    self.young[word] = ids
+                    if len(self.young) >= CACHE_WORDS:
+                        self.young, self.old = {}, self.young
+                        young, old = self.young.get, self.old.get
+            made.append(ids)
+        return made
+
+
+@cache
+def word_encoder(path: str) -> WordEncoder:
+    """One for each tokenizer file and worker, so that its words are remembered across tasks."""
+    return WordEncoder(path)
+
 
 def encode_slice(data: np.ndarray, offsets: np.ndarray, encoder: WordEncoder) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each with END_ID appended, and the offsets of the texts in them.
@@ -95,17 +121,9 @@ def encode_slice(data: np.ndarray, offsets: np.ndarray, encoder: WordEncoder) ->
         low[offsets[row] : offsets[row + 1]] = data[offsets[row] : offsets[row + 1]]
     edges, first = cuts(low, offsets, whole, ascii_only=True)
     coded = binary_column(low, edges).dictionary_encode()
-    made = []
-    for word in coded.dictionary.to_pylist():
-        word = word.strip()
-        ids = _cache.get(word)
-        if ids is None:
-            ids = array("I", encoder(word)).tobytes()
-            if len(_cache) >= CACHE_WORDS:
-                _cache.clear()
-            if len(word) < 64:
-                _cache[word] = ids
-        made.append(ids)
+    own, ends = text_bytes(coded.dictionary)
+    flat, ends = own.tobytes(), ends.tolist()
+    made = encoder.remembered([flat[a:b].strip() for a, b in zip(ends[:-1], ends[1:], strict=True)])
     counts = np.fromiter(map(len, made), np.int64, len(made)) // 4
     table, begin = np.frombuffer(b"".join(made), "<u4"), np.cumsum(counts) - counts
     codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -139,6 +157,14 @@ def pack_ids(ids: np.ndarray) -> bytes:
     return bytes([wide]) + pack_numbers(ids, wide)
 
 
+def pack_runs(ids: np.ndarray, runs: list[tuple[int, int]]) -> list[bytes]:
+    """``pack_ids`` of each run (begin, end); the planes of ids of two bytes are made once for all."""
+    if not len(ids) or ids.max() >= 1 << 16:
+        return [pack_ids(ids[a:b]) for a, b in runs]
+    low, high = (ids.astype("<u2").view(np.uint8)[k::2].tobytes() for k in (0, 1))
+    return [b"\x02" + packed for packed in squeeze_all(low[a:b] + high[a:b] for a, b in runs)]
+
+
 def unpack_ids(body: bytes) -> np.ndarray:
     return unpack_numbers(body[1:], body[0]).astype("<u4")
 
@@ -155,7 +181,7 @@ def items(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     """Chunks (digest, n, body: ids) and recipes (doc_id, digest: Merkle root, n, body: the chunks' digests in order), by kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = word_encoder(tokenizer_path)
         for rows, data, offsets in text_slices(batches, limit=4 << 20):
             ids, upto = encode_slice(data, offsets, encoder)
             ends = id_cuts(ids, upto)
@@ -166,7 +192,7 @@ def items(documents: DataFrame, tokenizer_path: str) -> DataFrame:
             at = np.searchsorted(ends, upto, side="right").tolist()
             lists = [digests[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             parts = (
-                (CHUNK, pa.nulls(len(own), pa.int64()), list(own), [edges[i + 1] - edges[i] for i in own.values()], [pack_ids(ids[edges[i] : edges[i + 1]]) for i in own.values()]),
+                (CHUNK, pa.nulls(len(own), pa.int64()), list(own), [edges[i + 1] - edges[i] for i in own.values()], pack_runs(ids, [(edges[i], edges[i + 1]) for i in own.values()])),
                 (RECIPE, rows.column("doc_id"), [merkle(x) for x in lists], np.diff(upto), [b"".join(x) for x in lists]),
             )
             for kind, doc_ids, digest, n, body in parts:
