@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import assembly, grid
 
@@ -79,3 +80,15 @@ def test_ties_and_no_trial(spark):
     assert grid.best(spark.createDataFrame(rows, shape)).first()["trial"] == 3
     assert grid.best(spark.createDataFrame(rows[3:], shape)).count() == 0
     assert grid.judged(spark.createDataFrame([], grid.TRIAL), 3, 0.2, 2).count() == 0
+
+
+def test_trials_share_the_neighbours_of_all_radii(spark, blobs, monkeypatch):
+    calls, counted = [], grid.L.tiles.counted
+    monkeypatch.setattr(grid.L.tiles, "counted", lambda rows, *radii: (calls.append(radii), counted(rows, *radii))[1])
+    trials = [("dbscan", p) for p in grid.parameter_grid({"eps": [1.5, 1, 40.0], "least": [4, 200]})] + [("dbscan", {"eps": None, "least": 4}), ("dbscan", {"eps": 1.0})]
+    rows = {r["trial"]: r for r in grid.search(blobs, trials).collect()}
+    assert calls == [(1.0, 1.5, 40.0)]
+    for i, (_, p) in enumerate(trials[:6], 1):
+        alone = grid.L.dbscan(blobs, float(p["eps"]), p["least"]).filter("cluster >= 0").agg(F.countDistinct("cluster").alias("k"), F.count("*").alias("n")).first()
+        assert (rows[i]["clusters"], rows[i]["noise"], rows[i]["failure"]) == (alone["k"], pytest.approx(1 - alone["n"] / 91, abs=1e-6), None)
+    assert rows[7]["failure"] and rows[8]["failure"]

@@ -171,3 +171,36 @@ def test_both_sides_of_a_tile_of_many_strips(monkeypatch, own):
         for i in p:
             ranked = sorted(d[i, j] for j in q if j != i)[:3]
             assert sorted(r["d"] for r in nearest if r["a"] == i) == pytest.approx(ranked, abs=1e-12)
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_links_of_tiles_that_meet_once(monkeypatch, own):
+    """Pairs are handed on in parts, rows that are no cores stand on either side, and several radii are counted together."""
+    for name, value in {"FINE": 8, "FINE_WIDE": 12, "HELD": 20, "kind": lambda _: ("long", pa.int64())}.items():
+        monkeypatch.setattr(tiles, name, value)
+    works = []
+    monkeypatch.setattr(tiles, "met_once", lambda rows, work, schema: works.append(work))
+    rng = np.random.default_rng(8)
+    x, core, n = rng.normal(size=(90, 4)), rng.random(90) < 0.6, rng.integers(1, 4, 90)
+    x[80:] = x[0]
+    parts = [np.arange(90), np.arange(90)] if own else [np.arange(0, 90, 2), np.arange(1, 90, 2)]
+    sides = [pa.table({"id": p, "embedding": pa.array(x[p].tolist()), "core": core[p], "n": n[p], "_g": np.zeros(len(p), "int32"), "_h": np.full(len(p), int(not own), "int32")}) for p in parts]
+    both = [parts] if own else [parts, parts[::-1]]
+    d = brute(x)
+    tiles.linked_once(None, 1.5), tiles.counted(None, 0.0, 1.0, 2.0)
+    links, near = (work(*sides).to_pylist() for work in works)
+    edges = {(r["a"], r["b"]): r["d"] for r in links if r["d"] is not None}
+    assert edges == {(i, j): pytest.approx(d[i, j], abs=1e-12) for p, q in both for i in p for j in q if i != j and d[i, j] <= 1.5 and core[j] and not core[i]}
+    assert len(edges) == sum(r["d"] is not None for r in links) > 20
+    pairs = [(i, j) for i in parts[0] for j in parts[1] if i != j and d[i, j] <= 1.5 and core[i] and core[j]]
+    root = [tiles.united(np.arange(90), *np.array(ab).T) for ab in (pairs, [(r["a"], r["b"]) for r in links if r["d"] is None])]
+    assert (root[0] == root[1]).all()
+    want = {(i, r): m for r in (0.0, 1.0, 2.0) for p, q in both for i in p if (m := int(sum(n[j] for j in q if j != i and d[i, j] <= r)))}
+    assert {(r["id"], r["radius"]): r["near"] for r in near} == want and len(near) == len(want)
+
+
+def test_dbscan_of_equal_vectors_and_of_vectors_with_nulls(spark):
+    rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [0.5, 0.0]), (4, [9.0, 9.0]), (5, None), (6, [0.0, None])]
+    for ids, want in (({1, 2, 3, 4, 5, 6}, {1: 1, 2: 1, 3: 1, 4: -1, 5: -1, 6: -1}), ({1, 3, 4, 6}, {1: -1, 3: -1, 4: -1, 6: -1})):
+        some = spark.createDataFrame([r for r in rows if r[0] in ids], SHAPE)
+        assert {r["id"]: r["cluster"] for r in learning.dbscan(some, 1.0, 3).collect()} == want

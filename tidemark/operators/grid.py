@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
+import threading
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -20,7 +21,7 @@ from tidemark.plans.lineage import cut
 #: Each takes vectors (id, embedding) and parameters and returns id and label, -1 for noise.
 ALGORITHMS: dict[str, Callable[..., DataFrame]] = {
     "kmeans": lambda v, k, seed=42: L.kmeans(v, k, (seed,)).withColumnRenamed("cluster", "label"),
-    "dbscan": lambda v, eps, least: L.dbscan(v, eps, least).withColumnRenamed("cluster", "label"),
+    "dbscan": lambda v, eps, least, around=None: L.dbscan(v, eps, least, around).withColumnRenamed("cluster", "label"),
     "hdbscan": lambda v, least_size, least: density.hdbscan(v, least_size, least).select("id", "label"),
 }
 SAMPLE = 5000  # rows on which a trial's silhouette is taken
@@ -49,10 +50,20 @@ def search(vectors: DataFrame, trials: list[tuple[str, dict]], related: DataFram
     """One row for each of the trials (algorithm, parameters) on vectors (id, embedding), numbered from 1.
 
     ``at_once`` trials run at a time.  One that fails is a row with its failure, no clusters and
-    all noise, and the others go on.  A k of k-means above the number of rows fails."""
+    all noise, and the others go on.  A k of k-means above the number of rows fails.  Trials of
+    DBSCAN share the neighbours of all their radii, counted by the first one that comes to it."""
     spark = vectors.sparkSession
     data = cut(vectors.select("id", "embedding"))
     n = data.count()
+    radii = sorted({float(p["eps"]) for a, p in trials if a == "dbscan" and isinstance(p.get("eps"), (int, float)) and p["eps"] == p["eps"]})
+    first, shared = threading.Lock(), []
+
+    def around() -> tuple[DataFrame, DataFrame]:
+        with first:
+            if not shared:
+                same, counts = L.neighbour_counts(data, radii)
+                shared.append((same, cut(counts)))
+            return shared[0]
 
     def run(number: int, algorithm: str, params: dict) -> dict:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{number}")
@@ -60,7 +71,8 @@ def search(vectors: DataFrame, trials: list[tuple[str, dict]], related: DataFram
         try:
             if params.get("k", 0) > n:
                 raise ValueError(f"k = {params['k']} for {n} rows")
-            row |= measured(data, cut(ALGORITHMS[algorithm](data, **params)), related)
+            known = {"around": around()} if algorithm == "dbscan" and float(params["eps"]) in radii else {}
+            row |= measured(data, cut(ALGORITHMS[algorithm](data, **params, **known)), related)
         except Exception as e:  # a trial that fails is a result
             row |= {"clusters": 0, "noise": 1.0, "failure": " ".join((str(e) or type(e).__name__).split())[:500]}
         return row | {"seconds": round(time.perf_counter() - began, 3)}

@@ -180,22 +180,34 @@ def nearest_distance(vectors: DataFrame, k: int) -> DataFrame:
     return ordered(rows, "d", "id").select("id", "d", "rank", F.round(F.col("d") - F.col("before"), 6).alias("step"))
 
 
-def dbscan(vectors: DataFrame, eps: float, least: int) -> DataFrame:
+def neighbour_counts(vectors: DataFrame, radii: list[float]) -> tuple[DataFrame, DataFrame]:
+    """``distinct_vectors``, and id, radius, near: how many other vectors lie within each of the radii, all counted in one pass; none of those without any."""
+    same = distinct_vectors(vectors)
+    return same, tiles.counted(same, *radii).groupBy("radius", "id").agg(F.sum("near").alias("near"))
+
+
+def dbscan(vectors: DataFrame, eps: float, least: int, around: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """id, cluster (smallest id of its core points), -1 for noise; border points go to the nearest core point's cluster, ties to the smaller.
 
     Ids are unique; equal vectors are compared once and counted as often as they occur; vectors that hold nulls or NaN are noise.
     Tiles count neighbours first; then they give links that connect their core points, and the
-    core points near others, of which none has ``least``: rows grow with the vectors, not with the pairs within ``eps``."""
-    same = distinct_vectors(vectors)
-    around = tiles.counted(same, eps).groupBy("id").agg(F.sum("near").alias("near"))
+    core points near others, of which none has ``least``: rows grow with the vectors, not with the pairs within ``eps``.
+    ``around``, the ``neighbour_counts`` of the vectors for radii with ``eps`` among them, saves the counting."""
+    same, counts = around or neighbour_counts(vectors, [eps])
+    around = counts.filter(F.col("radius") == F.lit(float(eps))).select("id", "near")
     marked = same.join(around, "id", "left").select("id", "embedding", (F.col("n") + F.coalesce("near", F.lit(0)) >= least).alias("core"), "near")
     marked = cut(marked.filter("core OR near > 0").drop("near"))
     core = marked.filter("core").select("id")
-    near = cut(tiles.linked(marked, marked.filter("core").select("id", "embedding"), eps))
+    rows = marked.agg(F.count("*").alias("all"), F.count_if("core").alias("cores")).first()
+    once = 2 * rows["cores"] > rows["all"]  # fewer pairs than all rows with the cores
+    near = cut(tiles.linked_once(marked, eps) if once else tiles.linked(marked, marked.filter("core").select("id", "embedding"), eps))
     grouped = connected(near.filter("d IS NULL").select(F.col("a").alias("src"), F.col("b").alias("dst")), most=None)
     named = core.join(grouped, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
     border = near.filter("d IS NOT NULL").join(named.toDF("b", "cluster"), "b").groupBy(F.col("a").alias("id")).agg(F.min_by("cluster", F.struct("d", "cluster")).alias("cluster"))
-    labelled = same.select("id", "embedding").join(named.unionByName(border), "id").select("embedding", "cluster")
+    labels = named.unionByName(border)
+    if same.filter("n > 1").isEmpty():  # each vector has an id of its own
+        return vectors.select("id").join(labels, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    labelled = same.select("id", "embedding").join(labels, "id").select("embedding", "cluster")
     rows = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
     return rows.join(labelled, "embedding", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
